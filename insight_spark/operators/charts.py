@@ -45,10 +45,12 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
 def trend_series(df: DataFrame, order_by: Sequence[str], column: str | None = None) -> DataFrame:
     """Values of a numeric column (by default the first) in key order, missing as zero.
 
-    Frames have no row order of their own, so the order key is an argument; the sort is a
-    distributed range sort.
+    Frames have no row order of their own, so the order key is an argument. The sort is a
+    distributed range sort; the read position breaks ties, which also lets rows that share a key
+    be spread over several ranges.
     """
     column = column or numeric_columns(df)[0]
     keys = [named(k) for k in order_by]
     value = F.coalesce(coerce_numeric(named(column), df.schema[column].dataType), F.lit(0.0))
-    return df.select(*keys, value.alias("trend_value")).orderBy(*keys)
+    placed = df.select(*keys, value.alias("trend_value"), F.monotonically_increasing_id().alias("__position"))
+    return placed.orderBy(*keys, "__position").drop("__position")

@@ -97,7 +97,7 @@ def apply_cleaning(
     dates: bool = False,
     date_formats: Sequence[str] = DEFAULT_DATE_FORMATS,
     gap_columns: Sequence[str] | None = None,
-    prune_by_hash: bool = False,
+    prune: bool | None = None,
     single_task_bytes: int = SINGLE_TASK_BYTES,
 ) -> DataFrame:
     """The cleaning pipeline in its fixed order: duplicates, numbers, texts, spaces, dates.
@@ -109,7 +109,7 @@ def apply_cleaning(
     if fill_numbers and gap_columns is None:
         gap_columns = numeric_gaps(cleaned)  # copies of a row have the same gaps
     if remove_duplicates:
-        cleaned = drop_duplicates(cleaned, prune_by_hash)
+        cleaned = drop_duplicates(cleaned, prune)
     if fill_numbers:
         cleaned = fill_numeric(cleaned, gap_columns, single_task_bytes)
     if fill_texts:
@@ -127,7 +127,7 @@ def auto_fix(df: DataFrame, date_formats: Sequence[str] = DEFAULT_DATE_FORMATS,
     return standardise_dates(cleaned, DATE_NAME_PARTS, date_formats)
 
 
-def auto_fix_actions(df: DataFrame) -> DataFrame:
+def auto_fix_actions(df: DataFrame, prune: bool | None = None) -> DataFrame:
     """What `auto_fix` does to this frame: (ordinal, action)."""
     names = df.columns
     numeric, texts = set(numeric_columns(df)), set(text_columns(df))
@@ -154,4 +154,4 @@ def auto_fix_actions(df: DataFrame) -> DataFrame:
         *[F.lit(f"Standardized date/time column '{c}'.") for c in date_like_columns(df)],
     ]
     actions = or_else(F.filter(F.array(*entries), lambda x: x.isNotNull()), fixed.NO_FIX_ACTIONS)
-    return profile(df).select(F.posexplode(actions).alias("ordinal", "action"))
+    return profile(df, prune).select(F.posexplode(actions).alias("ordinal", "action"))

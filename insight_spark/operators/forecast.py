@@ -1,9 +1,10 @@
 """Series preparation, linear trend forecast, direction and recommendation.
 
 The trend regresses the per-date totals on their position 0..n-1. Numbering all dates in one
-window would pull every distinct time stamp into one task, so positions are built in three
-levels whose groups are bounded by the calendar: time stamps within a second (at most 1,000,000
-microseconds), seconds within a day (86,400), days (about 3.7 million in the supported range).
+window would pull every distinct time stamp into one task. Instead the moments of the regression
+are merged upwards in three levels whose groups are bounded by the calendar: time stamps within
+a second (at most 1,000,000 microseconds), seconds within a day (86,400), days (about 3.7 million
+in the supported range). One scan, and no join back to the rows.
 """
 
 from __future__ import annotations
@@ -16,9 +17,6 @@ from insight_spark.functions import fixed
 from insight_spark.functions.scalars import DEFAULT_DATE_FORMATS, coerce_numeric, coerce_timestamp, named
 from insight_spark.operators.schema import unique_columns
 
-BEFORE = (W.unboundedPreceding, -1)
-
-
 def _groups(names: Sequence[str]) -> list[Column]:
     return [named(g) for g in names]
 
@@ -51,49 +49,63 @@ def forecast_series(
     )
 
 
-def with_time_index(series: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
-    """Add `time_idx`, the position of each date (0 for the first) within its group."""
-    g = _groups(group_cols)
-    day = [*g, F.col("__day")]
-    second = [*day, F.col("__second")]
-    placed = series.withColumn("__day", F.col("date").cast("date")).withColumn(
-        "__second", F.hour("date") * 3600 + F.minute("date") * 60 + F.second("date")
-    )
-    numbered = placed.withColumn("__rank", F.row_number().over(W.partitionBy(*second).orderBy("date")) - 1)
-    seconds = placed.groupBy(*second).agg(F.count(F.lit(1)).alias("__n"))
-    in_day = seconds.withColumn(
-        "__in_day",
-        F.coalesce(F.sum("__n").over(W.partitionBy(*day).orderBy("__second").rowsBetween(*BEFORE)), F.lit(0)),
-    )
-    days = seconds.groupBy(*day).agg(F.sum("__n").alias("__n"))
-    in_all = days.select(
-        *g,
-        "__day",
-        F.coalesce(F.sum("__n").over(W.partitionBy(*g).orderBy("__day").rowsBetween(*BEFORE)), F.lit(0)).alias(
-            "__in_all"
-        ),
+def _merge_moments(parts: DataFrame, outer: list[Column], order: str) -> DataFrame:
+    """Combine the moments of consecutive runs of a series.
+
+    A run of `n` values sits at positions 0..n-1 and carries the mean `y`, the centred sums
+    `sxy` and `syy`, and its `last` date. Runs are laid end to end in `order` within `outer`.
+    Sums are taken about the mean of the whole, so a large common offset of the values does not
+    eat into their precision.
+    """
+    whole = W.partitionBy(*outer)
+    earlier = whole.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    placed = (
+        parts.withColumn("__start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        .withColumn("__n", F.sum("n").over(whole))
+        .withColumn("__y", F.sum(F.col("n") * F.col("y")).over(whole) / F.col("__n"))
     )
-    keys = [*group_cols, "__day"]
-    starts = _null_safe_join(in_day, in_all, keys).withColumn("__start", F.col("__in_day") + F.col("__in_all"))
-    starts = starts.select(*second, "__start")
-    return (
-        _null_safe_join(numbered, starts, [*keys, "__second"])
-        .withColumn("time_idx", F.col("__start") + F.col("__rank"))
-        .drop("__day", "__second", "__rank", "__start")
+    dx = F.col("__start") + (F.col("n") - 1) / 2 - (F.col("__n") - 1) / 2
+    dy = F.col("y") - F.col("__y")
+    return placed.groupBy(*outer).agg(
+        F.sum("n").alias("n"),
+        F.max("__y").alias("y"),
+        F.sum(F.col("sxy") + F.col("n") * dx * dy).alias("sxy"),
+        F.sum(F.col("syy") + F.col("n") * dy * dy).alias("syy"),
+        F.max("last").alias("last"),
     )
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner equi-join in which a missing segment value matches itself.
+def trend_model(series: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
+    """Least-squares line per group: (group columns, n, slope, intercept, band, last).
 
-    Day and second are never missing; plain equality keeps the existing partitioning usable.
+    `band` is the population standard deviation of the residuals.
     """
-    right = right.withColumnsRenamed({k: f"__r{i}" for i, k in enumerate(keys)})
-    condition = [
-        named(k) == F.col(f"__r{i}") if k in ("__day", "__second") else named(k).eqNullSafe(F.col(f"__r{i}"))
-        for i, k in enumerate(keys)
-    ]
-    return left.join(right, condition).drop(*[f"__r{i}" for i in range(len(keys))])
+    g = _groups(group_cols)
+    day, second = F.col("__day"), F.col("__second")
+    rows = series.select(
+        *g,
+        F.col("date").cast("date").alias("__day"),
+        (F.hour("date") * 3600 + F.minute("date") * 60 + F.second("date")).alias("__second"),
+        "date",
+        F.lit(1).cast("bigint").alias("n"),
+        F.col("value").alias("y"),
+        F.lit(0.0).alias("sxy"),
+        F.lit(0.0).alias("syy"),
+        F.col("date").alias("last"),
+    )
+    seconds = _merge_moments(rows, [*g, day, second], "date")
+    days = _merge_moments(seconds, [*g, day], "__second")
+    n = F.col("n").cast("double")
+    unexplained = F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("__sxx"), F.lit(0.0))
+    return (
+        _merge_moments(days, g, "__day")
+        .where("n > 1")
+        .withColumn("__sxx", n * (n * n - 1) / 12)
+        .withColumn("slope", F.col("sxy") / F.col("__sxx"))
+        .withColumn("intercept", F.col("y") - F.col("slope") * (n - 1) / 2)
+        .withColumn("band", F.sqrt(unexplained / n))
+        .select(*g, "n", "slope", "intercept", "band", "last")
+    )
 
 
 def month_start_after(last: Column, k: Column) -> Column:
@@ -114,25 +126,11 @@ def linear_forecast(series: DataFrame, periods: int = 6, group_cols: Sequence[st
     dates give no rows.
     """
     g = _groups(group_cols)
-    indexed = with_time_index(series, group_cols)
-    model = (
-        indexed.groupBy(*g)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.regr_slope("value", "time_idx").alias("slope"),
-            F.regr_intercept("value", "time_idx").alias("intercept"),
-            F.regr_sxx("value", "time_idx").alias("sxx"),
-            F.regr_sxy("value", "time_idx").alias("sxy"),
-            F.regr_syy("value", "time_idx").alias("syy"),
-            F.max("date").alias("last"),
-        )
-        .where("n >= 3")
-    )
-    unexplained = F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"), F.lit(0.0))
     step = F.explode(F.sequence(F.lit(1), F.lit(periods))).alias("k")
     return (
-        model.withColumn("band", F.sqrt(unexplained / F.col("n")))
-        .select(*g, "n", "slope", "intercept", "band", "last", step)
+        trend_model(series, group_cols)
+        .where("n >= 3")
+        .select("*", step)
         .withColumn("Forecast", F.col("intercept") + F.col("slope") * (F.col("n") + F.col("k") - 1))
         .select(
             *g,

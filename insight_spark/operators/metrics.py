@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from insight_spark.functions import fixed
 from insight_spark.functions.scalars import coerce_numeric, format_metric, named
-from insight_spark.operators.profile import COPIES, grouped_copies
+from insight_spark.operators.profile import COPIES, row_counts, rows_with_copies
 
 
 def metric_registry(df: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def metric_availability(df: DataFrame) -> DataFrame:
     )
 
 
-def semantic_metrics(df: DataFrame) -> DataFrame:
+def semantic_metrics(df: DataFrame, prune: bool | None = None) -> DataFrame:
     """Long frame (ordinal, key, label, description, raw_value, formatted_value, source_columns).
 
     One scan and one grouping on all columns; sums are weighted by the number of copies.
@@ -40,22 +40,19 @@ def semantic_metrics(df: DataFrame) -> DataFrame:
     }
     present = [F.when(named(c).isNotNull(), 1).otherwise(0) for c in df.columns]
     filled = sum(present[1:], present[0]) if present else F.lit(0)
-    exprs = [
-        F.coalesce(F.sum(COPIES), F.lit(0)).alias("rows"),
-        F.count(F.lit(1)).alias("distinct_rows"),
-        F.coalesce(F.sum(F.col(COPIES) * (width - filled)), F.lit(0)).alias("missing"),
-    ]
+    data, duplicates = rows_with_copies(df, prune)
+    exprs = [*row_counts(), F.coalesce(F.sum(F.col(COPIES) * (width - filled)), F.lit(0)).alias("missing")]
     for key, column in sums.items():
         number = coerce_numeric(named(column), schema[column])
         exprs.append(F.coalesce(F.sum(number * F.col(COPIES)), F.lit(0.0)).alias(key))
-    totals = grouped_copies(df).agg(*exprs)
+    totals = data.agg(*exprs)
 
     rows = F.col("rows").cast("double")
     values: dict[str, Column] = {
         "record_count": rows,
         "column_count": F.lit(float(width)),
         "missing_value_rate": F.col("missing") / F.greatest(rows * max(width, 1), F.lit(1.0)),
-        "duplicate_rate": (rows - F.col("distinct_rows")) / F.greatest(rows, F.lit(1.0)),
+        "duplicate_rate": duplicates.cast("double") / F.greatest(rows, F.lit(1.0)),
         **{key: F.col(key) for key in sums},
     }
     whole_frame = {"missing_value_rate", "duplicate_rate"}

@@ -4,6 +4,12 @@
 aggregation shrinks hot groups of copies before the shuffle) and every statistic is then a
 weighted aggregate over the distinct rows. The statistics that need no row comparison
 (`column_stats`) aggregate the scan directly, without that shuffle.
+
+Grouping shuffles whole rows. Above `PRUNE_BYTES` (or with ``prune=True``) one job first shuffles
+only an 8-byte hash per row; rows whose hash is unique cannot be copies, so only rows that share
+a hash are shuffled and compared on their real columns. The repeated hashes are broadcast after
+their number has been checked; if there are too many, rows are grouped directly. Both ways are
+exact.
 """
 
 from __future__ import annotations
@@ -12,11 +18,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from insight_spark.functions.scalars import named
 from insight_spark.operators.schema import comparable
-from insight_spark.session import checkpointed
+from insight_spark.session import checkpointed, estimated_bytes
 
 COPIES = "__copies"
 ROW_HASH = "__row_hash"
 HASH_BYTES = 16
+BROADCAST_BYTES = 64 << 20
+PRUNE_BYTES = 1 << 40
 
 
 def _ratio(part: Column, whole: Column) -> Column:
@@ -91,26 +99,63 @@ def grouped_copies(df: DataFrame) -> DataFrame:
     return data.groupBy(*[named(c) for c in data.columns]).agg(F.count(F.lit(1)).alias(COPIES))
 
 
-def duplicate_profile(df: DataFrame) -> DataFrame:
-    """Rows, duplicate rows (every copy after the first) and their share."""
-    counts = grouped_copies(df).agg(
-        F.coalesce(F.sum(COPIES), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(F.col(COPIES) - 1), F.lit(0)).alias("duplicate_rows"),
+def _should_prune(df: DataFrame, prune: bool | None) -> bool:
+    if prune is not None:
+        return prune
+    size = estimated_bytes(df)
+    return size is not None and size > PRUNE_BYTES
+
+
+def repeated_hashes(df: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame | None:
+    """Hashes carried by more than one row, or None if there are too many to broadcast."""
+    data = comparable(df)
+    hashes = data.select(F.xxhash64(*[named(c) for c in data.columns]).alias(ROW_HASH))
+    repeated = checkpointed(
+        hashes.groupBy(ROW_HASH).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(ROW_HASH)
     )
+    return repeated if repeated.count() * HASH_BYTES <= broadcast_bytes else None
+
+
+def _hashed(df: DataFrame) -> DataFrame:
+    return df.withColumn(ROW_HASH, F.xxhash64(*[named(c) for c in df.columns]))
+
+
+def rows_with_copies(
+    df: DataFrame, prune: bool | None = None, broadcast_bytes: int = BROADCAST_BYTES
+) -> tuple[DataFrame, Column]:
+    """Rows with a weight (`COPIES`), and the number of duplicate rows.
+
+    The number is a column to use after an aggregation that yields ``rows`` (sum of the weights)
+    and ``distinct_rows`` (row count).
+    """
+    repeated = repeated_hashes(df, broadcast_bytes) if _should_prune(df, prune) else None
+    if repeated is None:
+        return grouped_copies(df), F.col("rows") - F.col("distinct_rows")
+    data = comparable(df)
+    shared = _hashed(data).join(F.broadcast(repeated), ROW_HASH, "left_semi").drop(ROW_HASH)
+    extra = grouped_copies(shared).agg(F.coalesce(F.sum(F.col(COPIES) - 1), F.lit(0)).alias("n"))
+    return data.withColumn(COPIES, F.lit(1)), extra.scalar()
+
+
+def row_counts() -> list[Column]:
+    return [F.coalesce(F.sum(COPIES), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("distinct_rows")]
+
+
+def duplicate_profile(df: DataFrame, prune: bool | None = None) -> DataFrame:
+    """Rows, duplicate rows (every copy after the first) and their share."""
+    data, duplicates = rows_with_copies(df, prune)
+    counts = data.agg(*row_counts()).select("rows", duplicates.alias("duplicate_rows"))
     return counts.withColumn("duplicate_rate", _ratio(F.col("duplicate_rows"), F.col("rows")))
 
 
-def profile(df: DataFrame) -> DataFrame:
+def profile(df: DataFrame, prune: bool | None = None) -> DataFrame:
     """One row with everything the quality operators need.
 
     Columns: rows, columns, missing_cells, missing_rate, duplicate_rows, duplicate_rate,
     constant_columns (array of names), stats (array of per-column structs).
     """
-    data, columns = grouped_copies(df), df.columns
-    exprs = [
-        F.coalesce(F.sum(COPIES), F.lit(0)).alias("rows"),
-        F.count(F.lit(1)).alias("distinct_rows"),
-    ]
+    (data, duplicates), columns = rows_with_copies(df, prune), df.columns
+    exprs = row_counts()
     for i, c in enumerate(columns):
         present = F.sum(F.when(named(c).isNotNull(), F.col(COPIES)))
         exprs += [F.coalesce(present, F.lit(0)).alias(f"n_{i}"), _same(c).alias(f"same_{i}")]
@@ -119,7 +164,7 @@ def profile(df: DataFrame) -> DataFrame:
     return (
         stats.withColumn("columns", F.lit(width).cast("bigint"))
         .withColumn("missing_cells", F.aggregate("stats", F.lit(0).cast("bigint"), lambda a, s: a + s["missing"]))
-        .withColumn("duplicate_rows", F.col("rows") - F.col("distinct_rows"))
+        .withColumn("duplicate_rows", duplicates)
         .withColumn("missing_rate", _ratio(F.col("missing_cells"), F.col("rows") * max(width, 1)))
         .withColumn("duplicate_rate", _ratio(F.col("duplicate_rows"), F.col("rows")))
         .withColumn(
@@ -133,53 +178,23 @@ def profile(df: DataFrame) -> DataFrame:
     )
 
 
-def repeated_hashes(df: DataFrame, broadcast_bytes: int = 64 << 20) -> DataFrame | None:
-    """Hashes carried by more than one row, or None if there are too many to broadcast.
-
-    Runs one job that shuffles 8 bytes per row instead of whole rows.
-    """
-    data = comparable(df)
-    hashes = data.select(F.xxhash64(*[named(c) for c in data.columns]).alias(ROW_HASH))
-    repeated = checkpointed(
-        hashes.groupBy(ROW_HASH).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(ROW_HASH)
-    )
-    return repeated if repeated.count() * HASH_BYTES <= broadcast_bytes else None
-
-
-def drop_duplicates(df: DataFrame, prune_by_hash: bool = False, broadcast_bytes: int = 64 << 20) -> DataFrame:
+def drop_duplicates(
+    df: DataFrame, prune: bool | None = None, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """Exact duplicate removal; missing values compare equal.
 
-    By default one aggregation over all columns. With ``prune_by_hash`` (wide tables with few
-    copies) rows whose hash occurs once skip the shuffle, and only rows that share a hash are
-    compared column by column; falls back to the default if too many hashes repeat.
+    When pruning, rows with a unique hash skip the shuffle altogether.
     """
     data = comparable(df)
-    columns = [named(c) for c in data.columns]
-    repeated = repeated_hashes(df, broadcast_bytes) if prune_by_hash else None
+    repeated = repeated_hashes(df, broadcast_bytes) if _should_prune(df, prune) else None
     if repeated is None:
         return _restore_maps(data.dropDuplicates(), df)
-    hashed = data.withColumn(ROW_HASH, F.xxhash64(*columns))
     small = F.broadcast(repeated)
-    single = hashed.join(small, ROW_HASH, "left_anti").select(*columns)
-    copies = hashed.join(small, ROW_HASH, "left_semi").select(*columns)
-    return _restore_maps(single.unionByName(copies.dropDuplicates()), df)
+    single = _hashed(data).join(small, ROW_HASH, "left_anti").drop(ROW_HASH)
+    shared = _hashed(data).join(small, ROW_HASH, "left_semi").drop(ROW_HASH)
+    return _restore_maps(single.unionByName(shared.dropDuplicates()), df)
 
 
 def _restore_maps(data: DataFrame, original: DataFrame) -> DataFrame:
     maps = {c: F.map_from_entries(named(c)) for c, t in original.dtypes if t.startswith("map")}
     return data.withColumns(maps) if maps else data
-
-
-def duplicate_count_pruned(df: DataFrame, broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """`duplicate_profile` for wide tables: only rows sharing a hash are shuffled and compared."""
-    repeated = repeated_hashes(df, broadcast_bytes)
-    if repeated is None:
-        return duplicate_profile(df)
-    data = comparable(df)
-    hashed = data.withColumn(ROW_HASH, F.xxhash64(*[named(c) for c in data.columns]))
-    copies = hashed.join(F.broadcast(repeated), ROW_HASH, "left_semi").drop(ROW_HASH)
-    extra = grouped_copies(copies).agg(F.coalesce(F.sum(F.col(COPIES) - 1), F.lit(0)).alias("d"))
-    rows = df.agg(F.count(F.lit(1)).alias("rows"))
-    return rows.withColumn("duplicate_rows", extra.scalar()).withColumn(
-        "duplicate_rate", _ratio(F.col("duplicate_rows"), F.col("rows"))
-    )

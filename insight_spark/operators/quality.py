@@ -30,9 +30,9 @@ def score_of_profile() -> Column:
     return F.when(F.col("rows") > 0, clipped).otherwise(F.lit(0))
 
 
-def quality_score(df: DataFrame, max_names: int = 8) -> DataFrame:
+def quality_score(df: DataFrame, max_names: int = 8, prune: bool | None = None) -> DataFrame:
     """One row: the profile columns, `score` and `notes`."""
-    p = profile(df)
+    p = profile(df, prune)
     notes = present(
         [
             F.when(

@@ -18,6 +18,7 @@ from insight_spark.functions.scalars import named, nan_to_null
 from insight_spark.session import estimated_bytes
 
 SINGLE_TASK_BYTES = 16 << 20
+FEW = 10  # below this many values per sketch or grid step, rank slack is too small to narrow
 
 
 def _values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -35,8 +36,7 @@ def exact_quantiles(
     """One row: for each column (in order) ``q0, q1, ...`` an array of quantiles and ``n0, n1, ...``
     the number of values. Linear interpolation between neighbours; missing values are skipped."""
     values = _values(df, columns)
-    size = estimated_bytes(values)
-    if size is not None and size <= single_task_bytes:
+    if single_task_bytes > 0 and _fits(values, len(columns), single_task_bytes):
         probs = F.array(*[F.lit(float(p)) for p in probabilities])
         return values.agg(
             *[F.percentile(f"v{i}", probs).alias(f"q{i}") for i in range(len(columns))],
@@ -45,6 +45,12 @@ def exact_quantiles(
     return _narrowed_quantiles(values, len(columns), [float(p) for p in probabilities], accuracy, grid)
 
 
+def _fits(values: DataFrame, width: int, limit: int) -> bool:
+    """Whether the values are few enough for one task; counted where no estimate exists."""
+    size = estimated_bytes(values)
+    return (values.count() * 8 * width if size is None else size) <= limit
+
+
 def _narrowed_quantiles(
     values: DataFrame, width: int, probabilities: list[float], accuracy: int, grid: int
 ) -> DataFrame:
@@ -56,6 +62,8 @@ def _narrowed_quantiles(
     first = values.agg(
         F.struct(
             *[F.count(f"v{i}").alias(f"n{i}") for i in range(width)],
+            *[F.min(f"v{i}").alias(f"min{i}") for i in range(width)],
+            *[F.max(f"v{i}").alias(f"max{i}") for i in range(width)],
             *[
                 F.percentile_approx(f"v{i}", [float(b) for b in brackets], accuracy).alias(f"b{i}")
                 for i in range(width)
@@ -64,11 +72,12 @@ def _narrowed_quantiles(
     )
     with_first = values.withColumn("first", first.scalar())
 
-    def low(i: int, j: int) -> Column:
-        return F.col("first")[f"b{i}"][2 * j]
+    # The margin has to cover several ranks; columns too short for that are bracketed whole.
+    def low(i: int, j: int, f: Column = F.col("first")) -> Column:
+        return F.when(f[f"n{i}"] < FEW * accuracy, f[f"min{i}"]).otherwise(f[f"b{i}"][2 * j])
 
-    def high(i: int, j: int) -> Column:
-        return F.col("first")[f"b{i}"][2 * j + 1]
+    def high(i: int, j: int, f: Column = F.col("first")) -> Column:
+        return F.when(f[f"n{i}"] < FEW * accuracy, f[f"max{i}"]).otherwise(f[f"b{i}"][2 * j + 1])
 
     # Round 2: inside each bracket a grid of approximate quantiles, and the exact rank of its start.
     steps = [k / grid for k in range(grid + 1)]
@@ -93,7 +102,8 @@ def _narrowed_quantiles(
         position = (target + (1 if upper else 0)) / r[f"inside_{i}_{j}"] * grid
         step = F.ceil(position) + 2 if upper else F.floor(position) - 2
         index = F.least(F.greatest(step, F.lit(0)), F.lit(grid)).cast("int")
-        return F.when(r[f"inside_{i}_{j}"] > 0, F.get(r[f"grid_{i}_{j}"], index))
+        whole = high(i, j, r["first"]) if upper else low(i, j, r["first"])
+        return F.when(r[f"inside_{i}_{j}"] < FEW * grid, whole).otherwise(F.get(r[f"grid_{i}_{j}"], index))
 
     narrow = second.select(
         F.struct(

@@ -490,7 +490,7 @@ def duplicate_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
   round(dups / CAST(n AS DOUBLE), 8) AS duplicate_rate FROM counts""",
 )
 def duplicate_profile_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(profile.duplicate_count_pruned(dirty_orders(spark, sf_dir)), "duplicate_rate", digits=8)
+    return rounded(profile.duplicate_profile(dirty_orders(spark, sf_dir), prune=True), "duplicate_rate", digits=8)
 
 
 METRICS_SQL = (
@@ -828,7 +828,7 @@ def clean_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("clean_dedupe_pruned", f"WITH {DIRTY_SQL} SELECT DISTINCT * FROM dirty")
 def clean_dedupe_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.drop_duplicates(dirty_orders(spark, sf_dir), prune_by_hash=True)
+    return profile.drop_duplicates(dirty_orders(spark, sf_dir), prune=True)
 
 
 @query(

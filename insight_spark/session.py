@@ -46,9 +46,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+UNKNOWN_BYTES = 1 << 60
+
+
 def estimated_bytes(df: DataFrame) -> int | None:
-    """Optimizer's size estimate for a frame, or None where the session does not expose it."""
+    """Optimizer's size estimate for a frame, or None where there is none (in-memory frames carry
+    a placeholder of several exabytes)."""
     plan = getattr(df, "_jdf", None)
     if plan is None:
         return None
-    return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < UNKNOWN_BYTES else None
