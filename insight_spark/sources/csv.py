@@ -12,16 +12,14 @@ OPTIONS = {"quote": '"', "escape": '"', "encoding": "UTF-8"}
 
 
 def header_names(raw: list[str | None]) -> list[str]:
-    """Column names from a header row: blanks become ``Unnamed: i``, repeats get ``.1``, ``.2``..."""
+    """Column names from a header row: blanks become ``Unnamed: i``, repeats get the first suffix
+    ``.1``, ``.2``... that gives an unused name."""
+    cells = [cell if cell else f"Unnamed: {i}" for i, cell in enumerate(raw)]
     names: list[str] = []
-    repeats: dict[str, int] = {}
-    for i, cell in enumerate(raw):
-        base = cell if cell else f"Unnamed: {i}"
-        name = base
-        while name in names:
-            repeats[base] = repeats.get(base, 0) + 1
-            name = f"{base}.{repeats[base]}"
-        names.append(name)
+    for cell in cells:
+        suffixed = (f"{cell}.{n}" for n in range(1, len(cells) + 1))
+        free = (name for name in suffixed if name not in cells and name not in names)
+        names.append(next(free) if cell in names else cell)
     return names
 
 
@@ -35,16 +33,19 @@ def has_multiline_fields(spark: SparkSession, path: str) -> bool:
     return bool(spark.read.text(path).agg(F.coalesce(F.bool_or(odd), F.lit(False))).first()[0])
 
 
-def read_strings(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
-    """All columns as text, null tokens turned into nulls."""
+def read_strings(
+    spark: SparkSession, path: str, multi_line: bool | None = None
+) -> tuple[DataFrame, list[str]]:
+    """All cells as text with null tokens as nulls, in columns ``_0``, ``_1``..., and the names."""
     if multi_line is None:
         multi_line = has_multiline_fields(spark, path)
     reader = spark.read.options(**OPTIONS, multiLine=multi_line)
     first = reader.csv(path, header=False).first()
     names = header_names(list(first)) if first else []
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(names))])
     cells = reader.schema(schema).csv(path, header=True, enforceSchema=True, nullValue="")
-    return cells.select([F.when(~named(n).isin(fixed.NULL_TOKENS), named(n)).alias(n) for n in names])
+    known = [F.when(~F.col(c).isin(fixed.NULL_TOKENS), F.col(c)).alias(c) for c in cells.columns]
+    return cells.select(known), names
 
 
 def _is_integer(c: Column) -> Column:
@@ -55,7 +56,7 @@ def _is_boolean(c: Column) -> Column:
     return c.isin(fixed.TRUE_TOKENS + fixed.FALSE_TOKENS)
 
 
-def infer_types(strings: DataFrame) -> dict[str, str]:
+def infer_types(strings: DataFrame) -> list[str]:
     """Narrowest type that fits every present value of each column, from one aggregate.
 
     Order: bigint, double, boolean, string; a column without values is double.
@@ -70,23 +71,18 @@ def infer_types(strings: DataFrame) -> dict[str, str]:
             F.count_if(_is_boolean(col)).alias(f"b{i}"),
         ]
     counts = strings.agg(*exprs).first()
-    types = {}
-    for i, c in enumerate(strings.columns):
+
+    def narrowest(i: int) -> str:
         present = counts[f"n{i}"]
         if present == 0:
-            types[c] = "double"
-        elif counts[f"i{i}"] == present:
-            types[c] = "bigint"
-        elif counts[f"d{i}"] == present:
-            types[c] = "double"
-        elif counts[f"b{i}"] == present:
-            types[c] = "boolean"
-        else:
-            types[c] = "string"
-    return types
-
-
-def cast_columns(strings: DataFrame, types: dict[str, str]) -> DataFrame:
+            return "double"
+        fits = {"bigint": f"i{i}", "double": f"d{i}", "boolean": f"b{i}"}
+        return next((t for t, c in fits.items() if counts[c] == present), "string")
+
+    return [narrowest(i) for i in range(len(strings.columns))]
+
+
+def cast_columns(strings: DataFrame, types: list[str]) -> DataFrame:
     def typed(name: str, dtype: str) -> Column:
         c = named(name)
         if dtype == "bigint":
@@ -97,19 +93,19 @@ def cast_columns(strings: DataFrame, types: dict[str, str]) -> DataFrame:
             return F.when(c.isNotNull(), c.isin(fixed.TRUE_TOKENS))
         return c
 
-    return strings.select([typed(n, t).alias(n) for n, t in types.items()])
+    return strings.select([typed(n, t).alias(n) for n, t in zip(strings.columns, types)])
 
 
 def read_csv(
-    spark: SparkSession, path: str, types: dict[str, str] | None = None, multi_line: bool | None = None
+    spark: SparkSession, path: str, types: list[str] | None = None, multi_line: bool | None = None
 ) -> DataFrame:
     """Typed frame from a delimited file or folder with a header line.
 
-    Dates stay text. Pass `types` to skip the inference pass, `multi_line` to skip the check for
-    quoted fields that span lines.
+    Dates stay text. Pass `types` (one per column) to skip the inference pass, `multi_line` to
+    skip the check for quoted fields that span lines.
     """
-    strings = read_strings(spark, path, multi_line)
-    return cast_columns(strings, types or infer_types(strings))
+    strings, names = read_strings(spark, path, multi_line)
+    return cast_columns(strings, types or infer_types(strings)).toDF(*names)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
