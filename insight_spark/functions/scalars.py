@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F, types as T
 
@@ -16,9 +17,35 @@ LINE_BREAK_PATTERN = r"\r\n|[\n\r\x0B\f\x1c\x1d\x1e\x85\u2028\u2029]"
 DEFAULT_DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")
 
 
+def quoted(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
 def named(column: str) -> Column:
     """Reference a column by its literal name, even with dots or backticks in it."""
-    return F.col("`" + column.replace("`", "``") + "`")
+    return F.col(quoted(column))
+
+
+def names_array(names: Sequence[str]) -> Column:
+    """Literal array of names, as one expression however many there are."""
+    return F.from_json(F.lit(json.dumps(list(names))), "array<string>")
+
+
+def array_over(columns: Sequence[str], expression: Callable[[str], str], element: str) -> Column:
+    """Array with one SQL expression per column; keeps plans of very wide tables small."""
+    return F.expr("array(" + ", ".join(expression(quoted(c)) for c in columns) + ")").cast(f"array<{element}>")
+
+
+def array_total(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("bigint"), lambda total, x: total + x)
+
+
+def any_of(conditions: Sequence[Column]) -> Column:
+    """Disjunction as a balanced tree, so that many conditions do not nest deeply."""
+    if len(conditions) == 1:
+        return conditions[0]
+    middle = len(conditions) // 2
+    return any_of(conditions[:middle]) | any_of(conditions[middle:])
 
 
 def is_missing(col: Column, dtype: T.DataType) -> Column:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from insight_spark.functions import fixed
 from insight_spark.functions.scalars import (
     DEFAULT_DATE_FORMATS,
+    array_over,
     coerce_timestamp,
     named,
+    names_array,
     nan_to_null,
     trim_text,
 )
@@ -38,9 +40,9 @@ def numeric_gaps(df: DataFrame) -> list[str]:
     if not columns:
         return []
     counts = normalise_missing(df).agg(
-        F.count(F.lit(1)).alias("rows"), *[F.count(named(c)).alias(f"n{i}") for i, c in enumerate(columns)]
+        F.count(F.lit(1)).alias("rows"), array_over(columns, lambda c: f"count({c})", "bigint").alias("present")
     ).first()
-    return [c for i, c in enumerate(columns) if counts[f"n{i}"] < counts["rows"]]
+    return [c for c, present in zip(columns, counts.present) if present < counts.rows]
 
 
 def fill_numeric(
@@ -129,29 +131,26 @@ def auto_fix(df: DataFrame, date_formats: Sequence[str] = DEFAULT_DATE_FORMATS,
 
 def auto_fix_actions(df: DataFrame, prune: bool | None = None) -> DataFrame:
     """What `auto_fix` does to this frame: (ordinal, action)."""
-    names = df.columns
-    numeric, texts = set(numeric_columns(df)), set(text_columns(df))
-    position = {c: i for i, c in enumerate(names)}
-
-    def gap(c: str):
-        return F.col("stats")[position[c]]["missing"] > 0
-
-    entries = [
-        F.when(
-            F.col("duplicate_rows") > 0,
-            F.concat(F.lit("Removed "), F.col("duplicate_rows").cast("string"), F.lit(" duplicate rows.")),
-        ),
-        *[
-            F.when(gap(c), F.lit(f"Filled missing numeric values in '{c}' with median."))
-            for c in names
-            if c in numeric
-        ],
-        *[
-            F.when(gap(c), F.lit(f"Filled missing text values in '{c}' with 'Unknown'."))
-            for c in names
-            if c in texts
-        ],
-        *[F.lit(f"Standardized date/time column '{c}'.") for c in date_like_columns(df)],
-    ]
-    actions = or_else(F.filter(F.array(*entries), lambda x: x.isNotNull()), fixed.NO_FIX_ACTIONS)
-    return profile(df, prune).select(F.posexplode(actions).alias("ordinal", "action"))
+    removed = F.when(
+        F.col("duplicate_rows") > 0,
+        F.concat(F.lit("Removed "), F.col("duplicate_rows").cast("string"), F.lit(" duplicate rows.")),
+    )
+
+    def filled(columns: list[str], before: str, after: str) -> Column:
+        """One sentence per column of the list that has gaps."""
+        gaps = F.filter("stats", lambda s: (s["missing"] > 0) & F.array_contains(names_array(columns), s["column"]))
+        return F.transform(gaps, lambda s: F.concat(F.lit(before), s["column"], F.lit(after)))
+
+    dated = F.transform(
+        names_array(date_like_columns(df)),
+        lambda c: F.concat(F.lit("Standardized date/time column '"), c, F.lit("'.")),
+    )
+    entries = F.concat(
+        F.array_compact(F.array(removed)),
+        filled(numeric_columns(df), "Filled missing numeric values in '", "' with median."),
+        filled(text_columns(df), "Filled missing text values in '", "' with 'Unknown'."),
+        dated,
+    )
+    return profile(df, prune).select(
+        F.posexplode(or_else(entries, fixed.NO_FIX_ACTIONS)).alias("ordinal", "action")
+    )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from insight_spark.functions import fixed
-from insight_spark.functions.scalars import coerce_numeric, named
+from insight_spark.functions.scalars import array_over, array_total, coerce_numeric, named
 from insight_spark.operators.schema import normalise_missing, numeric_columns
 
 AGGREGATES = {
@@ -33,8 +33,8 @@ def industry_kpis(df: DataFrame, industries: Sequence[str] = tuple(fixed.INDUSTR
         if not numeric:
             by_industry[industry] = shape
         elif template is None:
-            exprs["present"] = sum((F.count(named(c)) for c in df.columns[1:]), F.count(named(df.columns[0])))
-            missing = F.col("rows") * len(df.columns) - F.col("present")
+            exprs["present"] = array_over(df.columns, lambda c: f"count({c})", "bigint")
+            missing = F.col("rows") * len(df.columns) - array_total(F.col("present"))
             by_industry[industry] = shape + [("Missing Values", missing)]
         else:
             items = []

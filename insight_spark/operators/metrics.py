@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from insight_spark.functions import fixed
-from insight_spark.functions.scalars import coerce_numeric, format_metric, named
-from insight_spark.operators.profile import COPIES, row_counts, rows_with_copies
+from insight_spark.functions.scalars import array_total, coerce_numeric, format_metric, named, names_array
+from insight_spark.operators.profile import COPIES, row_counts, rows_with_copies, weighted_present
 
 
 def metric_registry(df: DataFrame) -> DataFrame:
@@ -19,8 +19,7 @@ def metric_registry(df: DataFrame) -> DataFrame:
 
 def metric_availability(df: DataFrame) -> DataFrame:
     """For each metric: whether it can be computed on `df`, and the columns it lacks."""
-    columns = F.array(*[F.lit(c) for c in df.columns]).cast("array<string>")
-    lacking = F.array_except("required_columns", columns)
+    lacking = F.array_except("required_columns", names_array(df.columns))
     return metric_registry(df).select(
         "ordinal", "key", "label", (F.size(lacking) == 0).alias("available"), lacking.alias("missing_columns")
     )
@@ -38,10 +37,8 @@ def semantic_metrics(df: DataFrame, prune: bool | None = None) -> DataFrame:
         for key, _, _, _, required in fixed.METRICS
         if required and all(c in df.columns for c in required)
     }
-    present = [F.when(named(c).isNotNull(), 1).otherwise(0) for c in df.columns]
-    filled = sum(present[1:], present[0]) if present else F.lit(0)
     data, duplicates = rows_with_copies(df, prune)
-    exprs = [*row_counts(), F.coalesce(F.sum(F.col(COPIES) * (width - filled)), F.lit(0)).alias("missing")]
+    exprs = [*row_counts(), weighted_present(df.columns)]
     for key, column in sums.items():
         number = coerce_numeric(named(column), schema[column])
         exprs.append(F.coalesce(F.sum(number * F.col(COPIES)), F.lit(0.0)).alias(key))
@@ -51,7 +48,7 @@ def semantic_metrics(df: DataFrame, prune: bool | None = None) -> DataFrame:
     values: dict[str, Column] = {
         "record_count": rows,
         "column_count": F.lit(float(width)),
-        "missing_value_rate": F.col("missing") / F.greatest(rows * max(width, 1), F.lit(1.0)),
+        "missing_value_rate": (rows * width - array_total(F.col("present"))) / F.greatest(rows * max(width, 1), F.lit(1.0)),
         "duplicate_rate": duplicates.cast("double") / F.greatest(rows, F.lit(1.0)),
         **{key: F.col(key) for key in sums},
     }
@@ -64,9 +61,7 @@ def semantic_metrics(df: DataFrame, prune: bool | None = None) -> DataFrame:
             F.lit(description).alias("description"),
             values[key].cast("double").alias("raw_value"),
             format_metric(values[key], F.lit(fmt)).alias("formatted_value"),
-            F.array(*[F.lit(c) for c in (df.columns if key in whole_frame else required)])
-            .cast("array<string>")
-            .alias("source_columns"),
+            names_array(df.columns if key in whole_frame else required).alias("source_columns"),
         )
         for i, (key, label, description, fmt, required) in enumerate(fixed.METRICS)
         if key in values

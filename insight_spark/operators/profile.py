@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from insight_spark.functions.scalars import named
+from insight_spark.functions.scalars import array_over, array_total, named, names_array
 from insight_spark.operators.schema import comparable
 from insight_spark.session import checkpointed, estimated_bytes
 
@@ -32,25 +32,29 @@ def _ratio(part: Column, whole: Column) -> Column:
 
 
 def _column_structs(columns: list[str]) -> Column:
-    """Array with one entry per column from aggregates named n_i (present), lo_i and same_i."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("ordinal"),
-                F.lit(c).alias("column"),
-                (F.col("rows") - F.col(f"n_{i}")).alias("missing"),
-                (
-                    (F.col(f"n_{i}") == 0)
-                    | ((F.col(f"n_{i}") == F.col("rows")) & F.coalesce(F.col(f"same_{i}"), F.lit(False)))
-                ).alias("is_constant"),
-            )
-            for i, c in enumerate(columns)
-        ]
-    )
+    """Array with one entry per column from `rows` and the arrays `present` and `same`."""
+
+    def entry(name: Column, i: Column) -> Column:
+        present = F.get("present", i)
+        one_value = (present == F.col("rows")) & F.coalesce(F.get("same", i), F.lit(False))
+        return F.struct(
+            i.alias("ordinal"),
+            name.alias("column"),
+            (F.col("rows") - present).alias("missing"),
+            ((present == 0) | one_value).alias("is_constant"),
+        )
+
+    return F.transform(names_array(columns), entry)
+
 
+def _same(columns: list[str]) -> Column:
+    """Per column: whether its least and greatest present values are equal."""
+    return array_over(columns, lambda c: f"min({c}) = max({c})", "boolean").alias("same")
 
-def _same(c: str) -> Column:
-    return F.min(named(c)) == F.max(named(c))
+
+def weighted_present(columns: list[str]) -> Column:
+    """Per column: number of present cells of rows weighted by `COPIES`."""
+    return array_over(columns, lambda c: f"coalesce(sum(if({c} IS NULL, 0, {COPIES})), 0)", "bigint").alias("present")
 
 
 def profile_shape(df: DataFrame) -> DataFrame:
@@ -58,17 +62,14 @@ def profile_shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(len(df.columns)).cast("bigint"))
 
 
-def _stats_row(df: DataFrame) -> DataFrame:
-    data, columns = comparable(df), df.columns
-    exprs = [F.count(F.lit(1)).alias("rows")]
-    for i, c in enumerate(columns):
-        exprs += [F.count(named(c)).alias(f"n_{i}"), _same(c).alias(f"same_{i}")]
-    return data.agg(*exprs)
-
-
 def column_stats(df: DataFrame) -> DataFrame:
     """One row per column: rows, missing, is_constant. One pass, no shuffle of rows."""
-    return _stats_row(df).select("rows", F.inline(_column_structs(df.columns))).select(
+    stats = comparable(df).agg(
+        F.count(F.lit(1)).alias("rows"),
+        array_over(df.columns, lambda c: f"count({c})", "bigint").alias("present"),
+        _same(df.columns),
+    )
+    return stats.select("rows", F.inline(_column_structs(df.columns))).select(
         "ordinal", "column", "rows", "missing", "is_constant"
     )
 
@@ -155,15 +156,12 @@ def profile(df: DataFrame, prune: bool | None = None) -> DataFrame:
     constant_columns (array of names), stats (array of per-column structs).
     """
     (data, duplicates), columns = rows_with_copies(df, prune), df.columns
-    exprs = row_counts()
-    for i, c in enumerate(columns):
-        present = F.sum(F.when(named(c).isNotNull(), F.col(COPIES)))
-        exprs += [F.coalesce(present, F.lit(0)).alias(f"n_{i}"), _same(c).alias(f"same_{i}")]
-    stats = data.agg(*exprs).select("rows", "distinct_rows", _column_structs(columns).alias("stats"))
     width = len(columns)
     return (
-        stats.withColumn("columns", F.lit(width).cast("bigint"))
-        .withColumn("missing_cells", F.aggregate("stats", F.lit(0).cast("bigint"), lambda a, s: a + s["missing"]))
+        data.agg(*row_counts(), weighted_present(columns), _same(columns))
+        .withColumn("columns", F.lit(width).cast("bigint"))
+        .withColumn("stats", _column_structs(columns))
+        .withColumn("missing_cells", F.col("rows") * width - array_total(F.col("present")))
         .withColumn("duplicate_rows", duplicates)
         .withColumn("missing_rate", _ratio(F.col("missing_cells"), F.col("rows") * max(width, 1)))
         .withColumn("duplicate_rate", _ratio(F.col("duplicate_rows"), F.col("rows")))

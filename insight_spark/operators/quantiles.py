@@ -10,14 +10,14 @@ ranked exactly. Every round is one distributed aggregate over the numeric column
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from insight_spark.functions.scalars import named, nan_to_null
+from insight_spark.functions.scalars import any_of, named, nan_to_null
 from insight_spark.session import estimated_bytes
 
 SINGLE_TASK_BYTES = 16 << 20
+KEYS_PER_PASS = 16  # quantiles narrowed together; bounds the size of one plan
 FEW = 10  # below this many values per sketch or grid step, rank slack is too small to narrow
 
 
@@ -42,7 +42,25 @@ def exact_quantiles(
             *[F.percentile(f"v{i}", probs).alias(f"q{i}") for i in range(len(columns))],
             *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))],
         )
-    return _narrowed_quantiles(values, len(columns), [float(p) for p in probabilities], accuracy, grid)
+    size = max(1, KEYS_PER_PASS // len(probabilities))
+    batches = [list(range(start, min(start + size, len(columns)))) for start in range(0, len(columns), size)]
+    parts = [
+        _narrowed_quantiles(
+            values.select([F.col(f"v{i}").alias(f"v{k}") for k, i in enumerate(batch)]),
+            len(batch), [float(p) for p in probabilities], accuracy, grid,
+        )
+        for batch in batches
+    ]
+    result = parts[0]
+    for b, part in enumerate(parts[1:], start=1):
+        result = result.withColumn(f"__part{b}", part.select(F.struct("*")).scalar())
+
+    def column(prefix: str, i: int) -> Column:
+        b, k = divmod(i, size)
+        name = f"{prefix}{k}"
+        return (F.col(name) if b == 0 else F.col(f"__part{b}")[name]).alias(f"{prefix}{i}")
+
+    return result.select([column(prefix, i) for prefix in ("q", "n") for i in range(len(columns))])
 
 
 def _fits(values: DataFrame, width: int, limit: int) -> bool:
@@ -80,7 +98,7 @@ def _narrowed_quantiles(
         return F.when(f[f"n{i}"] < FEW * accuracy, f[f"max{i}"]).otherwise(f[f"b{i}"][2 * j + 1])
 
     # Round 2: inside each bracket a grid of approximate quantiles, and the exact rank of its start.
-    steps = [k / grid for k in range(grid + 1)]
+    steps = F.split(F.lit(",".join(str(k / grid) for k in range(grid + 1))), ",").cast("array<double>")
     inside = {(i, j): F.col(f"v{i}").between(low(i, j), high(i, j)) for i, j in keys}
     second = with_first.agg(
         F.struct(
@@ -123,11 +141,12 @@ def _narrowed_quantiles(
             *[
                 F.count_if(F.col(f"v{i}") < F.col("narrow")[f"lo_{i}_{j}"]).alias(f"below_{i}_{j}")
                 for i, j in keys
-            ]
+            ],
+            *[F.max(F.col("narrow")[f"n{i}"]).alias(f"n{i}") for i in range(width)],
         ).alias("r")
     )
     candidates = (
-        with_narrow.where(reduce(lambda a, b: a | b, [kept(i, j) for i, j in keys]))
+        with_narrow.where(any_of([kept(i, j) for i, j in keys]))
         .select(
             F.explode(
                 F.filter(
@@ -151,9 +170,8 @@ def _narrowed_quantiles(
         F.sum("copies").over(W.partitionBy("i", "j").orderBy("v").rowsBetween(W.unboundedPreceding, 0)),
     )
     found = (
-        ranked.withColumn("narrow", narrow.scalar())
-        .withColumn("counts", below.scalar())
-        .withColumn("n", _pick("narrow", {i: f"n{i}" for i in range(width)}, "i"))
+        ranked.withColumn("counts", below.scalar())
+        .withColumn("n", _pick("counts", {i: f"n{i}" for i in range(width)}, "i"))
         .withColumn("below", _pick_pair("counts", "below", keys))
         .withColumn("target", (F.col("n") - 1) * F.get(F.array(*[F.lit(p) for p in probabilities]), F.col("j")))
         .withColumn("k", F.floor("target"))
@@ -191,9 +209,9 @@ def _narrowed_quantiles(
             for i in range(width)
         ]
     )
-    return result.withColumn("narrow", narrow.scalar()).select(
-        *[F.when(F.col("narrow")[f"n{i}"] > 0, F.col(f"q{i}")).alias(f"q{i}") for i in range(width)],
-        *[F.coalesce(F.col("narrow")[f"n{i}"], F.lit(0)).alias(f"n{i}") for i in range(width)],
+    return result.withColumn("counts", below.scalar()).select(
+        *[F.when(F.col("counts")[f"n{i}"] > 0, F.col(f"q{i}")).alias(f"q{i}") for i in range(width)],
+        *[F.coalesce(F.col("counts")[f"n{i}"], F.lit(0)).alias(f"n{i}") for i in range(width)],
     )
 
 

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from insight_spark.functions import fixed
-from insight_spark.functions.scalars import bullet_list, named
+from insight_spark.functions.scalars import array_total, bullet_list, named
 from insight_spark.operators.metrics import semantic_metrics
 from insight_spark.operators.outliers import iqr_outliers
-from insight_spark.operators.profile import profile
+from insight_spark.operators.profile import grouped_copies, profile, row_counts, weighted_present
 from insight_spark.operators.quality import or_else, present
 from insight_spark.operators.quantiles import SINGLE_TASK_BYTES
 
@@ -175,17 +175,17 @@ def profile_by(df: DataFrame, dataset_id: str, columns: Sequence[str]) -> DataFr
     Rows are grouped on the id and all columns first, so a dataset that holds most of the rows is
     spread over its distinct rows and never gathered in one task.
     """
-    keys = [named(dataset_id), *[named(c) for c in columns]]
-    filled = sum((F.when(named(c).isNotNull(), 1).otherwise(0) for c in columns), F.lit(0))
+    width = len(columns)
     return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"))
+        grouped_copies(df.select(named(dataset_id), *[named(c) for c in columns]))
         .groupBy(named(dataset_id))
-        .agg(
-            F.sum("__n").alias("rows"),
-            F.lit(len(columns)).cast("bigint").alias("columns"),
-            F.sum(F.col("__n") * (len(columns) - filled)).alias("missing_cells"),
-            F.sum(F.col("__n") - 1).alias("duplicate_rows"),
+        .agg(*row_counts(), weighted_present(list(columns)))
+        .select(
+            named(dataset_id),
+            "rows",
+            F.lit(width).cast("bigint").alias("columns"),
+            (F.col("rows") * width - array_total(F.col("present"))).alias("missing_cells"),
+            (F.col("rows") - F.col("distinct_rows")).alias("duplicate_rows"),
         )
     )
 
