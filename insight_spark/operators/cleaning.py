@@ -46,7 +46,10 @@ def numeric_gaps(df: DataFrame) -> list[str]:
 
 
 def fill_numeric(
-    df: DataFrame, gap_columns: Sequence[str] | None = None, single_task_bytes: int = SINGLE_TASK_BYTES
+    df: DataFrame,
+    gap_columns: Sequence[str] | None = None,
+    single_task_bytes: int = SINGLE_TASK_BYTES,
+    costly: bool = False,
 ) -> DataFrame:
     """Fill missing numbers with the column median; filled integer columns become doubles.
 
@@ -55,7 +58,7 @@ def fill_numeric(
     columns = list(numeric_gaps(df) if gap_columns is None else gap_columns)
     if not columns:
         return normalise_missing(df)
-    medians = exact_quantiles(df, columns, [0.5], single_task_bytes)
+    medians = exact_quantiles(df, columns, [0.5], single_task_bytes, costly=costly)
     packed = medians.select(F.struct(*[F.col(f"q{i}")[0].alias(f"m{i}") for i in range(len(columns))]).alias("m"))
     filled = {
         c: F.coalesce(nan_to_null(named(c).cast("double")), F.col("__medians")[f"m{i}"])
@@ -113,7 +116,7 @@ def apply_cleaning(
     if remove_duplicates:
         cleaned = drop_duplicates(cleaned, prune)
     if fill_numbers:
-        cleaned = fill_numeric(cleaned, gap_columns, single_task_bytes)
+        cleaned = fill_numeric(cleaned, gap_columns, single_task_bytes, costly=remove_duplicates)
     if fill_texts:
         cleaned = fill_text(cleaned)
     if trim:

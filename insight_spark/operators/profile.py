@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from insight_spark.functions.scalars import array_over, array_total, named, names_array
 from insight_spark.operators.schema import comparable
-from insight_spark.session import checkpointed, estimated_bytes
+from insight_spark.session import estimated_bytes, stored
 
 COPIES = "__copies"
 ROW_HASH = "__row_hash"
@@ -111,7 +111,7 @@ def repeated_hashes(df: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> Da
     """Hashes carried by more than one row, or None if there are too many to broadcast."""
     data = comparable(df)
     hashes = data.select(F.xxhash64(*[named(c) for c in data.columns]).alias(ROW_HASH))
-    repeated = checkpointed(
+    repeated = stored(
         hashes.groupBy(ROW_HASH).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(ROW_HASH)
     )
     return repeated if repeated.count() * HASH_BYTES <= broadcast_bytes else None

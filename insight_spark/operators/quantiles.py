@@ -1,28 +1,52 @@
 """Exact interpolated quantiles at any size.
 
 The built-in exact `percentile` keeps every distinct value of a column in one task, so it is
-used only below a checked size. Beyond it, quantiles are narrowed down: two rounds of
-`approx_percentile`, whose rank error is guaranteed, bracket each quantile between two values
-so close that about one row in a million lies between them; only those rows are grouped and
-ranked exactly. Every round is one distributed aggregate over the numeric columns.
+used only below a checked size. Beyond it, each quantile is narrowed down: two rounds of
+`approx_percentile`, whose rank error is guaranteed, bracket it between two values so close that
+about one row in a million lies between them; only those rows are grouped and ranked exactly.
+
+Every round is one distributed aggregate over the numeric columns, of which the driver reads a
+single short row. The bounds then enter the next round as literals, so the scan can skip row
+groups outside them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from insight_spark.functions.scalars import any_of, named, nan_to_null
-from insight_spark.session import estimated_bytes
+from insight_spark.session import estimated_bytes, stored
 
 SINGLE_TASK_BYTES = 16 << 20
 KEYS_PER_PASS = 16  # quantiles narrowed together; bounds the size of one plan
 FEW = 10  # below this many values per sketch or grid step, rank slack is too small to narrow
 
 
-def _values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select([nan_to_null(named(c).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)])
+class Bracket(NamedTuple):
+    """A quantile to find: column position, probability, number of values, and value bounds."""
+
+    column: int
+    probability: float
+    n: int
+    low: float
+    high: float
+
+    @property
+    def target(self) -> float:
+        return (self.n - 1) * self.probability
+
+    def value(self) -> Column:
+        return F.col(f"v{self.column}")
+
+    def inside(self) -> Column:
+        return self.value().between(self.low, self.high)
+
+    def below(self) -> Column:
+        return F.count_if(self.value() < self.low)
 
 
 def exact_quantiles(
@@ -32,35 +56,42 @@ def exact_quantiles(
     single_task_bytes: int = SINGLE_TASK_BYTES,
     accuracy: int = 10_000,
     grid: int = 1_000,
+    costly: bool = False,
 ) -> DataFrame:
     """One row: for each column (in order) ``q0, q1, ...`` an array of quantiles and ``n0, n1, ...``
-    the number of values. Linear interpolation between neighbours; missing values are skipped."""
-    values = _values(df, columns)
+    the number of values. Linear interpolation between neighbours; missing values are skipped.
+
+    Lazy below `single_task_bytes`; larger inputs run the narrowing jobs when called. If the frame
+    is `costly` to compute (it shuffles), its values are stored once for all rounds.
+    """
+    values = df.select([nan_to_null(named(c).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)])
+    probabilities = [float(p) for p in probabilities]
     if single_task_bytes > 0 and _fits(values, len(columns), single_task_bytes):
-        probs = F.array(*[F.lit(float(p)) for p in probabilities])
+        wanted = F.array(*[F.lit(p) for p in probabilities])
         return values.agg(
-            *[F.percentile(f"v{i}", probs).alias(f"q{i}") for i in range(len(columns))],
+            *[F.percentile(f"v{i}", wanted).alias(f"q{i}") for i in range(len(columns))],
             *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))],
         )
+    if costly:
+        values = stored(values)
     size = max(1, KEYS_PER_PASS // len(probabilities))
-    batches = [list(range(start, min(start + size, len(columns)))) for start in range(0, len(columns), size)]
-    parts = [
-        _narrowed_quantiles(
-            values.select([F.col(f"v{i}").alias(f"v{k}") for k, i in enumerate(batch)]),
-            len(batch), [float(p) for p in probabilities], accuracy, grid,
-        )
-        for batch in batches
+    found: dict[tuple[int, float], float] = {}
+    counts: dict[int, int] = {}
+    for start in range(0, len(columns), size):
+        batch = range(start, min(start + size, len(columns)))
+        brackets = _first_brackets(values, batch, probabilities, accuracy, counts)
+        brackets = _narrowed(values, brackets, accuracy, grid)
+        found.update(_ranked(values, brackets))
+    results = [
+        F.lit(None).cast("array<double>")
+        if counts[i] == 0
+        else F.array(*[F.lit(found[i, p]) for p in probabilities])
+        for i in range(len(columns))
     ]
-    result = parts[0]
-    for b, part in enumerate(parts[1:], start=1):
-        result = result.withColumn(f"__part{b}", part.select(F.struct("*")).scalar())
-
-    def column(prefix: str, i: int) -> Column:
-        b, k = divmod(i, size)
-        name = f"{prefix}{k}"
-        return (F.col(name) if b == 0 else F.col(f"__part{b}")[name]).alias(f"{prefix}{i}")
-
-    return result.select([column(prefix, i) for prefix in ("q", "n") for i in range(len(columns))])
+    return df.sparkSession.range(1).select(
+        *[q.alias(f"q{i}") for i, q in enumerate(results)],
+        *[F.lit(counts[i]).cast("bigint").alias(f"n{i}") for i in range(len(columns))],
+    )
 
 
 def _fits(values: DataFrame, width: int, limit: int) -> bool:
@@ -69,157 +100,86 @@ def _fits(values: DataFrame, width: int, limit: int) -> bool:
     return (values.count() * 8 * width if size is None else size) <= limit
 
 
-def _narrowed_quantiles(
-    values: DataFrame, width: int, probabilities: list[float], accuracy: int, grid: int
-) -> DataFrame:
-    margin = 2.0 / accuracy
-    keys = [(i, j) for i in range(width) for j in range(len(probabilities))]
-
-    # Round 1: bracket every quantile by approximate quantiles a margin below and above it.
-    brackets = [b for p in probabilities for b in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    first = values.agg(
-        F.struct(
-            *[F.count(f"v{i}").alias(f"n{i}") for i in range(width)],
-            *[F.min(f"v{i}").alias(f"min{i}") for i in range(width)],
-            *[F.max(f"v{i}").alias(f"max{i}") for i in range(width)],
-            *[
-                F.percentile_approx(f"v{i}", [float(b) for b in brackets], accuracy).alias(f"b{i}")
-                for i in range(width)
-            ],
-        ).alias("r")
-    )
-    with_first = values.withColumn("first", first.scalar())
-
-    # The margin has to cover several ranks; columns too short for that are bracketed whole.
-    def low(i: int, j: int, f: Column = F.col("first")) -> Column:
-        return F.when(f[f"n{i}"] < FEW * accuracy, f[f"min{i}"]).otherwise(f[f"b{i}"][2 * j])
-
-    def high(i: int, j: int, f: Column = F.col("first")) -> Column:
-        return F.when(f[f"n{i}"] < FEW * accuracy, f[f"max{i}"]).otherwise(f[f"b{i}"][2 * j + 1])
+def _first_brackets(
+    values: DataFrame, columns: range, probabilities: list[float], accuracy: int, counts: dict[int, int]
+) -> list[Bracket]:
+    """Bracket every quantile by approximate quantiles a margin below and above it.
 
-    # Round 2: inside each bracket a grid of approximate quantiles, and the exact rank of its start.
+    The margin has to cover several ranks; columns too short for that are bracketed whole.
+    """
+    margin = 2.0 / accuracy
+    edges = [e for p in probabilities for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    row = values.agg(
+        *[F.count(f"v{i}").alias(f"n{i}") for i in columns],
+        *[F.array(F.min(f"v{i}"), F.max(f"v{i}")).alias(f"m{i}") for i in columns],
+        *[F.percentile_approx(f"v{i}", edges, accuracy).alias(f"b{i}") for i in columns],
+    ).first()
+    brackets = []
+    for i in columns:
+        counts[i] = n = row[f"n{i}"]
+        for j, p in enumerate(probabilities):
+            if n:
+                low, high = row[f"m{i}"] if n < FEW * accuracy else row[f"b{i}"][2 * j : 2 * j + 2]
+                brackets.append(Bracket(i, p, n, low, high))
+    return brackets
+
+
+def _narrowed(values: DataFrame, brackets: list[Bracket], accuracy: int, grid: int) -> list[Bracket]:
+    """Narrow each bracket to a few steps of a grid of approximate quantiles inside it."""
+    if not brackets:
+        return []
     steps = F.split(F.lit(",".join(str(k / grid) for k in range(grid + 1))), ",").cast("array<double>")
-    inside = {(i, j): F.col(f"v{i}").between(low(i, j), high(i, j)) for i, j in keys}
-    second = with_first.agg(
-        F.struct(
-            *[F.count_if(F.col(f"v{i}") < low(i, j)).alias(f"below_{i}_{j}") for i, j in keys],
-            *[F.count_if(inside[i, j]).alias(f"inside_{i}_{j}") for i, j in keys],
-            *[
-                F.percentile_approx(F.when(inside[i, j], F.col(f"v{i}")), steps, max(accuracy, 4 * grid)).alias(
-                    f"grid_{i}_{j}"
-                )
-                for i, j in keys
-            ],
-            F.first("first").alias("first"),
-        ).alias("r")
-    )
-
-    def edge(i: int, j: int, upper: bool) -> Column:
-        r = F.col("r")
-        target = (r["first"][f"n{i}"] - 1) * F.lit(probabilities[j]) - r[f"below_{i}_{j}"]
-        position = (target + (1 if upper else 0)) / r[f"inside_{i}_{j}"] * grid
-        step = F.ceil(position) + 2 if upper else F.floor(position) - 2
-        index = F.least(F.greatest(step, F.lit(0)), F.lit(grid)).cast("int")
-        whole = high(i, j, r["first"]) if upper else low(i, j, r["first"])
-        return F.when(r[f"inside_{i}_{j}"] < FEW * grid, whole).otherwise(F.get(r[f"grid_{i}_{j}"], index))
-
-    narrow = second.select(
-        F.struct(
-            *[F.col("r")["first"][f"n{i}"].alias(f"n{i}") for i in range(width)],
-            *[edge(i, j, False).alias(f"lo_{i}_{j}") for i, j in keys],
-            *[edge(i, j, True).alias(f"hi_{i}_{j}") for i, j in keys],
-        ).alias("narrow")
-    )
-    with_narrow = values.withColumn("narrow", narrow.scalar())
-
-    # Round 3: exact ranks. Rows below the narrow bracket are only counted, rows in it are kept.
-    def kept(i: int, j: int) -> Column:
-        return F.col(f"v{i}").between(F.col("narrow")[f"lo_{i}_{j}"], F.col("narrow")[f"hi_{i}_{j}"])
-
-    below = with_narrow.agg(
-        F.struct(
-            *[
-                F.count_if(F.col(f"v{i}") < F.col("narrow")[f"lo_{i}_{j}"]).alias(f"below_{i}_{j}")
-                for i, j in keys
-            ],
-            *[F.max(F.col("narrow")[f"n{i}"]).alias(f"n{i}") for i in range(width)],
-        ).alias("r")
-    )
+    row = values.agg(
+        *[b.below().alias(f"below{k}") for k, b in enumerate(brackets)],
+        *[F.count_if(b.inside()).alias(f"inside{k}") for k, b in enumerate(brackets)],
+        *[
+            F.percentile_approx(F.when(b.inside(), b.value()), steps, max(accuracy, 4 * grid)).alias(f"grid{k}")
+            for k, b in enumerate(brackets)
+        ],
+    ).first()
+
+    def narrow(k: int, b: Bracket) -> Bracket:
+        inside = row[f"inside{k}"]
+        if inside < FEW * grid:
+            return b
+        rank = b.target - row[f"below{k}"]
+        first = math.floor(rank / inside * grid) - 2
+        last = math.ceil((rank + 1) / inside * grid) + 2
+        edges = row[f"grid{k}"]
+        return b._replace(low=edges[min(max(first, 0), grid)], high=edges[min(max(last, 0), grid)])
+
+    return [narrow(k, b) for k, b in enumerate(brackets)]
+
+
+def _ranked(values: DataFrame, brackets: list[Bracket]) -> dict[tuple[int, float], float]:
+    """Exact quantiles: rows below a bracket are only counted, rows inside are grouped and ranked."""
+    if not brackets:
+        return {}
+    below = values.agg(*[b.below() for b in brackets]).first()
+    marked = [F.struct(F.lit(k).alias("k"), F.when(b.inside(), b.value()).alias("v")) for k, b in enumerate(brackets)]
     candidates = (
-        with_narrow.where(any_of([kept(i, j) for i, j in keys]))
-        .select(
-            F.explode(
-                F.filter(
-                    F.array(
-                        *[
-                            F.struct(
-                                F.lit(i).alias("i"), F.lit(j).alias("j"), F.when(kept(i, j), F.col(f"v{i}")).alias("v")
-                            )
-                            for i, j in keys
-                        ]
-                    ),
-                    lambda s: s["v"].isNotNull(),
-                )
-            ).alias("c")
-        )
-        .groupBy("c.i", "c.j", "c.v")
+        values.where(any_of([b.inside() for b in brackets]))
+        .select(F.explode(F.filter(F.array(*marked), lambda s: s["v"].isNotNull())).alias("c"))
+        .groupBy("c.k", "c.v")
         .agg(F.count(F.lit(1)).alias("copies"))
     )
-    ranked = candidates.withColumn(
-        "upto",
-        F.sum("copies").over(W.partitionBy("i", "j").orderBy("v").rowsBetween(W.unboundedPreceding, 0)),
-    )
-    found = (
-        ranked.withColumn("counts", below.scalar())
-        .withColumn("n", _pick("counts", {i: f"n{i}" for i in range(width)}, "i"))
-        .withColumn("below", _pick_pair("counts", "below", keys))
-        .withColumn("target", (F.col("n") - 1) * F.get(F.array(*[F.lit(p) for p in probabilities]), F.col("j")))
-        .withColumn("k", F.floor("target"))
-        .groupBy("i", "j")
+    upto = F.sum("copies").over(W.partitionBy("k").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    rank = F.get(F.array(*[F.lit(math.floor(b.target) - below[k]) for k, b in enumerate(brackets)]), F.col("k"))
+    neighbours = (
+        candidates.withColumn("upto", upto)
+        .groupBy("k")
         .agg(
-            F.min(F.when(F.col("below") + F.col("upto") > F.col("k"), F.col("v"))).alias("lower"),
-            F.min(F.when(F.col("below") + F.col("upto") > F.col("k") + 1, F.col("v"))).alias("upper"),
-            F.max("target").alias("target"),
-            F.max("k").alias("k"),
-            F.max("below").alias("below"),
-            F.max(F.col("below") + F.col("upto")).alias("covered"),
+            F.min(F.when(F.col("upto") > rank, F.col("v"))).alias("lower"),
+            F.min(F.when(F.col("upto") > rank + 1, F.col("v"))).alias("upper"),
         )
-        .withColumn("share", F.col("target") - F.col("k"))
-        .withColumn(
-            "q",
-            # A bracket that misses its rank must fail loudly instead of giving a near value.
-            F.when(
-                (F.col("below") > F.col("k"))
-                | (F.col("covered") <= F.col("k"))
-                | ((F.col("share") > 0) & F.col("upper").isNull()),
-                F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"),
-            )
-            .when(F.col("share") == 0, F.col("lower"))
-            .otherwise(F.col("lower") * (1 - F.col("share")) + F.col("upper") * F.col("share")),
-        )
-    )
-    result = found.agg(
-        *[
-            F.array(
-                *[
-                    F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col("q")))
-                    for j in range(len(probabilities))
-                ]
-            ).alias(f"q{i}")
-            for i in range(width)
-        ]
-    )
-    return result.withColumn("counts", below.scalar()).select(
-        *[F.when(F.col("counts")[f"n{i}"] > 0, F.col(f"q{i}")).alias(f"q{i}") for i in range(width)],
-        *[F.coalesce(F.col("counts")[f"n{i}"], F.lit(0)).alias(f"n{i}") for i in range(width)],
+        .collect()
     )
-
-
-def _pick(struct: str, fields: dict[int, str], index: str) -> Column:
-    return F.get(F.array(*[F.col(struct)[fields[i]] for i in sorted(fields)]), F.col(index))
-
-
-def _pick_pair(struct: str, prefix: str, keys: list[tuple[int, int]]) -> Column:
-    probabilities = 1 + max(j for _, j in keys)
-    ordered = F.array(*[F.col(struct)[f"{prefix}_{i}_{j}"] for i, j in keys])
-    return F.get(ordered, F.col("i") * probabilities + F.col("j"))
+    found = {}
+    for row in neighbours:
+        b = brackets[row.k]
+        share = b.target - math.floor(b.target)
+        # A bracket that misses its rank must fail loudly instead of giving a near value.
+        if below[row.k] > b.target or row.lower is None or (share > 0 and row.upper is None):
+            raise RuntimeError(f"bracket of quantile {b.probability} missed its rank")
+        found[b.column, b.probability] = row.lower * (1 - share) + row.upper * share if share else row.lower
+    return found
