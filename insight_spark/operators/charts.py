@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from insight_spark.functions.scalars import coerce_numeric, named
 from insight_spark.operators.schema import numeric_columns
@@ -24,10 +24,21 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
         ).alias("limits")
     )
     width = (F.col("limits")["hi"] - F.col("limits")["lo"]) / bins
-    position = F.floor((F.col("x") - F.col("limits")["lo"]) / width)
+
+    def start(i: Column) -> Column:
+        return F.col("limits")["lo"] + i * width
+
+    guess = F.least(F.floor((F.col("x") - F.col("limits")["lo"]) / width), F.lit(bins - 1)).cast("int")
+    # The division can land next to a bin edge; the edges themselves decide.
+    settled = (
+        F.when(F.col("x") < start(F.col("guess")), F.col("guess") - 1)
+        .when((F.col("guess") < bins - 1) & (F.col("x") >= start(F.col("guess") + 1)), F.col("guess") + 1)
+        .otherwise(F.col("guess"))
+    )
     counts = (
         values.withColumn("limits", limits.scalar())
-        .select(F.least(position, F.lit(bins - 1)).cast("int").alias("bin"))
+        .withColumn("guess", guess)
+        .select(settled.alias("bin"))
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -36,8 +47,8 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     )
     return frame.join(counts, "bin", "left").select(
         "bin",
-        (F.col("limits")["lo"] + F.col("bin") * width).alias("bin_start"),
-        (F.col("limits")["lo"] + (F.col("bin") + 1) * width).alias("bin_end"),
+        start(F.col("bin")).alias("bin_start"),
+        start(F.col("bin") + 1).alias("bin_end"),
         F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
     )
 

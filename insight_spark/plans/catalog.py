@@ -16,6 +16,7 @@ from insight_spark.functions.scalars import (
     coerce_timestamp,
     decode_text,
     format_metric,
+    lines_of,
     user_key,
 )
 from insight_spark.operators import (
@@ -390,8 +391,6 @@ SELECT doc_id, CASE WHEN kind < 2
   END AS summary FROM sized""",
 )
 def text_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from insight_spark.functions.scalars import lines_of
-
     is_text = F.col("doc_id") % 3 < 2
     summary = reports.text_summary(
         F.col("text"),

@@ -97,6 +97,14 @@ def test_histogram_matches_numpy(spark):
     assert [r.bin_start for r in rows] == pytest.approx(edges[:-1].tolist())
 
 
+def test_values_on_bin_edges_match_numpy(spark):
+    import numpy as np
+
+    values = [round(0.1 * i, 1) for i in range(0, 31)]  # many values sit on the edges of ten bins
+    rows = charts.histogram(spark.createDataFrame([(v,) for v in values], "v double"), "v").orderBy("bin").collect()
+    assert [r.n for r in rows] == np.histogram(values, bins=10)[0].tolist()
+
+
 def test_histogram_of_one_value_and_of_nothing(spark):
     frame = spark.createDataFrame([(2.0,), (2.0,)], "v double")
     rows = charts.histogram(frame, "v").orderBy("bin").collect()
