@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from insight_spark.llm import jaccard, packing
+from insight_spark.llm import jaccard, packing, substrings
 from insight_spark.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,3 +33,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_ngram_jaccard_join")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+@query("op6_substring_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), k=50)
