@@ -30,24 +30,35 @@ def texts(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns, body)
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
-    """Connected components of an edge list (a long, b long): one row per vertex, with its smallest vertex.
+def components(edges: DataFrame, limit: int = 40) -> DataFrame:
+    """Connected components of an edge list (a long, b long): one row per vertex (v, c), c its smallest vertex.
 
-    Each round gives every vertex the smallest label among itself and its neighbours, then the label
-    of that label (pointer jumping), so chains shrink geometrically. Rounds are written to the shared
-    folder; only a count of changes reaches the driver. Edges are kept in both directions; a vertex
-    of very many edges is pre-aggregated by Spark's partial minimum. Nulls and loops are ignored.
+    Each round every vertex points at its smallest neighbour, pointers are followed twice over, and
+    edges are redrawn between what their ends point at; equal and closed ones go. Edges so shrink from
+    round to round, and only the first round touches all of them. Rounds are written to the shared
+    folder; the driver learns no more than whether edges are left. A vertex of very many edges is
+    pre-aggregated by Spark's partial minimum. Edges with a null end and loops are ignored.
     """
-    pairs = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
-    both = stored(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("c")).withColumnRenamed("a", "v"))
+
+    def drawn(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        return stored(ends.where("a <> b").distinct())
+
+    left = drawn(edges.where("a IS NOT NULL AND b IS NOT NULL"))
+    found = None
     for _ in range(limit):
-        near = both.join(labels, both.b == labels.v).groupBy("a").agg(F.min("c").alias("m"))
-        low = labels.join(near, labels.v == near.a).select("v", F.col("c").alias("was"), F.least("c", "m").alias("c"))
-        low = stored(low)
-        up = low.select(F.col("v").alias("c"), F.col("c").alias("up"))
-        labels = stored(low.join(up, "c", "left").select("v", "was", F.least("c", F.coalesce("up", "c")).alias("c")))
-        if labels.where("c <> was").isEmpty():
-            return labels.select("v", "c")
-        labels = labels.select("v", "c")
+        both = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        to = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("c")).select("v", F.least("v", "c").alias("c"))
+        to = stored(to)
+        for _ in range(2):
+            next_to = to.select(F.col("v").alias("c"), F.col("c").alias("further"))
+            to = stored(to.join(next_to, "c").select("v", F.col("further").alias("c")))
+        step = to.select(F.col("v").alias("c"), F.col("c").alias("further"))
+        found = to if found is None else stored(
+            found.join(step, "c", "left").select("v", F.coalesce("further", "c").alias("c"))
+        )
+        a, b = (to.select(F.col("v").alias(x), F.col("c").alias(f"{x}_to")) for x in "ab")
+        left = drawn(left.join(a, "a").join(b, "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")))
+        if left.isEmpty():
+            return found
     raise RuntimeError(f"components did not settle in {limit} rounds")

@@ -28,6 +28,7 @@ from insight_spark.llm.words import BASE, Words, mix
 from insight_spark.session import stored
 
 GROUP_SHINGLES = 300_000
+FOREST = 300_000
 
 
 class Segments:
@@ -155,22 +156,44 @@ def starred(batches):
 
 
 def met(batches):
-    """Edges from each document of a segment to the segment's smallest; rows come sorted by segment and doc."""
+    """Edges that join the documents of each segment; rows come sorted by segment and doc.
+
+    A task passes on a spanning forest of the edges it has seen, at most FOREST documents at a time.
+    """
     last, low = None, 0
+    up: dict[int, int] = {}
+
+    def root(v):
+        while (w := up.setdefault(v, v)) != v:
+            up[v] = v = up[w]
+        return v
+
+    def grown(a, b):
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = root(x), root(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+
+    def forest():
+        pairs = np.array([(v, root(v)) for v in up if up[v] != v], np.int64).reshape(-1, 2)
+        up.clear()
+        return edge_batch(pairs[:, 0], pairs[:, 1])
+
     for batch in batches:
         segment, doc, lows = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
         rep = doc == lows
+        grown(doc[~rep], lows[~rep])
         segment, own = segment[rep], doc[rep]
-        if not len(own):
-            yield edge_batch(doc[~rep], lows[~rep])
-            continue
-        new = np.concatenate([[last is None or segment[0] != last], segment[1:] != segment[:-1]])
-        at = np.maximum.accumulate(np.where(new, np.arange(len(own)), -1))
-        leader = np.where(at >= 0, own[at], low)
-        last, low = segment[-1], leader[-1]
-        more = own != leader
-        pairs = np.unique(np.stack([own[more], leader[more]], axis=1), axis=0)
-        yield edge_batch(np.concatenate([doc[~rep], pairs[:, 0]]), np.concatenate([lows[~rep], pairs[:, 1]]))
+        if len(own):
+            new = np.concatenate([[last is None or segment[0] != last], segment[1:] != segment[:-1]])
+            at = np.maximum.accumulate(np.where(new, np.arange(len(own)), -1))
+            leader = np.where(at >= 0, own[at], low)
+            last, low = segment[-1], leader[-1]
+            more = own != leader
+            grown(*np.unique(np.stack([own[more], leader[more]], axis=1), axis=0).T)
+        if len(up) > FOREST:
+            yield forest()
+    yield forest()
 
 
 def required(percent: int, a: int, b: int) -> int:
