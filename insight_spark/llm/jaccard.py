@@ -381,7 +381,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     members = stored(members)
     sizes = members.groupBy("part").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("weight")).where("members > 1")
     wanted = members.join(sizes, "part").select("doc_id", "part", F.ceil(F.col("weight") / GROUP_SHINGLES).cast("int").alias("blocks"))
-    held = stored(wanted.join(texts(docs), "doc_id"))
+    held = stored(wanted.join(texts(docs).hint("merge"), "doc_id"))  # one plan at every size
     small = held.where("blocks = 1").select("part", "doc_id", F.lit(False).alias("near"), "text")
     large = held.where("blocks > 1")
     pivots = large.groupBy("part").agg(F.min(F.struct("doc_id", "text")).alias("p"))
