@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from insight_spark.llm import decontamination, jaccard, lines, packing, substrings
+from insight_spark.llm import decontamination, jaccard, lines, neighbours, packing, substrings, toxicity
 from insight_spark.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,3 +63,14 @@ FROM marked GROUP BY doc_id
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = lines.remove_boilerplate(table(spark, sf_dir, "documents"), min_sites=10)
     return cleaned.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+
+
+@query("op4_approximate_nearest_neighbours")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), k=10)
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
