@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from insight_spark.llm import decontamination, jaccard, lines, neighbours, packing, substrings, toxicity
+from insight_spark.llm import chat, credentials, decontamination, jaccard, lines, neighbours, packing, substrings, toxicity
 from insight_spark.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,3 +74,51 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_toxicity")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+CHAT_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -1, x.turn, x.role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS x(turn, role))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<||>' || role) + CASE WHEN role IN ('system', 'user', 'assistant') THEN 0 ELSE length('role:') END
+    + length('<|end|>') + 2 + length(text)
+    + length(regexp_replace(text, '[^\\\\<\\[|]', '', 'g'))) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
+@query("op8_chat_formatting", CHAT_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.sql("SELECT -1L AS conv_id, x.* FROM VALUES (0L, 'user'), (1L, 'assistant') AS x(turn, role)")
+    own = own.withColumn("text", F.lit("</s>[INST] ok [/INST]"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    read = chat.conversations(rows).withColumns(
+        {"back": chat.read_turns(F.col("formatted")), "loss": chat.read_loss(F.col("segments"))}
+    )
+    said = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("back").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+@query("op10_secret_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = credentials.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*credentials.BASE))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *(count(kind) for kind in credentials.BASE),
+        F.sha2(credentials.listed(base), 256).alias("base_sha256"),
+        credentials.listed(F.col("spans")).alias("spans"),
+    )

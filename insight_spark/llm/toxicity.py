@@ -10,7 +10,7 @@ from insight_spark.llm.common import prepare, texts
 from insight_spark.llm.words import LOWER, SPACE
 from insight_spark.session import stored
 
-LENGTHS = (4, 5, 6)
+LENGTHS = (4, 5, 6, 7)
 BITS = 20
 FACTORS = {n: np.uint64(0x9E3779B97F4A7C15 * (2 * n + 1) & (1 << 64) - 1 | 1) for n in LENGTHS}
 
@@ -83,7 +83,7 @@ def descend(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.nda
     return w, bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_features: int = 8_000, l2: float = 1e-5) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_features: int = 3_000, l2: float = 2e-3) -> Model | None:
     """Fit on the labelled documents: at most most_rows of them, those whose doc_id hashes lowest.
 
     Log-count ratios come from how many toxic and other training texts contain each n-gram (one added
