@@ -402,3 +402,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     return classes.join(final, classes.rep == final.v, "left").select(
         "doc_id", "n_shingles", F.coalesce("c", "rep").alias("component_id")
     )
+
+
+def without_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its component; see jaccard_components.
+
+    Texts without words stay, and so do rows without doc_id, which cannot be told apart, and all rows
+    that repeat a kept doc_id.
+    """
+    found = jaccard_components(docs, n, percent)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
