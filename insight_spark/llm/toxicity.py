@@ -12,6 +12,7 @@ from insight_spark.session import stored
 
 LENGTHS = (4, 5, 6, 7)
 BITS = 20
+TASKS = 8
 FACTORS = {n: np.uint64(0x9E3779B97F4A7C15 * (2 * n + 1) & (1 << 64) - 1 | 1) for n in LENGTHS}
 
 
@@ -44,14 +45,16 @@ def present(texts: list[bytes], wanted: np.ndarray | None = None) -> tuple[np.nd
     return keys >> BITS, keys & ((1 << BITS) - 1)
 
 
-def featured(batches):
-    """Labelled texts -> label and distinct features."""
+def tallied(batches):
+    """Labelled texts -> how many toxic and other texts of the task have each feature."""
+    tally = np.zeros((2, 1 << BITS), np.int64)
     for batch in batches:
-        body = batch.column(1).to_pylist()
-        owner, value = present(body)
-        at = pa.array(np.searchsorted(owner, np.arange(len(body) + 1)).astype(np.int32))
-        lists = pa.ListArray.from_arrays(at, pa.array(value, pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["toxic", "features"])
+        toxic = batch.column(0).to_numpy(zero_copy_only=False)
+        owner, value = present(batch.column(1).to_pylist())
+        for k in (0, 1):
+            tally[k] += np.bincount(value[toxic[owner] == k], minlength=1 << BITS)
+    f = np.flatnonzero(tally.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), pa.array(tally[1, f]), pa.array(tally[0, f])], names=["f", "a", "b"])
 
 
 class Model:
@@ -97,16 +100,13 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_featur
     )
     chosen = stored(chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(most_rows))
     # at most most_rows short rows are broadcast
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    sample = stored(rows.mapInArrow(featured, "toxic int, features array<int>"))
-    toxic = (F.col("toxic") != 0).cast("long")
-    classes = sample.agg(F.sum(toxic), F.sum(1 - toxic)).first()
+    rows = texts(docs).join(F.broadcast(chosen), "doc_id")
+    sample = stored(rows.select((F.col("toxic") != 0).cast("int").alias("toxic"), "text")).coalesce(TASKS)
+    classes = sample.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     n1, n0 = classes[0] or 0, classes[1] or 0
     if not n1 or not n0:
         return None
-    counts = sample.select(toxic.alias("t"), F.explode("features").alias("f")).groupBy("f").agg(
-        F.sum("t").alias("a"), F.sum(1 - F.col("t")).alias("b")
-    )
+    counts = sample.mapInArrow(tallied, "f int, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     share = (F.col("a") + F.col("b")) / (n1 + n0)
     z = F.abs(F.col("a") / n1 - F.col("b") / n0) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
     top = counts.where("a + b >= 3").orderBy(z.desc(), "f").limit(most_features).toPandas()
@@ -120,17 +120,14 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_featur
 
     def narrowed(batches):
         for batch in batches:
-            lists = batch.column(1)
-            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            column = wanted[values[offsets[0] : offsets[-1]]]
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))[column >= 0]
+            owner, value = present(batch.column(1).to_pylist(), wanted >= 0)
             at = pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32))
-            kept = pa.ListArray.from_arrays(at, pa.array(column[column >= 0], pa.int32()))
+            kept = pa.ListArray.from_arrays(at, pa.array(wanted[value], pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), kept], names=["toxic", "columns"])
 
     y, parts = [], []
-    for row in sample.mapInArrow(narrowed, "toxic int, columns array<int>").toLocalIterator(prefetchPartitions=False):
-        y.append(float(row.toxic != 0))
+    for row in sample.mapInArrow(narrowed, "toxic int, columns array<int>").toLocalIterator():
+        y.append(float(row.toxic))
         parts.append(np.array(row["columns"], np.int32))
     columns = np.concatenate(parts)
     owner = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
