@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -13,36 +15,49 @@ from insight_spark.session import stored
 LENGTHS = (4, 5, 6, 7)
 BITS = 20
 TASKS = 8
+PART = 256 << 10
 FACTORS = {n: np.uint64(0x9E3779B97F4A7C15 * (2 * n + 1) & (1 << 64) - 1 | 1) for n in LENGTHS}
 
 
-def features(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each n: the feature of every run of n bytes of the joined texts, and the text it begins in (runs
-    that leave their text are left out). A-Z are lowered, white space is a space on both sides too."""
+def runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each n: the feature of every run of n bytes of the joined texts, and where each text begins.
+    A-Z are lowered, white space is a space, and every text has spaces and a line break around it."""
     joined = b" " + b" \n ".join(texts) + b" "
     raw = np.frombuffer(joined, np.uint8)
-    codes = LOWER[np.where(SPACE[raw] & (raw != 10), np.uint8(32), raw)].astype(np.uint64)
+    codes = LOWER[np.where(SPACE[raw] & (raw != 10), np.uint8(32), raw)]
     begins = np.cumsum([0, *(len(t) + 3 for t in texts)])
-    out = []
     for n in LENGTHS:
         size = max(0, len(raw) - n + 1)
         value = np.zeros(size, np.uint64)
         for k in range(n):
-            value = value << np.uint64(8) | codes[k : k + size]
-        value = (value * FACTORS[n]) >> np.uint64(64 - BITS)
-        out.append((value.astype(np.int64), begins))
-    return out
+            value <<= np.uint64(8)
+            value |= codes[k : k + size]
+        value *= FACTORS[n]
+        value >>= np.uint64(64 - BITS)
+        yield value.view(np.int64), begins
 
 
 def present(texts: list[bytes], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, feature) pairs, of the wanted features only if those are given."""
-    keys = []
-    for value, begins in features(texts):
-        at = np.arange(len(value)) if wanted is None else np.flatnonzero(wanted[value])
-        owner = np.searchsorted(begins, at, "right") - 1
-        keys.append(owner << BITS | value[at])
-    keys = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.int64)
-    return keys >> BITS, keys & ((1 << BITS) - 1)
+    """Distinct (text, feature) pairs, of the wanted features only if those are given. Texts are taken
+    PART bytes at a time (one text at least)."""
+    owners, values, first = [], [], 0
+    while first < len(texts):
+        to, size = first + 1, len(texts[first])
+        while to < len(texts) and size + len(texts[to]) <= PART:
+            size += len(texts[to])
+            to += 1
+        keys = []
+        for value, begins in runs(texts[first:to]):
+            at = np.arange(len(value)) if wanted is None else np.flatnonzero(wanted[value])
+            owner = np.searchsorted(begins, at, "right") - 1
+            keys.append(np.unique(owner << BITS | value[at]))
+        found = np.unique(np.concatenate(keys))
+        owners.append((found >> BITS) + first)
+        values.append(found & ((1 << BITS) - 1))
+        first = to
+    if not owners:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(owners), np.concatenate(values)
 
 
 def tallied(batches):
