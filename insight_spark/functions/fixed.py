@@ -11,7 +11,6 @@ FALSE_TOKENS = ["False", "FALSE", "false"]
 # --- Fixed values: limits ------------------------------------------------------------------
 FREE_ANALYSIS_LIMIT = 2
 MAX_UPLOAD_MB = 200
-OUTLIER_COLUMN_LIMIT = 8
 OUTLIER_MIN_VALUES = 8
 IQR_FACTOR = 1.5
 SUMMARY_COLUMN_LIMIT = 50

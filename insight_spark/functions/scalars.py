@@ -129,26 +129,28 @@ def percent_text(rate: Column, digits: int = 1) -> Column:
 
 def plain_number(value: Column, digits: int = 2) -> Column:
     """Fixed decimals without thousands separators."""
-    return F.replace(F.format_number(value, digits), F.lit(","), F.lit(""))
+    return F.replace(finite_text(value, digits), F.lit(","), F.lit(""))
+
+
+def finite_text(value: Column, digits: int) -> Column:
+    """Grouped digits with fixed decimals; infinities as words."""
+    return (
+        F.when(value == float("inf"), F.lit("inf"))
+        .when(value == float("-inf"), F.lit("-inf"))
+        .otherwise(F.format_number(value, digits))
+    )
 
 
 def format_metric(value: Column, fmt: Column) -> Column:
     """Display text of a metric by format: currency, percent, integer, anything else two decimals."""
     value = value.cast("double")
 
-    def grouped(x: Column, digits: int) -> Column:
-        return (
-            F.when(x == float("inf"), F.lit("inf"))
-            .when(x == float("-inf"), F.lit("-inf"))
-            .otherwise(F.format_number(x, digits))
-        )
-
     return (
         F.when(value.isNull() | F.isnan(value), F.lit("N/A"))
-        .when(fmt == "currency", F.concat(F.lit("$"), grouped(value, 2)))
-        .when(fmt == "percent", F.concat(grouped(value * 100, 2), F.lit("%")))
-        .when(fmt == "integer", grouped(F.bround(value), 0))
-        .otherwise(grouped(value, 2))
+        .when(fmt == "currency", F.concat(F.lit("$"), finite_text(value, 2)))
+        .when(fmt == "percent", F.concat(finite_text(value * 100, 2), F.lit("%")))
+        .when(fmt == "integer", finite_text(F.bround(value), 0))
+        .otherwise(finite_text(value, 2))
     )
 
 

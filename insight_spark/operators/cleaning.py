@@ -18,7 +18,7 @@ from insight_spark.functions.scalars import (
 )
 from insight_spark.operators.profile import drop_duplicates, profile
 from insight_spark.operators.quality import or_else
-from insight_spark.operators.quantiles import SINGLE_TASK_BYTES, exact_quantiles
+from insight_spark.operators.quantiles import exact_quantiles
 from insight_spark.operators.schema import (
     DATE_NAME_PARTS,
     date_like_columns,
@@ -26,6 +26,7 @@ from insight_spark.operators.schema import (
     numeric_columns,
     text_columns,
 )
+from insight_spark.session import stored
 
 CLEANING_DATE_PARTS = ("date",)
 
@@ -45,12 +46,7 @@ def numeric_gaps(df: DataFrame) -> list[str]:
     return [c for c, present in zip(columns, counts.present) if present < counts.rows]
 
 
-def fill_numeric(
-    df: DataFrame,
-    gap_columns: Sequence[str] | None = None,
-    single_task_bytes: int = SINGLE_TASK_BYTES,
-    costly: bool = False,
-) -> DataFrame:
+def fill_numeric(df: DataFrame, gap_columns: Sequence[str] | None = None) -> DataFrame:
     """Fill missing numbers with the column median; filled integer columns become doubles.
 
     A column without any value stays missing. Pass `gap_columns` to skip the scan that finds them.
@@ -58,7 +54,7 @@ def fill_numeric(
     columns = list(numeric_gaps(df) if gap_columns is None else gap_columns)
     if not columns:
         return normalise_missing(df)
-    medians = exact_quantiles(df, columns, [0.5], single_task_bytes, costly=costly)
+    medians = exact_quantiles(df, columns, [0.5])
     packed = medians.select(F.struct(*[F.col(f"q{i}")[0].alias(f"m{i}") for i in range(len(columns))]).alias("m"))
     filled = {
         c: F.coalesce(nan_to_null(named(c).cast("double")), F.col("__medians")[f"m{i}"])
@@ -102,8 +98,6 @@ def apply_cleaning(
     dates: bool = False,
     date_formats: Sequence[str] = DEFAULT_DATE_FORMATS,
     gap_columns: Sequence[str] | None = None,
-    prune: bool | None = None,
-    single_task_bytes: int = SINGLE_TASK_BYTES,
 ) -> DataFrame:
     """The cleaning pipeline in its fixed order: duplicates, numbers, texts, spaces, dates.
 
@@ -114,9 +108,11 @@ def apply_cleaning(
     if fill_numbers and gap_columns is None:
         gap_columns = numeric_gaps(cleaned)  # copies of a row have the same gaps
     if remove_duplicates:
-        cleaned = drop_duplicates(cleaned, prune)
+        cleaned = drop_duplicates(cleaned)
+        if fill_numbers and gap_columns:
+            cleaned = stored(cleaned)  # read for the medians and for the result; rows shuffle once
     if fill_numbers:
-        cleaned = fill_numeric(cleaned, gap_columns, single_task_bytes, costly=remove_duplicates)
+        cleaned = fill_numeric(cleaned, gap_columns)
     if fill_texts:
         cleaned = fill_text(cleaned)
     if trim:
@@ -132,7 +128,7 @@ def auto_fix(df: DataFrame, date_formats: Sequence[str] = DEFAULT_DATE_FORMATS,
     return standardise_dates(cleaned, DATE_NAME_PARTS, date_formats)
 
 
-def auto_fix_actions(df: DataFrame, prune: bool | None = None) -> DataFrame:
+def auto_fix_actions(df: DataFrame, profiled: DataFrame | None = None) -> DataFrame:
     """What `auto_fix` does to this frame: (ordinal, action)."""
     removed = F.when(
         F.col("duplicate_rows") > 0,
@@ -154,6 +150,6 @@ def auto_fix_actions(df: DataFrame, prune: bool | None = None) -> DataFrame:
         filled(text_columns(df), "Filled missing text values in '", "' with 'Unknown'."),
         dated,
     )
-    return profile(df, prune).select(
+    return (profile(df) if profiled is None else profiled).select(
         F.posexplode(or_else(entries, fixed.NO_FIX_ACTIONS)).alias("ordinal", "action")
     )

@@ -15,11 +15,11 @@ def _summary(df: DataFrame, columns: list[str]):
     return packed.select(F.struct("*").alias("s"))
 
 
-def shared_numeric(a: DataFrame, b: DataFrame, limit: int = 10) -> list[str]:
+def shared_numeric(a: DataFrame, b: DataFrame, limit: int | None = None) -> list[str]:
     return sorted(set(numeric_columns(a)) & set(numeric_columns(b)))[:limit]
 
 
-def compare_frames(a: DataFrame, b: DataFrame, limit: int = 10) -> DataFrame:
+def compare_frames(a: DataFrame, b: DataFrame, limit: int | None = None) -> DataFrame:
     """Long frame (ordinal, item, a_value, b_value, change): rows, columns, then column means."""
     columns = shared_numeric(a, b, limit)
     both = _summary(a, columns).select(F.col("s").alias("a")).withColumn("b", _summary(b, columns).scalar())
@@ -41,7 +41,7 @@ def compare_frames(a: DataFrame, b: DataFrame, limit: int = 10) -> DataFrame:
     return both.select(F.inline(F.array(*entries)))
 
 
-def comparison_text(a: DataFrame, b: DataFrame, limit: int = 10) -> DataFrame:
+def comparison_text(a: DataFrame, b: DataFrame, limit: int | None = None) -> DataFrame:
     """The comparison as one text row."""
     columns = shared_numeric(a, b, limit)
     both = _summary(a, columns).select(F.col("s").alias("a")).withColumn("b", _summary(b, columns).scalar())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from insight_spark.functions import fixed
 from insight_spark.functions.scalars import array_total, coerce_numeric, format_metric, named, names_array
-from insight_spark.operators.profile import COPIES, row_counts, rows_with_copies, weighted_present
+from insight_spark.operators.profile import COPIES, duplicates, grouped_copies, row_counts, weighted_present
 
 
 def metric_registry(df: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def metric_availability(df: DataFrame) -> DataFrame:
     )
 
 
-def semantic_metrics(df: DataFrame, prune: bool | None = None) -> DataFrame:
+def semantic_metrics(df: DataFrame) -> DataFrame:
     """Long frame (ordinal, key, label, description, raw_value, formatted_value, source_columns).
 
     One scan and one grouping on all columns; sums are weighted by the number of copies.
@@ -37,19 +37,18 @@ def semantic_metrics(df: DataFrame, prune: bool | None = None) -> DataFrame:
         for key, _, _, _, required in fixed.METRICS
         if required and all(c in df.columns for c in required)
     }
-    data, duplicates = rows_with_copies(df, prune)
     exprs = [*row_counts(), weighted_present(df.columns)]
     for key, column in sums.items():
         number = coerce_numeric(named(column), schema[column])
         exprs.append(F.coalesce(F.sum(number * F.col(COPIES)), F.lit(0.0)).alias(key))
-    totals = data.agg(*exprs)
+    totals = grouped_copies(df).agg(*exprs)
 
     rows = F.col("rows").cast("double")
     values: dict[str, Column] = {
         "record_count": rows,
         "column_count": F.lit(float(width)),
         "missing_value_rate": (rows * width - array_total(F.col("present"))) / F.greatest(rows * max(width, 1), F.lit(1.0)),
-        "duplicate_rate": duplicates.cast("double") / F.greatest(rows, F.lit(1.0)),
+        "duplicate_rate": duplicates().cast("double") / F.greatest(rows, F.lit(1.0)),
         **{key: F.col(key) for key in sums},
     }
     whole_frame = {"missing_value_rate", "duplicate_rate"}

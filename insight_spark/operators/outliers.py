@@ -6,16 +6,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from insight_spark.functions import fixed
 from insight_spark.functions.scalars import named, nan_to_null
-from insight_spark.operators.quantiles import SINGLE_TASK_BYTES, exact_quantiles
+from insight_spark.operators.quantiles import exact_quantiles
 from insight_spark.operators.schema import numeric_columns
 
 
-def iqr_outliers(
-    df: DataFrame,
-    max_columns: int = fixed.OUTLIER_COLUMN_LIMIT,
-    single_task_bytes: int = SINGLE_TASK_BYTES,
-) -> DataFrame:
-    """Per numeric column (the first `max_columns`): quartiles, fences, values strictly outside.
+def iqr_outliers(df: DataFrame, max_columns: int | None = None) -> DataFrame:
+    """Per numeric column (with `max_columns`: the first so many): quartiles, fences, values strictly outside.
 
     Columns with fewer than 8 values or no spread are reported with zero outliers.
     """
@@ -26,7 +22,7 @@ def iqr_outliers(
             "ordinal int, column string, values bigint, q1 double, q3 double, lower double, upper double,"
             " outliers bigint",
         )
-    quartiles = exact_quantiles(df, columns, [0.25, 0.75], single_task_bytes)
+    quartiles = exact_quantiles(df, columns, [0.25, 0.75])
     packed = quartiles.select(F.struct("*").alias("q")).scalar()
 
     def fence(i: int, upper: bool) -> Column:

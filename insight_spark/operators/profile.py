@@ -5,11 +5,7 @@ aggregation shrinks hot groups of copies before the shuffle) and every statistic
 weighted aggregate over the distinct rows. The statistics that need no row comparison
 (`column_stats`) aggregate the scan directly, without that shuffle.
 
-Grouping shuffles whole rows. Above `PRUNE_BYTES` (or with ``prune=True``) one job first shuffles
-only an 8-byte hash per row; rows whose hash is unique cannot be copies, so only rows that share
-a hash are shuffled and compared on their real columns. The repeated hashes are broadcast after
-their number has been checked; if there are too many, rows are grouped directly. Both ways are
-exact.
+Grouping shuffles each distinct row of a task once, at every size and whatever the share of copies.
 """
 
 from __future__ import annotations
@@ -18,13 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from insight_spark.functions.scalars import array_over, array_total, named, names_array
 from insight_spark.operators.schema import comparable
-from insight_spark.session import estimated_bytes, stored
 
 COPIES = "__copies"
-ROW_HASH = "__row_hash"
-HASH_BYTES = 16
-BROADCAST_BYTES = 64 << 20
-PRUNE_BYTES = 1 << 40
 
 
 def _ratio(part: Column, whole: Column) -> Column:
@@ -100,69 +91,38 @@ def grouped_copies(df: DataFrame) -> DataFrame:
     return data.groupBy(*[named(c) for c in data.columns]).agg(F.count(F.lit(1)).alias(COPIES))
 
 
-def _should_prune(df: DataFrame, prune: bool | None) -> bool:
-    if prune is not None:
-        return prune
-    size = estimated_bytes(df)
-    return size is not None and size > PRUNE_BYTES
-
-
-def repeated_hashes(df: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame | None:
-    """Hashes carried by more than one row, or None if there are too many to broadcast."""
-    data = comparable(df)
-    hashes = data.select(F.xxhash64(*[named(c) for c in data.columns]).alias(ROW_HASH))
-    repeated = stored(
-        hashes.groupBy(ROW_HASH).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(ROW_HASH)
-    )
-    return repeated if repeated.count() * HASH_BYTES <= broadcast_bytes else None
-
-
-def _hashed(df: DataFrame) -> DataFrame:
-    return df.withColumn(ROW_HASH, F.xxhash64(*[named(c) for c in df.columns]))
-
-
-def rows_with_copies(
-    df: DataFrame, prune: bool | None = None, broadcast_bytes: int = BROADCAST_BYTES
-) -> tuple[DataFrame, Column]:
-    """Rows with a weight (`COPIES`), and the number of duplicate rows.
-
-    The number is a column to use after an aggregation that yields ``rows`` (sum of the weights)
-    and ``distinct_rows`` (row count).
-    """
-    repeated = repeated_hashes(df, broadcast_bytes) if _should_prune(df, prune) else None
-    if repeated is None:
-        return grouped_copies(df), F.col("rows") - F.col("distinct_rows")
-    data = comparable(df)
-    shared = _hashed(data).join(F.broadcast(repeated), ROW_HASH, "left_semi").drop(ROW_HASH)
-    extra = grouped_copies(shared).agg(F.coalesce(F.sum(F.col(COPIES) - 1), F.lit(0)).alias("n"))
-    return data.withColumn(COPIES, F.lit(1)), extra.scalar()
-
-
 def row_counts() -> list[Column]:
     return [F.coalesce(F.sum(COPIES), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("distinct_rows")]
 
 
-def duplicate_profile(df: DataFrame, prune: bool | None = None) -> DataFrame:
+def duplicates() -> Column:
+    return F.col("rows") - F.col("distinct_rows")
+
+
+def duplicate_profile(df: DataFrame) -> DataFrame:
     """Rows, duplicate rows (every copy after the first) and their share."""
-    data, duplicates = rows_with_copies(df, prune)
-    counts = data.agg(*row_counts()).select("rows", duplicates.alias("duplicate_rows"))
+    counts = grouped_copies(df).agg(*row_counts()).select("rows", duplicates().alias("duplicate_rows"))
     return counts.withColumn("duplicate_rate", _ratio(F.col("duplicate_rows"), F.col("rows")))
 
 
-def profile(df: DataFrame, prune: bool | None = None) -> DataFrame:
+def profile(df: DataFrame) -> DataFrame:
     """One row with everything the quality operators need.
 
     Columns: rows, columns, missing_cells, missing_rate, duplicate_rows, duplicate_rate,
     constant_columns (array of names), stats (array of per-column structs).
     """
-    (data, duplicates), columns = rows_with_copies(df, prune), df.columns
+    return profile_of_copies(grouped_copies(df), df.columns)
+
+
+def profile_of_copies(copies: DataFrame, columns: list[str]) -> DataFrame:
+    """The profile of the rows that were grouped into distinct rows with their number (`COPIES`)."""
     width = len(columns)
     return (
-        data.agg(*row_counts(), weighted_present(columns), _same(columns))
+        copies.agg(*row_counts(), weighted_present(columns), _same(columns))
         .withColumn("columns", F.lit(width).cast("bigint"))
         .withColumn("stats", _column_structs(columns))
         .withColumn("missing_cells", F.col("rows") * width - array_total(F.col("present")))
-        .withColumn("duplicate_rows", duplicates)
+        .withColumn("duplicate_rows", duplicates())
         .withColumn("missing_rate", _ratio(F.col("missing_cells"), F.col("rows") * max(width, 1)))
         .withColumn("duplicate_rate", _ratio(F.col("duplicate_rows"), F.col("rows")))
         .withColumn(
@@ -176,21 +136,9 @@ def profile(df: DataFrame, prune: bool | None = None) -> DataFrame:
     )
 
 
-def drop_duplicates(
-    df: DataFrame, prune: bool | None = None, broadcast_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
-    """Exact duplicate removal; missing values compare equal.
-
-    When pruning, rows with a unique hash skip the shuffle altogether.
-    """
-    data = comparable(df)
-    repeated = repeated_hashes(df, broadcast_bytes) if _should_prune(df, prune) else None
-    if repeated is None:
-        return _restore_maps(data.dropDuplicates(), df)
-    small = F.broadcast(repeated)
-    single = _hashed(data).join(small, ROW_HASH, "left_anti").drop(ROW_HASH)
-    shared = _hashed(data).join(small, ROW_HASH, "left_semi").drop(ROW_HASH)
-    return _restore_maps(single.unionByName(shared.dropDuplicates()), df)
+def drop_duplicates(df: DataFrame) -> DataFrame:
+    """Exact duplicate removal; missing values compare equal."""
+    return _restore_maps(comparable(df).dropDuplicates(), df)
 
 
 def _restore_maps(data: DataFrame, original: DataFrame) -> DataFrame:

@@ -30,9 +30,18 @@ def score_of_profile() -> Column:
     return F.when(F.col("rows") > 0, clipped).otherwise(F.lit(0))
 
 
-def quality_score(df: DataFrame, max_names: int = 8, prune: bool | None = None) -> DataFrame:
-    """One row: the profile columns, `score` and `notes`."""
-    p = profile(df, prune)
+def listed(names: str, most: int | None) -> Column:
+    """The names of an array column in one text; with `most`, the first so many and how many more there are."""
+    if most is None:
+        return F.array_join(names, ", ")
+    more = F.size(names) - most
+    rest = F.when(more > 0, F.concat(F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise("")
+    return F.concat(F.array_join(F.slice(names, 1, most), ", "), rest)
+
+
+def quality_score(df: DataFrame, max_names: int | None = None, profiled: DataFrame | None = None) -> DataFrame:
+    """One row: the profile columns, `score` and `notes`. `profiled`: the frame's profile row, if it is there."""
+    p = profile(df) if profiled is None else profiled
     notes = present(
         [
             F.when(
@@ -49,7 +58,7 @@ def quality_score(df: DataFrame, max_names: int = 8, prune: bool | None = None)
                 F.size("constant_columns") > 0,
                 F.concat(
                     F.lit("Constant columns detected: "),
-                    F.array_join(F.slice("constant_columns", 1, max_names), ", "),
+                    listed("constant_columns", max_names),
                 ),
             ),
         ]
@@ -60,10 +69,10 @@ def quality_score(df: DataFrame, max_names: int = 8, prune: bool | None = None)
     )
 
 
-def readiness(df: DataFrame) -> DataFrame:
+def readiness(df: DataFrame, profiled: DataFrame | None = None) -> DataFrame:
     """Score, band, band message, notes, and how many columns play each role."""
     score = F.col("score")
-    return quality_score(df).select(
+    return quality_score(df, profiled=profiled).select(
         score,
         F.when(score >= 85, "ready").when(score >= 65, "cleaning_recommended").otherwise("needs_cleaning").alias("band"),
         F.when(score >= 85, fixed.READY)

@@ -1,185 +1,78 @@
-"""Exact interpolated quantiles at any size.
+"""Exact interpolated quantiles, one method at every size.
 
-The built-in exact `percentile` keeps every distinct value of a column in one task, so it is
-used only below a checked size. Beyond it, each quantile is narrowed down: two rounds of
-`approx_percentile`, whose rank error is guaranteed, bracket it between two values so close that
-about one row in a million lies between them; only those rows are grouped and ranked exactly.
-
-Every round is one distributed aggregate over the numeric columns, of which the driver reads a
-single short row. The bounds then enter the next round as literals, so the scan can skip row
-groups outside them.
+The values of all columns are laid out as (column, value) and counted; the distinct ones are dealt
+by range, so that each part holds neighbouring values of bounded number. Parts are summed to find
+which of them hold the wanted ranks, and only those few are ranked. Nothing is estimated, and no
+task sees a whole column.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from typing import NamedTuple
-
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
-
-from insight_spark.functions.scalars import any_of, named, nan_to_null
-from insight_spark.session import estimated_bytes, stored
-
-SINGLE_TASK_BYTES = 16 << 20
-KEYS_PER_PASS = 16  # quantiles narrowed together; bounds the size of one plan
-FEW = 10  # below this many values per sketch or grid step, rank slack is too small to narrow
-
-
-class Bracket(NamedTuple):
-    """A quantile to find: column position, probability, number of values, and value bounds."""
-
-    column: int
-    probability: float
-    n: int
-    low: float
-    high: float
 
-    @property
-    def target(self) -> float:
-        return (self.n - 1) * self.probability
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-    def value(self) -> Column:
-        return F.col(f"v{self.column}")
+from insight_spark.functions.scalars import named, nan_to_null
+from insight_spark.session import stored
 
-    def inside(self) -> Column:
-        return self.value().between(self.low, self.high)
 
-    def below(self) -> Column:
-        return F.count_if(self.value() < self.low)
-
-
-def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probabilities: Sequence[float],
-    single_task_bytes: int = SINGLE_TASK_BYTES,
-    accuracy: int = 10_000,
-    grid: int = 1_000,
-    costly: bool = False,
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
     """One row: for each column (in order) ``q0, q1, ...`` an array of quantiles and ``n0, n1, ...``
-    the number of values. Linear interpolation between neighbours; missing values are skipped.
+    the number of values. Linear interpolation between neighbours; missing values are skipped, and a
+    column without values has null.
 
-    Lazy below `single_task_bytes`; larger inputs run the narrowing jobs when called. If the frame
-    is `costly` to compute (it shuffles), its values are stored once for all rounds.
+    The counted values are written to the shared folder when called.
     """
-    values = df.select([nan_to_null(named(c).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)])
-    probabilities = [float(p) for p in probabilities]
-    if single_task_bytes > 0 and _fits(values, len(columns), single_task_bytes):
-        wanted = F.array(*[F.lit(p) for p in probabilities])
-        return values.agg(
-            *[F.percentile(f"v{i}", wanted).alias(f"q{i}") for i in range(len(columns))],
-            *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))],
+    cells = F.array(
+        *[F.struct(F.lit(i).alias("c"), nan_to_null(named(c).cast("double")).alias("v")) for i, c in enumerate(columns)]
+    )
+    counted = df.select(F.inline(cells)).where("v IS NOT NULL").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    placed = stored(counted.repartitionByRange("c", "v").withColumn("part", F.spark_partition_id()))
+    upto = F.sum("m").over(W.partitionBy("c").orderBy("part").rowsBetween(W.unboundedPreceding, 0))
+    parts = (
+        placed.groupBy("c", "part")
+        .agg(F.sum("n").alias("m"))
+        .withColumn("before", upto - F.col("m"))
+        .withColumn("total", F.sum("m").over(W.partitionBy("c")))
+    )
+    wanted = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(p)).alias("p")) for k, p in enumerate(probabilities)])
+    targets = (
+        parts.select("*", F.inline(wanted))
+        .withColumn("target", (F.col("total") - 1) * F.col("p"))
+        .withColumn("low", F.floor("target"))
+        .withColumn("high", F.least(F.col("low") + 1, F.col("total") - 1))
+        .where("(low >= before AND low < before + m) OR (high >= before AND high < before + m)")
+    )
+    rank = F.col("before") + F.sum("n").over(
+        W.partitionBy("c", "part", "k").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    )
+    share = F.max(F.col("target") - F.col("low"))
+    found = (
+        placed.join(targets, ["c", "part"])
+        .withColumn("rank", rank)
+        .groupBy("c", "k")
+        .agg(
+            F.max("total").alias("total"),
+            share.alias("share"),
+            F.min(F.when(F.col("rank") > F.col("low"), F.col("v"))).alias("lower"),
+            F.min(F.when(F.col("rank") > F.col("high"), F.col("v"))).alias("upper"),
+        )
+        .withColumn(
+            "value",
+            F.when(F.col("share") == 0, F.col("lower")).otherwise(
+                F.col("lower") * (1 - F.col("share")) + F.col("upper") * F.col("share")
+            ),
         )
-    if costly:
-        values = stored(values)
-    size = max(1, KEYS_PER_PASS // len(probabilities))
-    found: dict[tuple[int, float], float] = {}
-    counts: dict[int, int] = {}
-    for start in range(0, len(columns), size):
-        batch = range(start, min(start + size, len(columns)))
-        brackets = _first_brackets(values, batch, probabilities, accuracy, counts)
-        brackets = _narrowed(values, brackets, accuracy, grid)
-        found.update(_ranked(values, brackets))
-    results = [
-        F.lit(None).cast("array<double>")
-        if counts[i] == 0
-        else F.array(*[F.lit(found[i, p]) for p in probabilities])
-        for i in range(len(columns))
-    ]
-    return df.sparkSession.range(1).select(
-        *[q.alias(f"q{i}") for i, q in enumerate(results)],
-        *[F.lit(counts[i]).cast("bigint").alias(f"n{i}") for i in range(len(columns))],
     )
 
+    def one(i: int, k: int):
+        return F.max(F.when((F.col("c") == i) & (F.col("k") == k), F.col("value")))
 
-def _fits(values: DataFrame, width: int, limit: int) -> bool:
-    """Whether the values are few enough for one task; counted where no estimate exists."""
-    size = estimated_bytes(values)
-    return (values.count() * 8 * width if size is None else size) <= limit
-
-
-def _first_brackets(
-    values: DataFrame, columns: range, probabilities: list[float], accuracy: int, counts: dict[int, int]
-) -> list[Bracket]:
-    """Bracket every quantile by approximate quantiles a margin below and above it.
-
-    The margin has to cover several ranks; columns too short for that are bracketed whole.
-    """
-    margin = 2.0 / accuracy
-    edges = [e for p in probabilities for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    row = values.agg(
-        *[F.count(f"v{i}").alias(f"n{i}") for i in columns],
-        *[F.array(F.min(f"v{i}"), F.max(f"v{i}")).alias(f"m{i}") for i in columns],
-        *[F.percentile_approx(f"v{i}", edges, accuracy).alias(f"b{i}") for i in columns],
-    ).first()
-    brackets = []
-    for i in columns:
-        counts[i] = n = row[f"n{i}"]
-        for j, p in enumerate(probabilities):
-            if n:
-                low, high = row[f"m{i}"] if n < FEW * accuracy else row[f"b{i}"][2 * j : 2 * j + 2]
-                brackets.append(Bracket(i, p, n, low, high))
-    return brackets
-
-
-def _narrowed(values: DataFrame, brackets: list[Bracket], accuracy: int, grid: int) -> list[Bracket]:
-    """Narrow each bracket to a few steps of a grid of approximate quantiles inside it."""
-    if not brackets:
-        return []
-    steps = F.split(F.lit(",".join(str(k / grid) for k in range(grid + 1))), ",").cast("array<double>")
-    row = values.agg(
-        *[b.below().alias(f"below{k}") for k, b in enumerate(brackets)],
-        *[F.count_if(b.inside()).alias(f"inside{k}") for k, b in enumerate(brackets)],
+    count = [F.coalesce(F.max(F.when(F.col("c") == i, F.col("total"))), F.lit(0)) for i in range(len(columns))]
+    return found.agg(
         *[
-            F.percentile_approx(F.when(b.inside(), b.value()), steps, max(accuracy, 4 * grid)).alias(f"grid{k}")
-            for k, b in enumerate(brackets)
+            F.when(count[i] > 0, F.array(*[one(i, k) for k in range(len(probabilities))])).alias(f"q{i}")
+            for i in range(len(columns))
         ],
-    ).first()
-
-    def narrow(k: int, b: Bracket) -> Bracket:
-        inside = row[f"inside{k}"]
-        if inside < FEW * grid:
-            return b
-        rank = b.target - row[f"below{k}"]
-        first = math.floor(rank / inside * grid) - 2
-        last = math.ceil((rank + 1) / inside * grid) + 2
-        edges = row[f"grid{k}"]
-        return b._replace(low=edges[min(max(first, 0), grid)], high=edges[min(max(last, 0), grid)])
-
-    return [narrow(k, b) for k, b in enumerate(brackets)]
-
-
-def _ranked(values: DataFrame, brackets: list[Bracket]) -> dict[tuple[int, float], float]:
-    """Exact quantiles: rows below a bracket are only counted, rows inside are grouped and ranked."""
-    if not brackets:
-        return {}
-    below = values.agg(*[b.below() for b in brackets]).first()
-    marked = [F.struct(F.lit(k).alias("k"), F.when(b.inside(), b.value()).alias("v")) for k, b in enumerate(brackets)]
-    candidates = (
-        values.where(any_of([b.inside() for b in brackets]))
-        .select(F.explode(F.filter(F.array(*marked), lambda s: s["v"].isNotNull())).alias("c"))
-        .groupBy("c.k", "c.v")
-        .agg(F.count(F.lit(1)).alias("copies"))
-    )
-    upto = F.sum("copies").over(W.partitionBy("k").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
-    rank = F.get(F.array(*[F.lit(math.floor(b.target) - below[k]) for k, b in enumerate(brackets)]), F.col("k"))
-    neighbours = (
-        candidates.withColumn("upto", upto)
-        .groupBy("k")
-        .agg(
-            F.min(F.when(F.col("upto") > rank, F.col("v"))).alias("lower"),
-            F.min(F.when(F.col("upto") > rank + 1, F.col("v"))).alias("upper"),
-        )
-        .collect()
+        *[n.cast("bigint").alias(f"n{i}") for i, n in enumerate(count)],
     )
-    found = {}
-    for row in neighbours:
-        b = brackets[row.k]
-        share = b.target - math.floor(b.target)
-        # A bracket that misses its rank must fail loudly instead of giving a near value.
-        if below[row.k] > b.target or row.lower is None or (share > 0 and row.upper is None):
-            raise RuntimeError(f"bracket of quantile {b.probability} missed its rank")
-        found[b.column, b.probability] = row.lower * (1 - share) + row.upper * share if share else row.lower
-    return found

@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from insight_spark.functions import fixed
 from insight_spark.functions.scalars import array_total, bullet_list, named
+from insight_spark.operators.cleaning import apply_cleaning
 from insight_spark.operators.metrics import semantic_metrics
 from insight_spark.operators.outliers import iqr_outliers
-from insight_spark.operators.profile import grouped_copies, profile, row_counts, weighted_present
-from insight_spark.operators.quality import or_else, present
-from insight_spark.operators.quantiles import SINGLE_TASK_BYTES
+from insight_spark.operators.profile import COPIES, grouped_copies, profile, profile_of_copies, row_counts, weighted_present
+from insight_spark.operators.quality import listed, or_else, present
+from insight_spark.session import stored
 
 
 def _count_text(label: str, count: str) -> Column:
@@ -32,15 +33,15 @@ def _finding(kind: str, issue: Column, *recommendations: str) -> Column:
 
 
 def doctor_findings(
-    df: DataFrame, max_names: int = 15, single_task_bytes: int = SINGLE_TASK_BYTES
+    df: DataFrame, max_names: int | None = None, profiled: DataFrame | None = None
 ) -> DataFrame:
     """Data-quality findings: (ordinal, kind, issue, recommendations)."""
-    return _findings_row(df, max_names, single_task_bytes).select(
+    return _findings_row(df, max_names, profiled).select(
         F.posexplode("findings").alias("ordinal", "f")
     ).select("ordinal", "f.kind", "f.issue", "f.recommendations")
 
 
-def doctor_report(df: DataFrame, max_names: int = 15, single_task_bytes: int = SINGLE_TASK_BYTES) -> DataFrame:
+def doctor_report(df: DataFrame, max_names: int | None = None, profiled: DataFrame | None = None) -> DataFrame:
     """The findings as one text row."""
     findings = F.col("findings")
     text = F.concat(
@@ -49,13 +50,13 @@ def doctor_report(df: DataFrame, max_names: int = 15, single_task_bytes: int = S
         F.lit(fixed.FIXES_HEADING),
         bullet_list(F.flatten(F.transform(findings, lambda f: f["recommendations"]))),
     )
-    return _findings_row(df, max_names, single_task_bytes).select(text.alias("doctor"))
+    return _findings_row(df, max_names, profiled).select(text.alias("doctor"))
 
 
-def _findings_row(df: DataFrame, max_names: int, single_task_bytes: int) -> DataFrame:
-    # At most eight outlier rows exist, one per inspected column.
+def _findings_row(df: DataFrame, max_names: int | None, profiled: DataFrame | None) -> DataFrame:
+    # One outlier row for each numeric column.
     notes = (
-        iqr_outliers(df, single_task_bytes=single_task_bytes)
+        iqr_outliers(df)
         .where("outliers > 0")
         .agg(
             F.array_sort(
@@ -95,7 +96,7 @@ def _findings_row(df: DataFrame, max_names: int, single_task_bytes: int) -> Data
                     F.size("constant_columns") > 0,
                     F.concat(
                         F.lit("Constant columns detected: "),
-                        F.array_join(F.slice("constant_columns", 1, max_names), ", "),
+                        listed("constant_columns", max_names),
                     ),
                 ),
                 fixed.FIX_CONSTANTS,
@@ -104,14 +105,14 @@ def _findings_row(df: DataFrame, max_names: int, single_task_bytes: int) -> Data
     )
     none = F.array(_finding("none", F.lit(fixed.NO_ISSUES), fixed.FIX_NOTHING))
     return (
-        profile(df)
+        (profile(df) if profiled is None else profiled)
         .withColumn("outlier_notes", notes.scalar())
         .withColumn("found", candidates)
         .select(F.when(F.size("found") > 0, F.col("found")).otherwise(none).alias("findings"))
     )
 
 
-def executive_dashboard(df: DataFrame) -> DataFrame:
+def executive_dashboard(df: DataFrame, profiled: DataFrame | None = None) -> DataFrame:
     """One row (rows, columns, missing, duplicates, insights); an empty frame gives no row."""
     insights = present(
         [
@@ -120,7 +121,7 @@ def executive_dashboard(df: DataFrame) -> DataFrame:
         ]
     )
     return (
-        profile(df)
+        (profile(df) if profiled is None else profiled)
         .where("rows > 0")
         .select(
             "rows",
@@ -132,14 +133,29 @@ def executive_dashboard(df: DataFrame) -> DataFrame:
     )
 
 
-def executive_metrics(df: DataFrame, max_items: int = 6) -> DataFrame:
-    """The metric cards of the dashboard: the first `max_items` available metrics."""
-    return semantic_metrics(df).orderBy("ordinal").limit(max_items)
+def executive_metrics(df: DataFrame, max_items: int | None = None) -> DataFrame:
+    """The metric cards of the dashboard: the available metrics, or the first `max_items` of them."""
+    cards = semantic_metrics(df).orderBy("ordinal")
+    return cards if max_items is None else cards.limit(max_items)
 
 
-def cleaning_summary(original: DataFrame, cleaned: DataFrame) -> DataFrame:
+def cleaning_effect(df: DataFrame, **options) -> DataFrame:
+    """`cleaning_summary` of a frame and of what `apply_cleaning` makes of it.
+
+    Rows are grouped once; the groups give the counts before and are the deduplicated rows that the
+    other steps go on with. Options are those of `apply_cleaning`.
+    """
+    copies = stored(grouped_copies(df))
+    if options.pop("remove_duplicates", True) and not any(t.startswith("map") for _, t in df.dtypes):
+        cleaned = apply_cleaning(copies.drop(COPIES), remove_duplicates=False, **options)
+    else:
+        cleaned = apply_cleaning(df, **options)
+    return cleaning_summary(df, cleaned, profile_of_copies(copies, df.columns))
+
+
+def cleaning_summary(original: DataFrame, cleaned: DataFrame, profiled: DataFrame | None = None) -> DataFrame:
     """Missing cells and duplicate rows before and after, and the sentence about them."""
-    before = profile(original).select(
+    before = (profile(original) if profiled is None else profiled).select(
         F.col("missing_cells").alias("missing_before"), F.col("duplicate_rows").alias("duplicates_before")
     )
     after = profile(cleaned).select(F.struct("missing_cells", "duplicate_rows").alias("after"))
@@ -161,10 +177,10 @@ def decision_text(missing: Column, duplicates: Column) -> Column:
     return F.format_string(text, missing.cast("bigint"), duplicates.cast("bigint"))
 
 
-def decision_report(df: DataFrame) -> DataFrame:
+def decision_report(df: DataFrame, profiled: DataFrame | None = None) -> DataFrame:
     """The decision report as one text row."""
     text = decision_text(F.col("missing_cells"), F.col("duplicate_rows"))
-    return profile(df).select(
+    return (profile(df) if profiled is None else profiled).select(
         F.when(F.col("rows") > 0, text).otherwise(fixed.NO_DATASET).alias("decision_report")
     )
 
@@ -234,7 +250,7 @@ def content_summary(df: DataFrame, order_by: Sequence[str], preview_rows: int =
     keys = [named(k) for k in order_by]
     # The preview is limited to `preview_rows` rows before it is gathered.
     sample = preview(df, order_by, preview_rows).select(
-        F.struct(*keys).alias("key"), F.to_json(F.struct("*")).alias("row")
+        F.struct(*keys).alias("key"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row")
     )
     rows = F.transform(F.array_sort(F.collect_list(F.struct("key", "row"))), lambda x: x["row"])
     names = ", ".join(df.columns[: fixed.SUMMARY_COLUMN_LIMIT])

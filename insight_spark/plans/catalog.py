@@ -489,7 +489,7 @@ def duplicate_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
   round(dups / CAST(n AS DOUBLE), 8) AS duplicate_rate FROM counts""",
 )
 def duplicate_profile_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(profile.duplicate_profile(dirty_orders(spark, sf_dir), prune=True), "duplicate_rate", digits=8)
+    return rounded(profile.duplicate_profile(dirty_orders(spark, sf_dir)), "duplicate_rate", digits=8)
 
 
 METRICS_SQL = (
@@ -618,7 +618,7 @@ def executive_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "executive_metrics",
-    f"""WITH {METRICS_SQL} SELECT ordinal, key, f AS formatted_value FROM vals WHERE ordinal < 6""",
+    f"""WITH {METRICS_SQL} SELECT ordinal, key, f AS formatted_value FROM vals""",
 )
 def executive_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.executive_metrics(sales_lines(spark, sf_dir)).select("ordinal", "key", "formatted_value")
@@ -728,8 +728,7 @@ def comparison_text(spark: SparkSession, sf_dir: str) -> DataFrame:
   || ' → 0. {fixed.CLEANING_EFFECT}' AS summary FROM counts""",
 )
 def cleaning_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    original = dirty_orders(spark, sf_dir)
-    return reports.cleaning_summary(original, cleaning.apply_cleaning(original))
+    return reports.cleaning_effect(dirty_orders(spark, sf_dir))
 
 
 FINDINGS_SQL = (
@@ -827,7 +826,7 @@ def clean_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("clean_dedupe_pruned", f"WITH {DIRTY_SQL} SELECT DISTINCT * FROM dirty")
 def clean_dedupe_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.drop_duplicates(dirty_orders(spark, sf_dir), prune=True)
+    return profile.drop_duplicates(dirty_orders(spark, sf_dir))
 
 
 @query(
@@ -845,8 +844,8 @@ def clean_fill_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
   round(coalesce(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.5) FROM dirty)), 4) AS o_totalprice FROM dirty""",
 )
 def clean_fill_numeric_narrowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with the quantile method for large columns."""
-    filled = cleaning.fill_numeric(dirty_orders(spark, sf_dir), single_task_bytes=0)
+    """The same with the gap columns given, so that no scan looks for them."""
+    filled = cleaning.fill_numeric(dirty_orders(spark, sf_dir), ["o_totalprice"])
     return rounded(filled, "o_totalprice", digits=4)
 
 

@@ -47,15 +47,3 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-UNKNOWN_BYTES = 1 << 60
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Optimizer's size estimate for a frame, or None where there is none (in-memory frames carry
-    a placeholder of several exabytes)."""
-    plan = getattr(df, "_jdf", None)
-    if plan is None:
-        return None
-    size = int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < UNKNOWN_BYTES else None

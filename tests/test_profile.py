@@ -41,9 +41,8 @@ def test_unique_columns_keeps_first(spark):
     assert schema.unique_columns(frame).collect()[0].asDict() == {"a": 1, "b.x": 2}
 
 
-@pytest.mark.parametrize("prune", [False, True])
-def test_profile_counts(messy, prune):
-    p = profile.profile(messy, prune).first()
+def test_profile_counts(messy):
+    p = profile.profile(messy).first()
     assert (p.rows, p.columns) == (7, 5)
     assert p.missing_cells == 3 + 3 + 2 + 7
     # NaN and null are one missing value, 0.0 equals -0.0
@@ -52,14 +51,8 @@ def test_profile_counts(messy, prune):
     assert p.missing_rate == 15 / 35 and p.duplicate_rate == 4 / 7
 
 
-@pytest.mark.parametrize("prune", [False, True])
-def test_drop_duplicates(messy, prune):
-    assert profile.drop_duplicates(messy, prune).count() == 3
-
-
-def test_too_many_repeats_fall_back(messy):
-    assert profile.repeated_hashes(messy, broadcast_bytes=0) is None
-    assert profile.drop_duplicates(messy, True, broadcast_bytes=0).count() == 3
+def test_drop_duplicates(messy):
+    assert profile.drop_duplicates(messy).count() == 3
 
 
 def test_duplicates_match_pandas(messy):
@@ -129,7 +122,7 @@ def reference_quantile(values, p):
 @given(
     values=st.lists(st.one_of(st.none(), st.floats(-1e6, 1e6), st.sampled_from([0.0, 1.0])), min_size=0, max_size=60)
 )
-def test_single_task_quantiles(spark, values):
+def test_quantiles_of_small_columns(spark, values):
     frame = spark.createDataFrame([(v,) for v in values], "v double")
     row = exact_quantiles(frame, ["v"], [0.25, 0.5, 0.75]).first()
     present = [v for v in values if v is not None]
@@ -150,28 +143,38 @@ SHAPES = {
 }
 
 
-@pytest.mark.parametrize("accuracy", [20, 10_000])
 @pytest.mark.parametrize("shape", SHAPES)
-def test_narrowed_quantiles_are_exact(spark, shape, accuracy):
-    """A coarse sketch takes all narrowing rounds; a fine one ranks this small column whole."""
+def test_quantiles_are_exact(spark, shape):
     frame = spark.range(20_000).select(F.expr(SHAPES[shape]).alias("v"), F.col("id"))
     values = [r.v for r in frame.select("v").collect() if r.v is not None]
     probabilities = [0.0, 0.25, 0.999]
-    row = exact_quantiles(frame, ["v"], probabilities, single_task_bytes=0, accuracy=accuracy, grid=50).first()
+    row = exact_quantiles(frame, ["v"], probabilities).first()
     assert row.n0 == len(values)
     assert row.q0 == pytest.approx([reference_quantile(values, p) for p in probabilities], rel=1e-12)
 
 
-def test_narrowed_quantiles_of_several_columns(spark):
+def test_quantiles_of_several_columns(spark):
     frame = spark.range(20_000).select(F.col("id"), (F.lit(1.0) / (F.col("id") + 1)).alias("v"))
-    row = exact_quantiles(frame, ["id", "v"], [0.5, 1.0], single_task_bytes=0, accuracy=100, grid=50).first()
+    row = exact_quantiles(frame, ["id", "v"], [0.5, 1.0]).first()
     assert row.q0 == [9999.5, 19_999.0]
     assert row.q1 == pytest.approx([(1 / 10_000 + 1 / 10_001) / 2, 1.0], rel=1e-12)
 
 
-def test_narrowed_quantiles_of_nothing(spark):
+def test_quantiles_count_repeated_rows(spark):
+    """Repetition that no size estimate sees: 300 values, each a thousand times over."""
+    frame = spark.range(300).select(F.col("id").cast("double").alias("v"), F.explode(F.sequence(F.lit(1), F.lit(1000))))
+    row = exact_quantiles(frame, ["v"], [0.25, 0.5]).first()
+    assert row.n0 == 300_000 and row.q0 == [74.75, 149.5]
+
+
+def test_quantiles_are_ranked_in_parts(spark, plan):
+    frame = spark.range(1000).select(F.rand(1).alias("v"), F.rand(2).alias("w"))
+    assert "percentile" not in plan(exact_quantiles(frame, ["v", "w"], [0.5]))
+
+
+def test_quantiles_of_nothing(spark):
     frame = spark.createDataFrame([(None,)], "v double")
-    row = exact_quantiles(frame, ["v"], [0.5], single_task_bytes=0).first()
+    row = exact_quantiles(frame, ["v"], [0.5]).first()
     assert row.n0 == 0 and (row.q0 is None or row.q0 == [None])
 
 
@@ -187,5 +190,6 @@ def test_outlier_rules(spark):
 
 def test_outlier_column_limit(spark):
     frame = spark.range(10).select(*[F.col("id").alias(f"c{i}") for i in range(12)])
-    assert outliers.iqr_outliers(frame).count() == 8
+    assert outliers.iqr_outliers(frame).count() == 12
+    assert outliers.iqr_outliers(frame, max_columns=8).count() == 8
     assert outliers.iqr_outliers(frame.select(F.lit("x").alias("t"))).count() == 0
