@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from insight_spark.functions.scalars import coerce_numeric, named
 from insight_spark.operators.schema import numeric_columns
@@ -13,10 +13,10 @@ from insight_spark.operators.schema import numeric_columns
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """Equal-width bins over the finite values: (bin, bin_start, bin_end, n), empty bins included.
 
-    The last bin is closed on both sides; a single-valued column is widened by 0.5 each way.
+    Infinite values are in no bin; `infinite_values` counts them. The last bin is closed on both sides; a single-valued column is widened by 0.5 each way.
     """
     number = coerce_numeric(named(column), df.schema[column].dataType)
-    values = df.select(number.alias("x")).where("x IS NOT NULL")
+    values = df.select(number.alias("x")).where(F.abs("x") < float("inf"))
     limits = values.agg(F.min("x").alias("least"), F.max("x").alias("most")).select(
         F.struct(
             F.when(F.col("least") == F.col("most"), F.col("least") - 0.5).otherwise(F.col("least")).alias("lo"),
@@ -53,6 +53,35 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     )
 
 
+def infinite_values(df: DataFrame, column: str) -> DataFrame:
+    """How many infinite values a histogram of the column leaves out: one row (n)."""
+    number = coerce_numeric(named(column), df.schema[column].dataType)
+    return df.agg(F.count_if(F.abs(number) == float("inf")).alias("n"))
+
+
+def trend_buckets(df: DataFrame, order_by: str, column: str | None = None, buckets: int = 200) -> DataFrame:
+    """The trend for a chart of any table: (bucket, first_key, last_key, n, mean_value), in key order.
+
+    The range of a number or time key is cut into buckets of equal width, and each gives the mean of the
+    column (by default the first numeric one), missing as zero; empty buckets and rows without key are
+    left out. Two aggregations, no sort, and as many rows as buckets at most.
+    """
+    column = column or numeric_columns(df)[0]
+    kind = df.schema[order_by].dataType
+    key = F.unix_micros(named(order_by).cast("timestamp")) if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)) else named(order_by)
+    value = F.coalesce(coerce_numeric(named(column), df.schema[column].dataType), F.lit(0.0))
+    rows = df.select(named(order_by).alias("key"), key.cast("double").alias("k"), value.alias("v")).where("k IS NOT NULL AND NOT isnan(k)")
+    limits = rows.agg(F.struct(F.min("k").alias("lo"), F.max("k").alias("hi")).alias("l"))
+    width = (F.col("l.hi") - F.col("l.lo")) / buckets
+    bucket = F.when(width > 0, F.least(F.floor((F.col("k") - F.col("l.lo")) / width), F.lit(buckets - 1))).otherwise(0)
+    placed = rows.withColumn("l", limits.scalar()).withColumn("bucket", bucket.cast("int"))
+    return (
+        placed.groupBy("bucket")
+        .agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean_value"))
+        .orderBy("bucket")
+    )
+
+
 def trend_series(df: DataFrame, order_by: Sequence[str], column: str | None = None) -> DataFrame:
     """Values of a numeric column (by default the first) in key order, missing as zero.
 

@@ -10,10 +10,10 @@ Grouping shuffles each distinct row of a task once, at every size and whatever t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from insight_spark.functions.scalars import array_over, array_total, named, names_array
-from insight_spark.operators.schema import comparable
+from insight_spark.operators.schema import comparable, holds_map, normalise_missing, ordered
 
 COPIES = "__copies"
 
@@ -138,7 +138,12 @@ def profile_of_copies(copies: DataFrame, columns: list[str]) -> DataFrame:
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
     """Exact duplicate removal; missing values compare equal."""
-    return _restore_maps(comparable(df).dropDuplicates(), df)
+    nested = [f.name for f in df.schema.fields if holds_map(f.dataType) and not isinstance(f.dataType, T.MapType)]
+    if not nested:
+        return _restore_maps(comparable(df).dropDuplicates(), df)
+    kept = normalise_missing(df)
+    keys = {f"__key{i}": ordered(named(c), df.schema[c].dataType) for i, c in enumerate(df.columns)}
+    return kept.withColumns(keys).dropDuplicates(list(keys)).drop(*keys)
 
 
 def _restore_maps(data: DataFrame, original: DataFrame) -> DataFrame:

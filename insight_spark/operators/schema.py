@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from insight_spark.functions.scalars import named, nan_to_null
 
@@ -44,16 +44,36 @@ def normalise_missing(df: DataFrame) -> DataFrame:
 
 
 def comparable(df: DataFrame) -> DataFrame:
-    """`normalise_missing`, plus map columns as sorted entries so that rows can be grouped."""
+    """`normalise_missing`, plus maps at any depth as sorted entries so that rows can be grouped."""
     df = normalise_missing(df)
-    maps = {
-        f.name: F.array_sort(F.map_entries(named(f.name)))
-        for f in df.schema.fields
-        if isinstance(f.dataType, T.MapType)
-    }
+    maps = {f.name: ordered(named(f.name), f.dataType) for f in df.schema.fields if holds_map(f.dataType)}
     return df.withColumns(maps) if maps else df
 
 
+def holds_map(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.MapType):
+        return True
+    if isinstance(dtype, T.ArrayType):
+        return holds_map(dtype.elementType)
+    return isinstance(dtype, T.StructType) and any(holds_map(f.dataType) for f in dtype.fields)
+
+
+def ordered(col: Column, dtype: T.DataType) -> Column:
+    """A value with every map in it as the array of its entries in order of key; null stays null."""
+    if not holds_map(dtype):
+        return col
+    if isinstance(dtype, T.MapType):
+        entries = F.transform(
+            F.map_entries(col),
+            lambda e: F.struct(ordered(e["key"], dtype.keyType).alias("key"), ordered(e["value"], dtype.valueType).alias("value")),
+        )
+        return F.array_sort(entries)
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(col, lambda x: ordered(x, dtype.elementType))
+    parts = F.struct(*[ordered(col[f.name], f.dataType).alias(f.name) for f in dtype.fields])
+    return F.when(col.isNotNull(), parts)
+
+
 def unique_columns(df: DataFrame) -> DataFrame:
     """Keep the first of several columns with the same name."""
     positions = [f"_{i}" for i in range(len(df.columns))]

@@ -10,10 +10,19 @@ from insight_spark.functions import fixed
 from insight_spark.functions.scalars import named, normalised_email
 
 
-def profile_lookup(requests: DataFrame, profiles: DataFrame, email: str = "email") -> DataFrame:
+def is_listed(email: Column, overrides: Collection[str]) -> Column:
+    """Whether an email is on a short configured list."""
+    names = sorted({e.strip().lower() for e in overrides if e.strip()})
+    return F.coalesce(normalised_email(email).isin(names), F.lit(False)) if names else F.lit(False)
+
+
+def profile_lookup(
+    requests: DataFrame, profiles: DataFrame, email: str = "email", overrides: Collection[str] = ()
+) -> DataFrame:
     """Each request with the premium flag and plan of its user; unknown users are on the free plan.
 
-    A lookup must find exactly one profile, so an email stored twice counts as unknown.
+    A lookup must find exactly one profile, so an email stored twice counts as unknown. An email in
+    `overrides` is premium whatever the profiles say, also without one.
     """
     flags = (
         profiles.select(normalised_email(named(email)).alias("__email"), F.col("is_premium").alias("__premium"))
@@ -23,7 +32,7 @@ def profile_lookup(requests: DataFrame, profiles: DataFrame, email: str = "email
     looked_up = requests.withColumn("__key", normalised_email(named(email))).join(
         flags, F.col("__key") == F.col("__email"), "left"
     )
-    premium = F.coalesce((F.col("__n") == 1) & F.col("__premium"), F.lit(False))
+    premium = is_listed(named(email), overrides) | F.coalesce((F.col("__n") == 1) & F.col("__premium"), F.lit(False))
     return (
         looked_up.withColumn("is_premium", premium)
         .withColumn("plan", plan_name(F.col("is_premium")))
@@ -37,9 +46,7 @@ def plan_name(is_premium: Column) -> Column:
 
 def premium_status(profiles: DataFrame, overrides: Collection[str], email: str = "email") -> DataFrame:
     """Effective plan: premium by override list (a short configured list) or by stored flag."""
-    listed = sorted({e.strip().lower() for e in overrides if e.strip()})
-    is_listed = normalised_email(named(email)).isin(listed) if listed else F.lit(False)
-    effective = F.coalesce(is_listed, F.lit(False)) | F.coalesce(F.col("is_premium"), F.lit(False))
+    effective = is_listed(named(email), overrides) | F.coalesce(F.col("is_premium"), F.lit(False))
     return profiles.withColumn("effective_premium", effective).withColumn(
         "plan", plan_name(F.col("effective_premium"))
     )
@@ -92,12 +99,20 @@ def usage_quota(
     )
 
 
-def usage_summary(runs: DataFrame, user: str = "user_id", limit: int = fixed.FREE_ANALYSIS_LIMIT) -> DataFrame:
-    """Per user: used, shown as used (capped), remaining, percent used (cut off)."""
+def usage_summary(
+    runs: DataFrame, user: str = "user_id", limit: int = fixed.FREE_ANALYSIS_LIMIT, users: DataFrame | None = None
+) -> DataFrame:
+    """Per user: used, shown as used (capped), remaining, percent used (cut off).
+
+    `users` names everyone to report on, so that those without a run are there with zero.
+    """
     capped = F.least(F.col("used"), F.lit(limit))
+    used = runs.groupBy(named(user)).agg(F.count(F.lit(1)).alias("used"))
+    if users is not None:
+        everyone = users.select(named(user)).distinct()
+        used = everyone.join(used, user, "left").withColumn("used", F.coalesce("used", F.lit(0)).cast("bigint"))
     return (
-        runs.groupBy(named(user))
-        .agg(F.count(F.lit(1)).alias("used"))
+        used
         .withColumn("used_capped", capped)
         .withColumn("remaining", F.greatest(F.lit(0), limit - F.col("used")))
         .withColumn("percent_used", (F.col("used_capped").cast("double") / max(limit, 1) * 100).cast("int"))
@@ -124,21 +139,21 @@ def profile_upsert(profiles: DataFrame, sign_ins: DataFrame) -> DataFrame:
     Known emails get the new time, and the new id if one was given; unknown ones are added
     without premium. Result is the next version of the profile table.
     """
+    return _merged(profiles, sign_ins).drop("__seen")
+
+
+def _merged(profiles: DataFrame, sign_ins: DataFrame) -> DataFrame:
     merged = profiles.join(latest_sign_ins(sign_ins), F.col("email") == F.col("__email"), "full")
     return merged.select(
         F.coalesce("email", "__email").alias("email"),
         F.coalesce("__id", "id").alias("id"),
         F.when(F.col("email").isNull(), F.lit(False)).otherwise(F.col("is_premium")).alias("is_premium"),
         F.coalesce("__ts", "updated_at").alias("updated_at"),
+        F.col("__email").isNotNull().alias("__seen"),
     )
 
 
 def premium_activate(profiles: DataFrame, activations: DataFrame) -> DataFrame:
     """Like `profile_upsert`, then premium is on for every email in the batch."""
-    batch = latest_sign_ins(activations).select(F.col("__email").alias("__active"))
-    return (
-        profile_upsert(profiles, activations)
-        .join(batch, F.col("email") == F.col("__active"), "left")
-        .withColumn("is_premium", F.col("__active").isNotNull() | F.col("is_premium"))
-        .drop("__active")
-    )
+    merged = _merged(profiles, activations)
+    return merged.withColumn("is_premium", F.col("__seen") | F.col("is_premium")).drop("__seen")

@@ -681,6 +681,17 @@ def trend_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charts.trend_series(dirty_orders(spark, sf_dir), ["o_orderkey", "o_orderdate"], "o_totalprice")
 
 
+@query(
+    "trend_buckets",
+    f"""WITH {DIRTY_SQL}, k AS (SELECT o_orderdate AS key, epoch_us(o_orderdate)::DOUBLE AS k, coalesce(o_totalprice, 0) AS v FROM dirty),
+lim AS (SELECT min(k) AS lo, (max(k) - min(k)) / 50 AS w FROM k)
+SELECT CAST(least(floor((k - lo) / w), 49) AS INTEGER) AS bucket, min(key) AS first_key, max(key) AS last_key, count(*) AS n,
+  round(avg(v), 4) AS mean_value FROM k, lim GROUP BY 1""",
+)
+def trend_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(charts.trend_buckets(dirty_orders(spark, sf_dir), "o_orderdate", "o_totalprice", 50), "mean_value", digits=4)
+
+
 COMPARE_SQL = """a AS (SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'),
 b AS (SELECT * EXCLUDE (o_orderpriority) FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'),
 sa AS (SELECT count(*) AS n, avg(o_custkey) AS c, avg(o_orderkey) AS k, avg(o_totalprice) AS p FROM a),
@@ -1016,10 +1027,15 @@ def premium_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "profile_lookup",
-    f"WITH {PREMIUM_RUNS_SQL} SELECT *, CASE WHEN is_premium THEN 'premium' ELSE 'free' END AS plan FROM looked",
+    f"""WITH {PREMIUM_RUNS_SQL}, o AS (
+  SELECT * REPLACE (is_premium OR user_id IN (7, 8, 0) AS is_premium) FROM looked)
+SELECT *, CASE WHEN is_premium THEN 'premium' ELSE 'free' END AS plan FROM o""",
 )
 def profile_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return premium_runs(spark, sf_dir)
+    """With a list of emails that are premium, one of them without a profile."""
+    listed = [*OVERRIDES, "user0@example.com"]
+    known = customer_profiles(spark, sf_dir).where("email <> 'user0@example.com'")
+    return users.profile_lookup(analysis_runs(spark, sf_dir), known, overrides=listed)
 
 
 OVERRIDES = ["user7@example.com", " USER8@example.com "]
@@ -1069,12 +1085,17 @@ def usage_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "usage_summary",
-    f"""WITH {RUNS_SQL}, u AS (SELECT user_id, count(*) AS used FROM runs WHERE succeeded GROUP BY 1)
+    f"""WITH {RUNS_SQL}, u AS (
+  SELECT user_id, count(*) FILTER (succeeded) AS used FROM (
+    SELECT user_id, succeeded FROM runs UNION ALL SELECT -1 - c_custkey, false FROM customer) GROUP BY 1)
 SELECT user_id, used, least(used, 2) AS used_capped, greatest(0, 2 - used) AS remaining,
   CAST(floor(least(used, 2) / 2.0 * 100) AS INTEGER) AS percent_used FROM u""",
 )
 def usage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return users.usage_summary(analysis_runs(spark, sf_dir).where("succeeded"))
+    """Everyone with a run, and every customer as a user (of a negative number) who never ran anything."""
+    runs = analysis_runs(spark, sf_dir)
+    idle = table(spark, sf_dir, "customer").select((-1 - F.col("c_custkey")).alias("user_id"))
+    return users.usage_summary(runs.where("succeeded"), users=runs.select("user_id").unionByName(idle))
 
 
 SIGN_INS_SQL = (
@@ -1148,13 +1169,17 @@ def event_email(spark: SparkSession, sf_dir: str) -> DataFrame:
     "stream_premium_activation",
     f"""WITH {PROFILES_SQL}, {PAYMENTS_SQL}, latest AS (
   SELECT email, max_by(customer_id, (event_time, event_id)) AS customer_id,
-    max_by(session_id, (event_time, event_id)) AS session_id FROM payments WHERE email IS NOT NULL GROUP BY 1)
-SELECT p.email, p.id, p.is_premium OR l.email IS NOT NULL AS is_premium, p.updated_at,
+    max_by(session_id, (event_time, event_id)) AS session_id, max(event_time) AS event_time
+  FROM payments WHERE email IS NOT NULL GROUP BY 1)
+SELECT p.email, p.id, p.is_premium OR l.email IS NOT NULL AS is_premium, p.updated_at, p.created_at,
   l.customer_id AS stripe_customer_id, l.session_id AS stripe_checkout_session_id
-FROM profiles p LEFT JOIN latest l ON p.email = l.email""",
+FROM (SELECT *, CASE WHEN right(email, 13) = '5@example.com' THEN TIMESTAMP '2024-01-20' ELSE TIMESTAMP '2023-12-31' END AS created_at FROM profiles) p
+LEFT JOIN latest l ON p.email = l.email AND l.event_time >= p.created_at""",
 )
 def stream_premium_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "stream_premium_activation")
     stream = payments.store_activations(payment_stream(spark, sf_dir), f"{folder}/table", f"{folder}/progress")
     stream.awaitTermination()
-    return payments.activated_profiles(customer_profiles(spark, sf_dir), spark.read.parquet(f"{folder}/table"))
+    late = F.when(F.col("email").endswith("5@example.com"), "2024-01-20").otherwise("2023-12-31")
+    profiles = customer_profiles(spark, sf_dir).withColumn("created_at", late.cast("timestamp_ntz"))
+    return payments.activated_profiles(profiles, spark.read.parquet(f"{folder}/table"))

@@ -154,3 +154,24 @@ def test_pandas_and_spark_agree_on_sums(spark):
     frame = spark.createDataFrame([(v,) for v in pdf["Sales"]], "Sales string")
     want = pd.to_numeric(pdf["Sales"], errors="coerce").fillna(0).sum()
     assert {r.key: r.raw_value for r in metrics.semantic_metrics(frame).collect()}["revenue"] == want
+
+
+def test_histogram_leaves_out_infinities(spark):
+    frame = spark.createDataFrame([(float(v),) for v in range(10)] + [(float("inf"),), (float("-inf"),), (None,)], "v double")
+    rows = charts.histogram(frame, "v", 3).orderBy("bin").collect()
+    assert [r.n for r in rows] == [3, 3, 4] and rows[-1].bin_end == 9.0
+    assert charts.infinite_values(frame, "v").first().n == 2
+
+
+def test_trend_buckets(spark):
+    frame = spark.createDataFrame([(k, float(k) if k % 2 else None) for k in range(100)] + [(None, 5.0)], "k int, v double")
+    rows = charts.trend_buckets(frame, "k", buckets=4, column="v").collect()
+    assert [(r.bucket, r.n) for r in rows] == [(0, 25), (1, 25), (2, 25), (3, 25)]
+    assert sum(r.mean_value * r.n for r in rows) == 2500 and rows[0].first_key == 0 and rows[-1].last_key == 99
+    flat = charts.trend_buckets(frame.where("k = 1"), "k").collect()
+    assert [(r.bucket, r.n, r.mean_value) for r in flat] == [(0, 1, 1.0)]
+
+
+def test_comparison_of_infinite_means(spark):
+    one, two = spark.createDataFrame([(float("inf"),)], "v double"), spark.createDataFrame([(1.0,)], "v double")
+    assert compare.comparison_text(one, two).first().comparison.endswith("- v: mean inf \u2192 1.00 (\u0394 -inf)")

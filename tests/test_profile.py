@@ -193,3 +193,28 @@ def test_outlier_column_limit(spark):
     assert outliers.iqr_outliers(frame).count() == 12
     assert outliers.iqr_outliers(frame, max_columns=8).count() == 8
     assert outliers.iqr_outliers(frame.select(F.lit("x").alias("t"))).count() == 0
+
+
+def test_maps_inside_other_types(spark):
+    frame = spark.createDataFrame(
+        [([{"a": 1, "b": 2}], 1), ([{"b": 2, "a": 1}], 1), ([{"a": 2}], 1), (None, 1)], "m array<map<string,int>>, n int"
+    )
+    p = profile.profile(frame).first()
+    assert p.duplicate_rows == 1 and p.constant_columns == ["n"] and p.missing_cells == 1
+    kept = profile.drop_duplicates(frame)
+    assert kept.count() == 3 and dict(kept.dtypes)["m"] == "array<map<string,int>>"
+
+
+def test_reports_share_one_profile(spark, folder, plan):
+    spark.range(50).selectExpr("id % 7 AS a", "id % 3 AS b").write.parquet(folder)
+    frame = spark.read.parquet(folder)
+    row = spark.createDataFrame(profile.profile(frame).collect(), profile.profile(frame).schema)
+    pages = [quality.quality_score(frame, profiled=row), quality.readiness(frame, profiled=row)]
+    assert all("FileScan" not in plan(p) for p in pages)
+    assert pages[0].first() == quality.quality_score(frame).first()
+
+
+def test_listed_names_say_what_is_left_out(spark):
+    frame = spark.createDataFrame([(1, 1, 1, 1, 2), (1, 1, 1, 1, 3)], "a int, b int, c int, d int, e int")
+    assert quality.quality_score(frame).first().notes == ["Constant columns detected: a, b, c, d"]
+    assert quality.quality_score(frame, max_names=3).first().notes == ["Constant columns detected: a, b, c and 1 more"]

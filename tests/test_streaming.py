@@ -75,16 +75,34 @@ def test_activation_across_batches(spark, folder, profiles):
         "c@x.com": (True, None, None),
         "d@x.com": (False, None, None),
     }
-    assert len([d for d in os.listdir(table) if d.startswith("batch_id=")]) == 3
+    (own,) = [d for d in os.listdir(table) if d.startswith("progress=")]
+    assert len([d for d in os.listdir(f"{table}/{own}") if d.startswith("batch_id=")]) == 3
 
 
 def test_replayed_batch_overwrites_itself(spark, folder, profiles):
     source, table = f"{folder}/in", f"{folder}/table"
     add_file(spark, source, EVENTS)
     run(spark, source, table, f"{folder}/p1")
-    once = sorted(map(str, spark.read.parquet(table).collect()))
-    run(spark, source, table, f"{folder}/p2")  # lost progress: batch 0 runs again
-    assert sorted(map(str, spark.read.parquet(table).collect())) == once
+    once = sorted(map(str, payments.activated_profiles(profiles, spark.read.parquet(table)).collect()))
+    run(spark, source, table, f"{folder}/p2")  # lost progress: batch 0 runs again, beside the older batches
+    again = spark.read.parquet(table)
+    assert again.select("progress").distinct().count() == 2
+    assert sorted(map(str, payments.activated_profiles(profiles, again).collect())) == once
+
+
+def test_only_profiles_that_were_there(spark):
+    rows = [("a@x.com", False, "t1", None), ("b@x.com", False, "t2", None), ("c@x.com", False, "t0", "t3"), ("d@x.com", True, "t0", "t0")]
+    profiles = spark.createDataFrame(rows, "email string, is_premium boolean, created_at string, premium_changed_at string")
+    events = [event("t2", 1, "a@x.com"), event("t1", 2, "b@x.com"), event("t2", 3, "c@x.com")]
+    paid = payments.parse_events(spark.createDataFrame(events, RAW))
+    got = {r.email: r.is_premium for r in payments.activated_profiles(profiles, paid).collect()}
+    assert got == {"a@x.com": True, "b@x.com": False, "c@x.com": False, "d@x.com": True}
+    version = payments.folded(profiles, paid)
+    assert {r.email: (r.is_premium, r.premium_changed_at) for r in version.collect()} == {
+        "a@x.com": (True, "t2"), "b@x.com": (False, "t1"), "c@x.com": (False, "t3"), "d@x.com": (True, "t0")
+    }
+    reset = version.withColumn("is_premium", payments.F.lit(False))
+    assert payments.activated_profiles(reset, paid).where("is_premium").count() == 0
 
 
 def test_existing_ids_survive(spark):

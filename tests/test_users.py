@@ -93,3 +93,21 @@ def test_activate_inserts(spark, profiles):
     batch = spark.createDataFrame([("b@x.com", None, "t1"), ("new@x.com", "8", "t1")], "email string, id string, ts string")
     rows = {r.email: (r.id, r.is_premium) for r in users.premium_activate(profiles.limit(2), batch).collect()}
     assert rows == {"a@x.com": ("1", True), "b@x.com": ("2", True), "new@x.com": ("8", True)}
+
+
+def test_lookup_with_overrides_and_idle_users(spark):
+    asked = spark.createDataFrame([("A@x.com",), ("b@x.com",), ("c@x.com",)], "email string")
+    profiles = spark.createDataFrame([("b@x.com", False)], "email string, is_premium boolean")
+    rows = {r.email: r.plan for r in users.profile_lookup(asked, profiles, overrides=[" a@X.com", "b@x.com"]).collect()}
+    assert rows == {"A@x.com": "premium", "b@x.com": "premium", "c@x.com": "free"}
+    runs = spark.createDataFrame([(1,), (1,), (1,)], "user_id int")
+    everyone = spark.createDataFrame([(1,), (2,), (2,)], "user_id int")
+    got = {r.user_id: (r.used, r.remaining, r.percent_used) for r in users.usage_summary(runs, users=everyone).collect()}
+    assert got == {1: (3, 0, 100), 2: (0, 2, 0)}
+
+
+def test_activation_joins_once(spark, plan):
+    profiles = spark.createDataFrame([("a", "1", False, "t")], "email string, id string, is_premium boolean, updated_at string")
+    batch = spark.createDataFrame([("a", "1", "t")], "email string, id string, ts string")
+    text = plan(users.premium_activate(profiles, batch))
+    assert text.count("FullOuter") == 1 and "LeftOuter" not in text
