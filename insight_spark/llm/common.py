@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from insight_spark.session import configure, stored
@@ -30,6 +32,16 @@ def texts(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns, body)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to any more.
+
+    Spark does so when the driver's JVM collects those plans, which may otherwise be long after the
+    stages that read them.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(edges: DataFrame, limit: int = 40) -> DataFrame:
     """Connected components of an edge list (a long, b long): one row per vertex (v, c), c its smallest vertex.
 

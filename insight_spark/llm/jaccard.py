@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from insight_spark.llm.common import components, prepare, texts
+from insight_spark.llm.common import components, prepare, release, texts
 from insight_spark.llm.words import BASE, Words, mix
 from insight_spark.session import stored
 
@@ -77,82 +77,70 @@ class Segments:
         return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, two 64-bit hashes of the whole set, and its segment hashes."""
+def set_hashes(found: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Two 64-bit hashes of a whole set."""
+    if not len(found):
+        return np.uint64(0), np.uint64(0)
+    return mix(found).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(found + BASE))
+
+
+def sets(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_shingles and two 64-bit hashes of the whole set."""
 
     def run(batches):
-        segments = Segments(percent)
         for batch in batches:
             words = Words(batch.column(1).to_pylist(), lower=True)
             runs = words.runs(n)
-            size, one, two, parts = [], [], [], []
-            for doc in range(batch.num_rows):
-                found = words.shingles(doc, runs, n)
-                size.append(len(found))
-                one.append(mix(found).sum(dtype=np.uint64))
-                two.append(np.bitwise_xor.reduce(mix(found + BASE)) if len(found) else np.uint64(0))
-                parts.append(segments.of(found) if len(found) else found)
-            at = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-            flat = np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(size, pa.int64()),
-                    pa.array(np.array(one, np.uint64).view(np.int64)),
-                    pa.array(np.array(two, np.uint64).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(at), pa.array(flat)),
-                ],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "segments"],
-            )
+            found = [words.shingles(doc, runs, n) for doc in range(batch.num_rows)]
+            hashes = np.array([set_hashes(f) for f in found], np.uint64).reshape(-1, 2).view(np.int64)
+            columns = [batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array(hashes[:, 0]), pa.array(hashes[:, 1])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_a", "set_b"])
 
-    schema = "doc_id long, n_shingles long, set_a long, set_b long, segments array<long>"
-    return texts(docs).mapInArrow(run, schema)
+    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long")
 
 
 def edge_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def starred(batches):
-    """(segment, doc, low): one row a segment and task, and an edge for each further document of it.
+def starred(n: int, percent: int):
+    """Texts -> (segment, doc): each segment of a batch once, with its smallest document.
 
-    Sets that are equal in a task keep one member. Edges (doc other than low) travel under a key of
-    their own, so a segment that very many documents share is not one large key.
+    Further documents of the segment, and of equal sets, are joined with that one by a key of their own
+    that only the two have, so a segment that very many documents share is not one large key.
     """
-    for batch in batches:
-        doc = batch.column(0).to_numpy(zero_copy_only=False)
-        whole = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2)], axis=1)
-        lists = batch.column(3)
-        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-        order = np.lexsort((doc, whole[:, 1], whole[:, 0]))
-        new = np.concatenate([[True], (whole[order][1:] != whole[order][:-1]).any(axis=1)]) if len(order) else np.empty(0, bool)
-        keeper = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
-        copies = doc[order] != doc[keeper]
-        edges = [np.stack([doc[order][copies], doc[keeper][copies]], axis=1)]
-        kept = order[new]
-        lengths = (offsets[1:] - offsets[:-1])[kept]
-        if lengths.sum():
-            take = np.concatenate([values[offsets[k] : offsets[k + 1]] for k in kept.tolist()])
-            owner = np.repeat(doc[kept], lengths)
+
+    def run(batches):
+        segments = Segments(percent)
+        for batch in batches:
+            doc = batch.column(0).to_numpy(zero_copy_only=False)
+            words = Words(batch.column(1).to_pylist(), lower=True)
+            runs, parts, first = words.runs(n), {}, {}
+            pairs = []
+            for k in np.argsort(doc, kind="stable").tolist():
+                found = words.shingles(k, runs, n)
+                if len(found):
+                    same = first.setdefault(set_hashes(found), int(doc[k]))
+                    if same != doc[k]:
+                        pairs.append((int(doc[k]), same))
+                    else:
+                        parts[k] = segments.of(found)
+            take = np.concatenate([np.empty(0, np.uint64), *parts.values()]).view(np.int64)
+            owner = np.repeat(doc[list(parts)], [len(x) for x in parts.values()])
             by = np.lexsort((owner, take))
             take, owner = take[by], owner[by]
-            lead = np.concatenate([[True], take[1:] != take[:-1]])
+            lead = np.concatenate([np.ones(min(1, len(take)), bool), take[1:] != take[:-1]])
             low = owner[np.maximum.accumulate(np.where(lead, np.arange(len(take)), 0))]
             more = owner != low
-            edges.append(np.stack([owner[more], low[more]], axis=1))
-            take, owner = take[lead], owner[lead]
-        else:
-            take, owner = np.empty(0, np.int64), np.empty(0, np.int64)
-        links = np.unique(np.concatenate(edges), axis=0)
-        key = mix(links[:, 0].astype(np.int64).view(np.uint64)).view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([take, key])),
-                pa.array(np.concatenate([owner, links[:, 0]])),
-                pa.array(np.concatenate([owner, links[:, 1]])),
-            ],
-            names=["segment", "doc", "low"],
-        )
+            joined = np.concatenate([np.array(pairs, np.int64).reshape(-1, 2), np.stack([owner[more], low[more]], axis=1)])
+            joined = np.unique(joined, axis=0)
+            own = mix(mix(joined[:, 0].view(np.uint64) * BASE) ^ joined[:, 1].view(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([take[lead], own, own])), pa.array(np.concatenate([owner[lead], joined[:, 0], joined[:, 1]]))],
+                names=["segment", "doc"],
+            )
+
+    return run
 
 
 def met(batches):
@@ -168,29 +156,24 @@ def met(batches):
             up[v] = v = up[w]
         return v
 
-    def grown(a, b):
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            x, y = root(x), root(y)
-            if x != y:
-                up[max(x, y)] = min(x, y)
-
     def forest():
         pairs = np.array([(v, root(v)) for v in up if up[v] != v], np.int64).reshape(-1, 2)
         up.clear()
         return edge_batch(pairs[:, 0], pairs[:, 1])
 
     for batch in batches:
-        segment, doc, lows = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-        rep = doc == lows
-        grown(doc[~rep], lows[~rep])
-        segment, own = segment[rep], doc[rep]
-        if len(own):
-            new = np.concatenate([[last is None or segment[0] != last], segment[1:] != segment[:-1]])
-            at = np.maximum.accumulate(np.where(new, np.arange(len(own)), -1))
-            leader = np.where(at >= 0, own[at], low)
-            last, low = segment[-1], leader[-1]
-            more = own != leader
-            grown(*np.unique(np.stack([own[more], leader[more]], axis=1), axis=0).T)
+        segment, doc = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+        if not len(doc):
+            continue
+        new = np.concatenate([[last is None or segment[0] != last], segment[1:] != segment[:-1]])
+        at = np.maximum.accumulate(np.where(new, np.arange(len(doc)), -1))
+        leader = np.where(at >= 0, doc[at], low)
+        last, low = segment[-1], leader[-1]
+        more = doc != leader
+        for x, y in np.unique(np.stack([doc[more], leader[more]], axis=1), axis=0).tolist():
+            x, y = root(x), root(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
         if len(up) > FOREST:
             yield forest()
     yield forest()
@@ -359,31 +342,57 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     with one pivot, those linked with it are connected at once, and only the others are sent to every
     block of the group to be searched.
     """
-    prepare(docs.sparkSession)
-    table = stored(sets(docs, n, percent))
+    spark = prepare(docs.sparkSession)
+    table = stored(sets(docs, n))
     filled = table.where("n_shingles > 0")
     reps = filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
     classes = stored(
-        table.drop("segments")
-        .join(reps, ["set_a", "set_b"], "left")
+        table.join(reps, ["set_a", "set_b"], "left")
         .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
     )
-    rows = filled.where("doc_id IS NOT NULL").select("doc_id", "set_a", "set_b", "segments")
-    dealt = rows.mapInArrow(starred, "segment long, doc long, low long").repartition(F.col("segment"))
-    edges = dealt.sortWithinPartitions("segment", "doc").mapInArrow(met, "a long, b long").distinct()
-    groups = components(stored(edges))
-    members = (
+    links = links_of_groups(docs, groups_of(docs, n, percent), classes, n, percent)
+    release(spark)
+    final = components(links)
+    return classes.join(final, classes.rep == final.v, "left").select(
+        "doc_id", "n_shingles", F.coalesce("c", "rep").alias("component_id")
+    )
+
+
+def groups_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Groups that can hold links: (v, c), each document that shares a segment and its group's smallest."""
+    dealt = texts(docs).where("doc_id IS NOT NULL").mapInArrow(starred(n, percent), "segment long, doc long")
+    dealt = dealt.repartition(F.col("segment")).sortWithinPartitions("segment", "doc")
+    edges = stored(dealt.mapInArrow(met, "a long, b long").distinct())
+    del dealt
+    release(docs.sparkSession)
+    return components(edges)
+
+
+def links_of_groups(docs: DataFrame, groups: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) between class representatives that connect each group as all of its links would."""
+    members = stored(
         groups.join(classes, groups.v == classes.doc_id)
         .where("doc_id = rep")
         .dropDuplicates(["doc_id"])
         .select("doc_id", F.col("c").alias("part"), "n_shingles")
     )
-    members = stored(members)
     sizes = members.groupBy("part").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("weight")).where("members > 1")
-    wanted = members.join(sizes, "part").select("doc_id", "part", F.ceil(F.col("weight") / GROUP_SHINGLES).cast("int").alias("blocks"))
-    held = stored(wanted.join(texts(docs).hint("merge"), "doc_id"))  # one plan at every size
-    small = held.where("blocks = 1").select("part", "doc_id", F.lit(False).alias("near"), "text")
-    large = held.where("blocks > 1")
+    wanted = stored(
+        members.join(sizes, "part").select("doc_id", "part", F.ceil(F.col("weight") / GROUP_SHINGLES).cast("int").alias("blocks"))
+    )
+
+    def held(chosen: DataFrame) -> DataFrame:
+        return chosen.join(texts(docs).hint("merge"), "doc_id")  # one plan at every size
+
+    def search(rows: DataFrame) -> DataFrame:
+        spread = rows.repartition(F.col("part")).sortWithinPartitions("part", "doc_id")
+        return stored(spread.mapInArrow(searched(n, percent), "a long, b long"))
+
+    small = held(wanted.where("blocks = 1")).select("part", "doc_id", F.lit(False).alias("near"), "text")
+    links = search(small)
+    if wanted.where("blocks > 1").isEmpty():
+        return links
+    large = stored(held(wanted.where("blocks > 1")))
     pivots = large.groupBy("part").agg(F.min(F.struct("doc_id", "text")).alias("p"))
     pivots = pivots.select("part", F.col("p.doc_id").alias("pivot"), F.col("p.text").alias("pivot_text"))
     judged = stored(
@@ -395,13 +404,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     placed = judged.withColumn(
         "block", F.explode(F.when(F.col("near"), F.array(block)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
     ).select(F.xxhash64("part", "block").alias("part"), "doc_id", "near", "text")
-    spread = small.unionByName(placed).repartition(F.col("part")).sortWithinPartitions("part", "doc_id")
-    links = spread.mapInArrow(searched(n, percent), "a long, b long")
     pivoted = judged.where("near").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
-    final = components(stored(links.unionByName(pivoted)))
-    return classes.join(final, classes.rep == final.v, "left").select(
-        "doc_id", "n_shingles", F.coalesce("c", "rep").alias("component_id")
-    )
+    return links.unionByName(search(placed)).unionByName(pivoted)
 
 
 def without_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -411,5 +415,6 @@ def without_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataF
     that repeat a kept doc_id.
     """
     found = jaccard_components(docs, n, percent)
+    release(docs.sparkSession)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
