@@ -229,9 +229,15 @@ def stored_reports(spark: SparkSession, sf_dir: str, purpose: str) -> str:
     return stores.append_records(records, shared_folder(spark, purpose), "report_id")
 
 
+def appended_again(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """The same job once more, which adds nothing."""
+    records = stores.report_records(conversation_reports(spark, sf_dir), F.col("at"))
+    return stores.append_records(records, path, "report_id")
+
+
 @query("report_store", f"WITH {KEYED_SQL} SELECT * FROM stored")
 def report_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = stored_reports(spark, sf_dir, "report_store")
+    path = appended_again(spark, sf_dir, stored_reports(spark, sf_dir, "report_store"))
     return stores.list_records(spark, path, "report_id")
 
 
@@ -242,11 +248,15 @@ shared AS (
   SELECT substr(sha256(concat(file_name, chr(31), analysis, chr(31), chr(31), chr(31), email, chr(31), created_at)), 1, 16) AS share_id,
     file_name, analysis, '' AS translation, '' AS doctor, email AS shared_by, created_at
   FROM reports WHERE analysis <> '')
-SELECT *, 'https://reports.example.com?share=' || share_id AS link FROM shared""",
+SELECT DISTINCT share_id, file_name, analysis, translation, doctor, lower(trim(shared_by)) AS shared_by, created_at,
+  'https://reports.example.com?share=' || share_id AS link, substr(sha256(lower(trim(shared_by))), 1, 20) AS user_key
+FROM shared WHERE trim(shared_by) <> ''""",
 )
 def share_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reports_frame = conversation_reports(spark, sf_dir)
-    return stores.share_links(reports_frame, "https://reports.example.com", F.col("at"))
+    """Shared records as their store has them."""
+    links = stores.share_links(conversation_reports(spark, sf_dir), "https://reports.example.com", F.col("at"))
+    path = stores.append_records(links, shared_folder(spark, "share_links"), "share_id", owner="shared_by")
+    return stores.list_records(spark, path, "share_id")
 
 
 SNAPSHOT_SQL = """SELECT '{email}' AS email,
@@ -289,7 +299,8 @@ def snapshot_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def purge_user_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = stored_reports(spark, sf_dir, "purge_user_data")
     requests = customer_profiles(spark, sf_dir).where("is_premium").select("email")
-    return stores.purge_users(stores.list_records(spark, path, "report_id"), requests)
+    stores.purge_store(spark, path, "report_id", requests)
+    return stores.list_records(spark, path, "report_id")
 
 
 # --- Projection, scalars, preview ----------------------------------------------------------

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from csv import reader as csv_reader
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from insight_spark.functions import fixed
@@ -23,29 +26,71 @@ def header_names(raw: list[str | None]) -> list[str]:
     return names
 
 
+WHOLE_FIELD = r'(?<=^|,)"(?:[^"]|"")*"(?=,|$)'
+OPEN_FIELD = r'(?:^|,)"'
+SURPLUS = "__surplus"
+
+
 def has_multiline_fields(spark: SparkSession, path: str) -> bool:
-    """Whether any quoted field spans lines, i.e. some line holds an odd number of quotes.
+    """Whether any quoted field spans lines: a line opens a quoted field and does not close it.
 
-    Splittable scan with a one-row result. Files without such fields can be read in parallel
-    splits instead of one task per file.
+    A quote inside a field (5" pipe) opens nothing. Splittable scan with a one-row result. Files
+    without such fields can be read in parallel splits instead of one task per file.
     """
-    odd = F.regexp_count("value", F.lit('"')) % 2 == 1
-    return bool(spark.read.text(path).agg(F.coalesce(F.bool_or(odd), F.lit(False))).first()[0])
+    rest = F.regexp_replace("value", F.lit(WHOLE_FIELD), F.lit(""))
+    opened = rest.rlike(OPEN_FIELD)
+    return bool(spark.read.text(path).agg(F.coalesce(F.bool_or(opened), F.lit(False))).first()[0])
+
+
+def files_by_header(spark: SparkSession, path: str, multi_line: bool = False) -> dict[tuple[str, ...], list[str]]:
+    """Files of a folder by their header cells; one short row per file reaches the driver."""
+    start = F.col("_metadata.file_block_start")
+    lines = spark.read.text(path).where(start == 0).select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("n"))
+    heads = lines.groupBy("file").agg(F.min_by("value", "n").alias("line")).collect()
+    found: dict[tuple[str, ...], list[str]] = {}
+    for row in sorted(heads, key=lambda r: r.file):
+        reader = spark.read.options(**OPTIONS, multiLine=multi_line)
+        cells = next(csv_cells(row.line)) if not multi_line or row.line.count('"') % 2 == 0 else list(reader.csv(unquote(row.file)).first())
+        found.setdefault(tuple(header_names(cells)), []).append(unquote(row.file))
+    return found
+
+
+def csv_cells(line: str):
+    """Cells of one header line."""
+    return csv_reader([line])
 
 
 def read_strings(
-    spark: SparkSession, path: str, multi_line: bool | None = None
+    spark: SparkSession, path: str, multi_line: bool | None = None, surplus: str = "error"
 ) -> tuple[DataFrame, list[str]]:
-    """All cells as text with null tokens as nulls, in columns ``_0``, ``_1``..., and the names."""
+    """All cells as text with null tokens as nulls, in columns ``_0``, ``_1``..., and the names.
+
+    Files of a folder are matched by name: each is read under its own header, and all must name the
+    same columns. Rows with more cells than the header are an error when they are read
+    (``surplus="error"``), or lose those cells and are marked in a last column (``surplus="mark"``).
+    """
     if multi_line is None:
         multi_line = has_multiline_fields(spark, path)
-    reader = spark.read.options(**OPTIONS, multiLine=multi_line)
-    first = reader.csv(path, header=False).first()
-    names = header_names(list(first)) if first else []
-    schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(names))])
-    cells = reader.schema(schema).csv(path, header=True, enforceSchema=True, nullValue="")
-    known = [F.when(~F.col(c).isin(fixed.NULL_TOKENS), F.col(c)).alias(c) for c in cells.columns]
-    return cells.select(known), names
+    by_header = files_by_header(spark, path, multi_line)
+    if not by_header:
+        return spark.createDataFrame([], T.StructType([])), []
+    names = list(next(iter(by_header)))
+    parts = None
+    for header, paths in by_header.items():
+        if sorted(header) != sorted(names):
+            raise ValueError(f"files of one folder name different columns: {names} and {list(header)} in {paths[0]}")
+        schema = T.StructType([T.StructField(f"_{names.index(c)}", T.StringType()) for c in header])
+        schema = schema.add(SURPLUS, "string")
+        reader = spark.read.options(**OPTIONS, multiLine=multi_line).schema(schema)
+        cells = reader.csv(paths, header=True, enforceSchema=True, nullValue="")
+        parts = cells if parts is None else parts.unionByName(cells)
+    known = [F.when(~F.col(f"_{i}").isin(fixed.NULL_TOKENS), F.col(f"_{i}")).alias(f"_{i}") for i in range(len(names))]
+    more = F.col(SURPLUS).isNotNull()
+    if surplus == "mark":
+        return parts.select(*known, more.alias(SURPLUS)), [*names, SURPLUS]
+    message = F.concat(F.lit(f"a row has more than the {len(names)} cells of the header, it begins with "), F.coalesce(F.col("_0"), F.lit("")))
+    loud = F.when(more, F.raise_error(message).cast("boolean")).otherwise(True)
+    return parts.where(loud).select(known), names
 
 
 def _is_integer(c: Column) -> Column:
@@ -61,25 +106,22 @@ def infer_types(strings: DataFrame) -> list[str]:
 
     Order: bigint, double, boolean, string; a column without values is double.
     """
-    exprs: list[Column] = []
-    for i, c in enumerate(strings.columns):
-        col = named(c)
-        exprs += [
-            F.count(col).alias(f"n{i}"),
-            F.count_if(_is_integer(col)).alias(f"i{i}"),
-            F.count_if(coerce_numeric(col).isNotNull()).alias(f"d{i}"),
-            F.count_if(_is_boolean(col)).alias(f"b{i}"),
-        ]
-    counts = strings.agg(*exprs).first()
+    columns = [named(c) for c in strings.columns]
+    tests = {
+        "present": lambda c: c.isNotNull(),
+        "bigint": _is_integer,
+        "double": lambda c: coerce_numeric(c).isNotNull(),
+        "boolean": _is_boolean,
+    }
+    counts = strings.agg(*[F.array(*[F.count_if(test(c)) for c in columns]).alias(kind) for kind, test in tests.items()]).first()
 
     def narrowest(i: int) -> str:
-        present = counts[f"n{i}"]
+        present = counts["present"][i]
         if present == 0:
             return "double"
-        fits = {"bigint": f"i{i}", "double": f"d{i}", "boolean": f"b{i}"}
-        return next((t for t, c in fits.items() if counts[c] == present), "string")
+        return next((t for t in ("bigint", "double", "boolean") if counts[t][i] == present), "string")
 
-    return [narrowest(i) for i in range(len(strings.columns))]
+    return [narrowest(i) for i in range(len(columns))]
 
 
 def cast_columns(strings: DataFrame, types: list[str]) -> DataFrame:
@@ -102,15 +144,20 @@ def read_csv(
     """Typed frame from a delimited file or folder with a header line.
 
     Dates stay text. Pass `types` (one per column) to skip the inference pass, `multi_line` to
-    skip the check for quoted fields that span lines.
+    skip the check for quoted fields that span lines. A row with more cells than the header is an
+    error, as is a file whose header names other columns.
     """
     strings, names = read_strings(spark, path, multi_line)
     return cast_columns(strings, types or infer_types(strings)).toDF(*names)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
-    """Export with a header line and without a row index; missing values are empty cells."""
+    """Export with a header line and without a row index; missing values are empty cells.
+
+    A single column is quoted throughout, as readers skip blank lines.
+    """
     df.write.mode(mode).options(
+        quoteAll=len(df.columns) == 1,
         **OPTIONS,
         nullValue="",
         emptyValue="",

@@ -94,24 +94,47 @@ def header_dimensions(content: Column) -> Column:
     )
 
 
+def jpeg_dimensions(content: Column, segments: int = 1024) -> Column:
+    """Struct (image_width, image_height) from a JPEG file's markers, null for anything else.
+
+    The segments before the frame header are walked by their lengths; at most `segments` of them.
+    Fixed values: marker codes and field positions of the file format.
+    """
+    start = F.when(F.hex(F.substring(content, 1, 2)) == "FFD8", F.lit(3)).otherwise(F.lit(None))
+    none = F.lit(None).cast("int")
+    first = F.struct(start.cast("long").alias("at"), none.alias("image_width"), none.alias("image_height"))
+
+    def step(acc: Column, _: Column) -> Column:
+        marker = F.hex(F.substring(content, acc["at"].cast("int"), F.lit(2)))
+        at = lambda k, n: F.conv(F.hex(F.substring(content, (acc["at"] + k).cast("int"), F.lit(n))), 16, 10).cast("long")
+        frame = marker.rlike("^FF(C[0-35-79ABD-F])$")
+        moved = F.when(marker == "FFFF", acc["at"] + 1).when(marker.rlike("^FF[0-9A-F]{2}$") & ~marker.isin("FFD9", "FFDA"), acc["at"] + 2 + at(2, 2))
+        return F.when(acc["at"].isNull(), acc).otherwise(
+            F.struct(
+                F.when(~frame, moved).alias("at"),
+                F.when(frame, at(7, 2)).cast("int").alias("image_width"),
+                F.when(frame, at(5, 2)).cast("int").alias("image_height"),
+            )
+        )
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(segments)), first, step)
+    return F.when(walked["image_width"].isNotNull(), F.struct(walked["image_width"], walked["image_height"]))
+
+
 def read_image_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """(path, image_width, image_height) of png, webp (from headers), jpg and jpeg files (decoded)."""
-    headers = (
+    """(path, image_width, image_height, reason) of png, webp, jpg and jpeg files, from their headers.
+
+    A file whose header cannot be read has null sizes and a reason.
+    """
+    content = F.col("content")
+    images = (
         spark.read.format("binaryFile")
-        .options(recursiveFileLookup=True, pathGlobFilter="*.{png,PNG,webp,WEBP}")
-        .load(path)
-        .select("path", header_dimensions(F.col("content")).alias("d"))
-        .where("d IS NOT NULL")
-        .select("path", "d.image_width", "d.image_height")
-    )
-    photos = (
-        spark.read.format("image")
-        .options(recursiveFileLookup=True, pathGlobFilter="*.{jpg,JPG,jpeg,JPEG}", dropInvalid=True)
+        .options(recursiveFileLookup=True, pathGlobFilter="*.{png,PNG,webp,WEBP,jpg,JPG,jpeg,JPEG}")
         .load(path)
-        .select(F.col("image.origin").alias("path"), "image.width", "image.height")
-        .toDF("path", "image_width", "image_height")
+        .select("path", F.coalesce(header_dimensions(content), jpeg_dimensions(content)).alias("d"))
     )
-    return headers.unionByName(photos)
+    reason = F.when(F.col("d").isNull(), "Image header cannot be read.").otherwise("")
+    return images.select("path", "d.image_width", "d.image_height", reason.alias("reason"))
 
 
 def write_text(reports: DataFrame, path: str, column: str = "report", mode: str = "errorifexists") -> str:

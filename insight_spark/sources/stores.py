@@ -1,9 +1,11 @@
 """Report, share and snapshot records, and the tables they are appended to.
 
-A store is a folder partitioned by the first two digits of the user key: at most 256
-partitions however many users there are. Rows are range-partitioned by key and record id before
-writing, so one very active user is spread over several files, files hold neighbouring keys, and
-the key statistics of each file let a read for one user skip the others.
+A store is a folder of versions, each partitioned by the first digit of the user key: 16 partitions
+however many users there are. Rows are range-partitioned by key and record id before writing, so one
+very active user is spread over several files, files hold neighbouring keys, and the key statistics
+of each file let a read for one user skip the others. Appends go to the newest version and leave out
+records it has; compaction and erasure write the next version, which counts from the moment it is
+whole, and remove the older ones.
 """
 
 from __future__ import annotations
@@ -75,30 +77,75 @@ def dashboard_snapshot(
 
 def key_prefix(key: Column) -> Column:
     """Partition value; the letter keeps it text when partitions are discovered."""
-    return F.concat(F.lit("k"), F.substring(key, 1, 2))
+    return F.concat(F.lit("k"), F.substring(key, 1, 1))
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the whole versions of a store, oldest first."""
+    files, at = _folder(spark, path)
+    if not files.exists(at):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(at) if s.isDirectory()]
+    numbers = sorted(int(n.removeprefix("version-")) for n in names if n.startswith("version-"))
+    whole = lambda n: files.exists(_folder(spark, f"{path}/version-{n}/_SUCCESS")[1])
+    return [n for n in numbers if whole(n)]
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """Folder of the newest whole version, or None where there is none."""
+    known = versions(spark, path)
+    return f"{path}/version-{known[-1]}" if known else None
+
+
+def _placed(keyed: DataFrame, record_id: str) -> DataFrame:
+    order = (KEY_PREFIX, "user_key", record_id)
+    return keyed.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def append_records(
-    records: DataFrame, path: str, record_id: str, keep_local: bool = False, fmt: str = "parquet"
+    records: DataFrame,
+    path: str,
+    record_id: str,
+    keep_local: bool = False,
+    fmt: str = "parquet",
+    owner: str = "email",
 ) -> str:
-    """Append records to a user store. Records without an email are refused, or kept under the
-    local user with ``keep_local``."""
-    email = F.coalesce(normalised_email(F.col("email")), F.lit(""))
+    """Append records to a user store; those whose id the user's store has already are left out, and so
+    are repetitions within the batch, so a repeated job changes nothing.
+
+    Records without an email (column `owner`) are refused, or kept under the local user with ``keep_local``.
+    """
+    spark = records.sparkSession
+    email = F.coalesce(normalised_email(named(owner)), F.lit(""))
     if keep_local:
-        owner = F.when(email != "", email).otherwise(LOCAL_USER)
-        kept = records.withColumn("email", owner)
+        kept = records.withColumn(owner, F.when(email != "", email).otherwise(LOCAL_USER))
     else:
-        kept = records.where(email != "").withColumn("email", email)
-    keyed = kept.withColumn("user_key", user_key(F.col("email"))).withColumn(
-        KEY_PREFIX, key_prefix(F.col("user_key"))
-    )
-    placed = keyed.repartitionByRange(KEY_PREFIX, "user_key", record_id).sortWithinPartitions(
-        KEY_PREFIX, "user_key", record_id
-    )
-    placed.write.mode("append").partitionBy(KEY_PREFIX).format(fmt).save(path)
+        kept = records.where(email != "").withColumn(owner, email)
+    keyed = kept.withColumn("user_key", user_key(named(owner))).withColumn(KEY_PREFIX, key_prefix(F.col("user_key")))
+    fresh = keyed.dropDuplicates(["user_key", record_id])
+    version = current(spark, path)
+    if version is not None:
+        there = spark.read.format(fmt).schema(f"user_key string, {record_id} string, {KEY_PREFIX} string").load(version)
+        fresh = fresh.join(there, [KEY_PREFIX, "user_key", record_id], "left_anti")
+    target = version or f"{path}/version-0"
+    _placed(fresh, record_id).write.mode("append").partitionBy(KEY_PREFIX).format(fmt).save(target)
     return path
 
 
+def _load(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None) -> DataFrame:
+    reader = spark.read.format(fmt)
+    if fmt == "json":
+        if schema is None:
+            raise ValueError("a JSON store needs its record schema")
+        reader = reader.schema(schema).option("mode", "DROPMALFORMED")
+    return reader.load(current(spark, path) or path)
+
+
 def list_records(
     spark: SparkSession,
     path: str,
@@ -111,18 +158,36 @@ def list_records(
 
     JSON stores need the record `schema`; lines that do not parse are skipped.
     """
-    reader = spark.read.format(fmt)
-    if fmt == "json":
-        if schema is None:
-            raise ValueError("a JSON store needs its record schema")
-        reader = reader.schema(schema).option("mode", "DROPMALFORMED")
-    stored = reader.load(path)
+    stored = _load(spark, path, fmt, schema)
     if email is not None:
         key = user_key(F.lit(email.strip() or LOCAL_USER))
         stored = stored.where((F.col(KEY_PREFIX) == key_prefix(key)) & (F.col("user_key") == key))
     return stored.drop(KEY_PREFIX).orderBy(F.desc("created_at"), F.col(record_id))
 
 
+def _replace(spark: SparkSession, path: str, record_id: str, rows: DataFrame, fmt: str) -> str:
+    """Write rows as the next version and remove the older ones once it is whole."""
+    older = versions(spark, path)
+    target = f"{path}/version-{older[-1] + 1}"
+    _placed(rows, record_id).write.mode("overwrite").partitionBy(KEY_PREFIX).format(fmt).save(target)
+    for number in older:
+        files, at = _folder(spark, f"{path}/version-{number}")
+        files.delete(at, True)
+    return target
+
+
+def compact(spark: SparkSession, path: str, record_id: str, fmt: str = "parquet", schema: str | None = None) -> str:
+    """Rewrite a store with files bounded by size instead of by the number of appends."""
+    return _replace(spark, path, record_id, _load(spark, path, fmt, schema), fmt)
+
+
+def purge_store(
+    spark: SparkSession, path: str, record_id: str, requests: DataFrame, fmt: str = "parquet", schema: str | None = None
+) -> str:
+    """Erase the users (email) who asked for it: the next version lacks them, and the older ones are removed."""
+    return _replace(spark, path, record_id, purge_users(_load(spark, path, fmt, schema), requests), fmt)
+
+
 def purge_users(records: DataFrame, requests: DataFrame) -> DataFrame:
     """Records without those of the users (email) who asked for erasure: the next store version."""
     keys = requests.select(user_key(F.col("email")).alias("user_key")).distinct()

@@ -137,7 +137,8 @@ def test_images(spark, folder):
     write(folder, "broken.png", b"nothing")
     got = {r.path.rsplit("/", 1)[1]: (r.image_width, r.image_height) for r in files.read_image_metadata(spark, folder).collect()}
     assert got == {
-        "a.png": (3, 2), "lossy.webp": (640, 480), "lossless.webp": (300, 200), "extended.webp": (1000, 70_000)
+        "a.png": (3, 2), "lossy.webp": (640, 480), "lossless.webp": (300, 200), "extended.webp": (1000, 70_000),
+        "broken.png": (None, None),
     }
 
 
@@ -179,3 +180,44 @@ def test_text_export(spark, folder):
     frame = spark.createDataFrame([("line one",), ("line two",)], "report string")
     files.write_text(frame, folder)
     assert sorted(r.value for r in spark.read.text(folder).collect()) == ["line one", "line two"]
+
+
+def test_headers_are_matched_by_name(spark, folder):
+    write(folder, "1.csv", "a,b\n1,2\n")
+    write(folder, "2 x.csv", "b,a\n10,20\n")
+    assert sorted((r.a, r.b) for r in csv.read_csv(spark, folder).collect()) == [(1, 2), (20, 10)]
+    write(folder, "3.csv", "a,c\n1,2\n")
+    with pytest.raises(ValueError, match="different columns"):
+        csv.read_csv(spark, folder)
+
+
+def test_surplus_cells_are_loud(spark, folder):
+    path = write(folder, "x.csv", "a,b\n1,2\n3,4,5\n6\n")
+    with pytest.raises(Exception, match="more than the 2 cells"):
+        csv.read_csv(spark, path, ["bigint", "bigint"]).collect()
+    marked, names = csv.read_strings(spark, path, surplus="mark")
+    assert names == ["a", "b", "__surplus"]
+    assert sorted(map(tuple, marked.collect())) == [("1", "2", False), ("3", "4", True), ("6", None, False)]
+
+
+def test_a_stray_quote_does_not_unsplit(spark, folder):
+    path = write(folder, "x.csv", 'k,v\n1,5" pipe\n2,"a ""b"" c"\n')
+    assert not csv.has_multiline_fields(spark, path)
+    assert [r.v for r in csv.read_csv(spark, path).orderBy("k").collect()] == ['5" pipe', 'a "b" c']
+
+
+def test_one_column_round_trip(spark, folder):
+    frame = spark.createDataFrame([(" x ",), ("",), (None,), ("007 b",)], "t string")
+    csv.write_csv(frame, folder)
+    assert sorted(map(str, (r.t for r in csv.read_csv(spark, folder).collect()))) == [" x ", "007 b", "None", "None"]
+
+
+def test_jpeg_markers_and_unreadable_images(spark, folder):
+    body = b"\xff\xd8\xff\xe1" + struct.pack(">H", 10) + b"x" * 8 + b"\xff\xff\xfe" + struct.pack(">H", 4) + b"yy"
+    body += b"\xff\xc2" + struct.pack(">HBHH", 17, 8, 300, 400)
+    write(folder, "a.jpg", body)
+    write(folder, "cut.jpeg", body[:20])
+    write(folder, "no.png", b"text")
+    got = {r.path.rsplit("/", 1)[1]: tuple(r)[1:] for r in files.read_image_metadata(spark, folder).collect()}
+    lost = (None, None, "Image header cannot be read.")
+    assert got == {"a.jpg": (400, 300, ""), "cut.jpeg": lost, "no.png": lost}

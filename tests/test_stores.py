@@ -51,15 +51,16 @@ def test_active_user_is_spread_over_files(spark, folder):
         stores.append_records(stores.report_records(frame, at()), folder, "report_id")
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    hot = spark.read.parquet(folder).where("email = 'hot@x.com'").select(F.input_file_name().alias("file"))
+    hot = spark.read.parquet(stores.current(spark, folder)).where("email = 'hot@x.com'").select(F.input_file_name().alias("file"))
     assert hot.distinct().count() > 1
 
 
 def test_json_store_skips_broken_lines(spark, folder):
     records = stores.report_records(reports_frame(spark, [("a@x.com", "1", "t", "")]), at())
     stores.append_records(records, folder, "report_id", fmt="json")
-    partition = next(d for d in os.listdir(folder) if d.startswith("key_prefix="))
-    with open(os.path.join(folder, partition, "extra.json"), "w") as f:
+    version = stores.current(spark, folder)
+    partition = next(d for d in os.listdir(version) if d.startswith("key_prefix="))
+    with open(os.path.join(version, partition, "extra.json"), "w") as f:
         f.write('{"broken\n' + json.dumps({"email": "a@x.com", "report_id": "zz", "created_at": "2020", "user_key": "k"}) + "\n")
     schema = "email string, report_id string, file_name string, created_at string, user_key string, key_prefix string"
     rows = stores.list_records(spark, folder, "report_id", fmt="json", schema=schema).collect()
@@ -95,6 +96,43 @@ def test_purge(spark, folder):
     assert [r.file_name for r in kept.collect()] == ["3"]
 
 
+def test_repeated_append_adds_nothing(spark, folder):
+    frame = reports_frame(spark, [("a@x.com", "1", "t", ""), ("a@x.com", "1", "t", ""), ("b@x.com", "2", "t", "")])
+    records = stores.report_records(frame, at())
+    for _ in range(3):
+        stores.append_records(records, folder, "report_id")
+    assert stores.list_records(spark, folder, "report_id").count() == 2
+    stores.append_records(records.limit(0), folder, "report_id")
+    assert stores.versions(spark, folder) == [0]
+
+
+def test_purge_switches_the_version(spark, folder):
+    rows = [("a@x.com", "1", "t", ""), ("b@x.com", "2", "t", "")]
+    stores.append_records(stores.report_records(reports_frame(spark, rows), at()), folder, "report_id")
+    stores.purge_store(spark, folder, "report_id", spark.createDataFrame([("A@x.com",)], "email string"))
+    assert stores.versions(spark, folder) == [1] and os.listdir(folder) == ["version-1"]
+    assert [r.file_name for r in stores.list_records(spark, folder, "report_id").collect()] == ["2"]
+    stores.append_records(stores.report_records(reports_frame(spark, rows[:1]), at()), folder, "report_id")
+    assert stores.list_records(spark, folder, "report_id").count() == 2
+
+
+def test_compaction_bounds_files(spark, folder):
+    for day in range(1, 5):
+        frame = reports_frame(spark, [(f"u{k}@x.com", "f", "t", "") for k in range(20)])
+        stores.append_records(stores.report_records(frame, at(f"2024-05-0{day}")), folder, "report_id")
+    count = lambda: sum(f.endswith(".parquet") for _, _, names in os.walk(folder) for f in names)
+    before, rows = count(), stores.list_records(spark, folder, "report_id").count()
+    stores.compact(spark, folder, "report_id")
+    assert rows == 80 == stores.list_records(spark, folder, "report_id").count() and count() < before / 2
+
+
+def test_share_store(spark, folder):
+    rows = [("A@x.com", "1", "text", ""), (None, "2", "text", "")]
+    links = stores.share_links(reports_frame(spark, rows), "https://h", at())
+    stores.append_records(links, folder, "share_id", owner="shared_by")
+    assert [r.link for r in stores.list_records(spark, folder, "share_id", "a@x.com").collect()] == [r.link for r in links.where("shared_by = 'A@x.com'").collect()]
+
+
 def test_shared_folder_uses_the_configured_one(spark):
     base = spark.conf.get("spark.checkpoint.dir")
     one, two = shared_folder(spark, "x"), shared_folder(spark, "x")
