@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from insight_spark.session import configure, stored
 
-# Arrow batches are bounded in bytes, so tasks with very long texts stay small as well.
-BATCHES = {
+SETTINGS = {
+    # Arrow batches are bounded in bytes, so tasks with very long texts stay small as well.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "20000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+    # Shuffle files go when their job is over; what later jobs need is in written tables.
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     configure(spark)
-    for key, value in BATCHES.items():
+    for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
 
@@ -32,16 +32,6 @@ def texts(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns, body)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans that nothing refers to any more.
-
-    Spark does so when the driver's JVM collects those plans, which may otherwise be long after the
-    stages that read them.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def components(edges: DataFrame, limit: int = 40) -> DataFrame:
     """Connected components of an edge list (a long, b long): one row per vertex (v, c), c its smallest vertex.
 

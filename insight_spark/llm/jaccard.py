@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from insight_spark.llm.common import components, prepare, release, texts
+from insight_spark.llm.common import components, prepare, texts
 from insight_spark.llm.words import BASE, Words, mix
 from insight_spark.session import stored
 
@@ -342,7 +342,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     with one pivot, those linked with it are connected at once, and only the others are sent to every
     block of the group to be searched.
     """
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     table = stored(sets(docs, n))
     filled = table.where("n_shingles > 0")
     reps = filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
@@ -351,7 +351,6 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
     )
     links = links_of_groups(docs, groups_of(docs, n, percent), classes, n, percent)
-    release(spark)
     final = components(links)
     return classes.join(final, classes.rep == final.v, "left").select(
         "doc_id", "n_shingles", F.coalesce("c", "rep").alias("component_id")
@@ -362,10 +361,7 @@ def groups_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Groups that can hold links: (v, c), each document that shares a segment and its group's smallest."""
     dealt = texts(docs).where("doc_id IS NOT NULL").mapInArrow(starred(n, percent), "segment long, doc long")
     dealt = dealt.repartition(F.col("segment")).sortWithinPartitions("segment", "doc")
-    edges = stored(dealt.mapInArrow(met, "a long, b long").distinct())
-    del dealt
-    release(docs.sparkSession)
-    return components(edges)
+    return components(stored(dealt.mapInArrow(met, "a long, b long").distinct()))
 
 
 def links_of_groups(docs: DataFrame, groups: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
@@ -415,6 +411,5 @@ def without_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataF
     that repeat a kept doc_id.
     """
     found = jaccard_components(docs, n, percent)
-    release(docs.sparkSession)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
