@@ -14,7 +14,17 @@ INTEGER_PATTERN = r"^[ \t\n\x0B\f\r]*[+-]?[0-9]+[ \t\n\x0B\f\r]*$"
 OUTER_SPACE_PATTERN = r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$"
 LINE_BREAK_PATTERN = r"\r\n|[\n\r\x0B\f\x1c\x1d\x1e\x85\u2028\u2029]"
 
-DEFAULT_DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")
+# Spellings with one reading each. Of the others, `operators.cleaning.date_formats` picks one per column.
+DEFAULT_DATE_FORMATS = (
+    "yyyy-MM-dd HH:mm:ss[.SSSSSS][XXX]",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]",
+    "yyyy-MM-dd",
+    "yyyy/M/d",
+    "MMM d, yyyy",
+    "d MMM yyyy",
+)
+MONTH_FIRST_FORMATS = ("M/d/yyyy", "M/d/yyyy HH:mm:ss", "M-d-yyyy")
+DAY_FIRST_FORMATS = ("d/M/yyyy", "d/M/yyyy HH:mm:ss", "d-M-yyyy", "d.M.yyyy")
 
 
 def quoted(column: str) -> str:
@@ -81,7 +91,7 @@ def coerce_timestamp(
 ) -> Column:
     """Best-effort timestamp without time zone; unreadable values become null.
 
-    Text is tried against `formats` in order. Numbers are epoch nanoseconds
+    Text is trimmed and tried against `formats` in order; a time with a zone becomes its UTC time. Numbers are epoch nanoseconds
     (``numeric="epoch_ns"``) or left alone (``numeric="keep"``).
     """
     if isinstance(dtype, T.TimestampNTZType):
@@ -89,7 +99,8 @@ def coerce_timestamp(
     if isinstance(dtype, (T.TimestampType, T.DateType)):
         return col.cast("timestamp_ntz")
     if isinstance(dtype, T.StringType):
-        tried = [F.try_to_timestamp(col, F.lit(fmt)) for fmt in formats]
+        text = trim_text(col)
+        tried = [F.try_to_timestamp(text, F.lit(fmt)) for fmt in formats]
         return F.coalesce(*tried).cast("timestamp_ntz")
     if isinstance(dtype, T.NumericType):
         if numeric == "keep":

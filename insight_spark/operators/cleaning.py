@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from insight_spark.functions import fixed
 from insight_spark.functions.scalars import (
+    DAY_FIRST_FORMATS,
     DEFAULT_DATE_FORMATS,
+    MONTH_FIRST_FORMATS,
     array_over,
     coerce_timestamp,
     named,
@@ -73,17 +75,66 @@ def trim_texts(df: DataFrame) -> DataFrame:
     return df.withColumns({c: trim_text(named(c)) for c in columns}) if columns else df
 
 
+def date_formats(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[str, ...]]:
+    """For each text column the formats to read it with: those of one reading, and the order of day and
+    month that reads more of its values. If both read as many, the month comes first; if neither reads
+    any, there is none.
+
+    One aggregate over the columns, of which the driver reads a single row.
+    """
+    columns = [c for c in columns if isinstance(df.schema[c].dataType, T.StringType)]
+    if not columns:
+        return {}
+    orders = (MONTH_FIRST_FORMATS, DAY_FIRST_FORMATS)
+    counts = df.agg(
+        *[
+            F.array(*[F.count_if(coerce_timestamp(named(c), formats=o).isNotNull()) for o in orders]).alias(f"n{i}")
+            for i, c in enumerate(columns)
+        ]
+    ).first()
+    chosen = {}
+    for i, c in enumerate(columns):
+        month, day = counts[f"n{i}"]
+        chosen[c] = DEFAULT_DATE_FORMATS + (orders[day > month] if month or day else ())
+    return chosen
+
+
+def unread_dates(
+    df: DataFrame, name_parts: tuple[str, ...] = CLEANING_DATE_PARTS, formats: Sequence[str] | None = None
+) -> DataFrame:
+    """How much of each date-like text column `standardise_dates` cannot read: (column, present, unread)."""
+    columns = [c for c in date_like_columns(df, name_parts) if isinstance(df.schema[c].dataType, T.StringType)]
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, present bigint, unread bigint")
+    chosen = date_formats(df, columns) if formats is None else dict.fromkeys(columns, formats)
+    rows = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.count(named(c)).alias("present"),
+            F.count_if(named(c).isNotNull() & coerce_timestamp(named(c), formats=chosen[c]).isNull()).alias("unread"),
+        )
+        for c in columns
+    ]
+    return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+
+
 def standardise_dates(
     df: DataFrame,
     name_parts: tuple[str, ...] = CLEANING_DATE_PARTS,
-    formats: Sequence[str] = DEFAULT_DATE_FORMATS,
+    formats: Sequence[str] | None = None,
     numeric: str = "epoch_ns",
 ) -> DataFrame:
-    """Turn columns with a date-like name into timestamps; unreadable values become missing."""
+    """Turn columns with a date-like name into timestamps; unreadable values become missing.
+
+    Without `formats`, those of each text column are chosen by one aggregate (`date_formats`);
+    `unread_dates` reports what they leave.
+    """
     types = {f.name: f.dataType for f in df.schema.fields}
+    columns = date_like_columns(df, name_parts)
+    chosen = date_formats(df, columns) if formats is None else {}
     changed = {
-        c: coerce_timestamp(named(c), types[c], formats, numeric)
-        for c in date_like_columns(df, name_parts)
+        c: coerce_timestamp(named(c), types[c], chosen.get(c, formats or DEFAULT_DATE_FORMATS), numeric)
+        for c in columns
         if not (numeric == "keep" and isinstance(types[c], T.NumericType))
     }
     return df.withColumns(changed) if changed else df
@@ -96,7 +147,7 @@ def apply_cleaning(
     fill_texts: bool = True,
     trim: bool = True,
     dates: bool = False,
-    date_formats: Sequence[str] = DEFAULT_DATE_FORMATS,
+    date_spellings: Sequence[str] | None = None,
     gap_columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """The cleaning pipeline in its fixed order: duplicates, numbers, texts, spaces, dates.
@@ -118,14 +169,14 @@ def apply_cleaning(
     if trim:
         cleaned = trim_texts(cleaned)
     if dates:
-        cleaned = standardise_dates(cleaned, formats=date_formats)
+        cleaned = standardise_dates(cleaned, formats=date_spellings)
     return cleaned
 
 
-def auto_fix(df: DataFrame, date_formats: Sequence[str] = DEFAULT_DATE_FORMATS, **options) -> DataFrame:
+def auto_fix(df: DataFrame, date_spellings: Sequence[str] | None = None, **options) -> DataFrame:
     """All steps at once; dates cover every column whose name contains "date" or "time"."""
     cleaned = apply_cleaning(df, dates=False, **options)
-    return standardise_dates(cleaned, DATE_NAME_PARTS, date_formats)
+    return standardise_dates(cleaned, DATE_NAME_PARTS, date_spellings)
 
 
 def auto_fix_actions(df: DataFrame, profiled: DataFrame | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from insight_spark.functions import fixed
 from insight_spark.functions.scalars import DEFAULT_DATE_FORMATS, coerce_numeric, coerce_timestamp, named
+from insight_spark.operators.cleaning import date_formats
 from insight_spark.operators.schema import unique_columns
 
 def _groups(names: Sequence[str]) -> list[Column]:
@@ -26,10 +27,11 @@ def forecast_series(
     date_column: str,
     value_column: str,
     group_cols: Sequence[str] = (),
-    date_formats: Sequence[str] = DEFAULT_DATE_FORMATS,
+    date_spellings: Sequence[str] | None = None,
 ) -> DataFrame:
     """Total per date: (group columns, date, value). Unreadable dates or numbers are dropped; a
-    missing column gives an empty series. Unordered: sort when displaying."""
+    missing column gives an empty series. Unordered: sort when displaying. Text dates are read with
+    `date_spellings`, or as `cleaning.date_formats` finds them written."""
     df = unique_columns(df)
     if date_column not in df.columns or value_column not in df.columns:
         spark = df.sparkSession
@@ -37,10 +39,11 @@ def forecast_series(
         extra = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
         return spark.createDataFrame([], extra + "date timestamp_ntz, value double")
     types = {f.name: f.dataType for f in df.schema.fields}
+    spellings = date_spellings or date_formats(df, [date_column]).get(date_column, DEFAULT_DATE_FORMATS)
     return (
         df.select(
             *_groups(group_cols),
-            coerce_timestamp(named(date_column), types[date_column], date_formats).alias("date"),
+            coerce_timestamp(named(date_column), types[date_column], spellings).alias("date"),
             coerce_numeric(named(value_column), types[value_column]).alias("value"),
         )
         .where("date IS NOT NULL AND value IS NOT NULL")

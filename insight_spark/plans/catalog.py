@@ -353,9 +353,11 @@ def coerce_numeric_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH written AS (
   SELECT o_orderkey, o_orderdate, CASE o_orderkey % 10 WHEN 0 THEN 'unknown'
     WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d')
-    WHEN 3 THEN strftime(o_orderdate, '%d/%m/%Y') ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS text
+    WHEN 3 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 4 THEN strftime(o_orderdate, ' %b %d, %Y ')
+    WHEN 5 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.250Z') ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS text
   FROM orders)
-SELECT o_orderkey, text, CASE WHEN o_orderkey % 10 IN (0, 3) THEN NULL ELSE o_orderdate END AS order_time
+SELECT o_orderkey, text, CASE WHEN o_orderkey % 10 IN (0, 3) THEN NULL WHEN o_orderkey % 10 = 5 THEN o_orderdate + INTERVAL 250 MILLISECOND
+  ELSE o_orderdate END AS order_time
 FROM written""",
 )
 def coerce_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -365,6 +367,8 @@ def coerce_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(rule == 1, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))
         .when(rule == 2, F.date_format("o_orderdate", "yyyy-MM-dd"))
         .when(rule == 3, F.date_format("o_orderdate", "dd/MM/yyyy"))
+        .when(rule == 4, F.date_format("o_orderdate", " MMM dd, yyyy "))
+        .when(rule == 5, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.250'Z'"))
         .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
     )
     written = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
@@ -893,8 +897,15 @@ def clean_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
   make_timestamp(l_orderkey * 1000) AS epoch_date FROM lineitem""",
 )
 def clean_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text dates (some unreadable) and epoch numbers; only columns named as dates change."""
-    text = F.when(F.col("l_orderkey") % 10 == 0, "n/k").otherwise(F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"))
+    """Text dates of several spellings (some unreadable) and epoch numbers; only columns named as dates change."""
+    rule = F.col("l_orderkey") % 10
+    text = (
+        F.when(rule == 0, "n/k")
+        .when(rule == 1, F.date_format("l_shipdate", "MM/dd/yyyy"))
+        .when(rule == 2, F.date_format("l_shipdate", " yyyy-MM-dd'T'HH:mm:ssXXX"))
+        .when(rule == 3, F.date_format("l_shipdate", "d MMM yyyy"))
+        .otherwise(F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"))
+    )
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
         "l_linenumber",
@@ -956,6 +967,18 @@ def forecast_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(forecast.forecast_series(dirty_orders(spark, sf_dir), "o_orderdate", "o_totalprice"), "value")
 
 
+@query(
+    "forecast_text_dates",
+    f"WITH {DIRTY_SQL} SELECT o_orderdate AS date, round(sum(o_totalprice), 2) AS value FROM dirty WHERE o_totalprice IS NOT NULL GROUP BY 1",
+)
+def forecast_text_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates as text, half of them with the day before the month."""
+    day_first = F.date_format("o_orderdate", "dd/MM/yyyy")
+    text = F.when(F.col("o_orderkey") % 2 == 0, day_first).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    series = forecast.forecast_series(dirty_orders(spark, sf_dir).withColumn("day", text), "day", "o_totalprice")
+    return rounded(series, "value")
+
+
 @query("linear_forecast", _forecast_sql(DAILY_ORDERS_SQL))
 def linear_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     series = forecast.forecast_series(table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice")

@@ -114,3 +114,31 @@ def test_medians_do_not_cross_join(spark, folder, plan):
     spark.range(50).select("id", F.when(F.col("id") > 5, F.col("id") * 1.0).alias("v")).write.parquet(folder)
     text = plan(cleaning.fill_numeric(spark.read.parquet(folder)))
     assert "Subquery" in text and "NestedLoop" not in text and "Cartesian" not in text and "Python" not in text
+
+
+def test_date_spellings(spark):
+    day = dt.datetime(2024, 1, 31)
+    spelled = {
+        "2024-01-31 10:00:00.123": day.replace(hour=10, microsecond=123_000), "2024-01-31T10:00:00Z": day.replace(hour=10),
+        "2024-01-31T10:00:00+02:00": day.replace(hour=8), "Jan 31, 2024": day, " 2024-01-31": day, "2024/1/31": day,
+        "31 Jan 2024": day, "n/k": None, None: None,
+    }
+    frame = spark.createDataFrame([(t,) for t in spelled], "the_date string")
+    rows = cleaning.standardise_dates(frame.withColumn("text", frame.the_date)).collect()
+    assert {r.text: r.the_date for r in rows} == spelled
+    assert tuple(cleaning.unread_dates(frame).first()) == ("the_date", 8, 1)
+
+
+@pytest.mark.parametrize(
+    ("texts", "want"),
+    [
+        (["01/31/2024", "02/03/2024"], [(1, 31), (2, 3)]),
+        (["31/01/2024", "02/03/2024"], [(1, 31), (3, 2)]),
+        (["02/03/2024"], [(2, 3)]),  # both orders read it: the month comes first
+        (["31.01.2024", "2024-05-06"], [(1, 31), (5, 6)]),
+    ],
+)
+def test_order_of_day_and_month(spark, texts, want):
+    frame = spark.createDataFrame([(t,) for t in texts], "date string")
+    got = [(r.date.month, r.date.day) for r in cleaning.standardise_dates(frame.coalesce(1)).collect()]
+    assert got == want
