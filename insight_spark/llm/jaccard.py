@@ -6,7 +6,9 @@ Exact at every threshold, in four steps.
 2. Groups that can hold links. Hash space is cut into more segments than two linked sets can differ
    in elements, so linked sets agree in whole segments. Equal segments join documents into groups
    (a superset of the links' components); nothing but segment hashes is shuffled, and each task
-   reduces a repeated segment to one row before.
+   reduces a repeated segment to one row before. Shingles that very many documents share would join
+   unlike documents; they are left out of the segments, which keeps the guarantee, since sets do not
+   differ more without them.
 3. T-occurrence search inside each group (DivideSkip): a set's short inverted lists are merged on a
    heap that skips ahead, its long ones are probed by binary search, and only documents that reach
    the required overlap are links. A pair that is already connected is not searched further.
@@ -29,6 +31,9 @@ from insight_spark.session import stored
 
 GROUP_SHINGLES = 300_000
 FOREST = 300_000
+CHUNK_SHINGLES = 1_000_000
+CHUNK_TIMES = 3
+MOST_COMMON = 400_000
 
 
 class Segments:
@@ -36,23 +41,27 @@ class Segments:
 
     Sizes are cut into bands; a set is hashed in its own band's scheme and, if a linked larger set
     can lie in the next band, in that one too. Two linked sets that meet in a scheme differ in at
-    most `differ` elements; with spare + 1 more segments than that, at least spare + 1 agree. Nearly
-    empty segments say little, so a set leaves them out while it has at most spare of them.
+    most `differ` elements, and in no more without the common ones; with spare + 1 more segments than
+    that, at least spare + 1 agree.
+
+    Empty segments say nothing. A set that without common elements has at most spare of them shares a
+    filled one with every linked set, so its filled ones do. A set with more of them gives its filled
+    ones too, and those of all its elements besides, where it meets the linked sets of its kind.
     """
 
-    def __init__(self, percent: int):
-        self.percent, self.edges, self.schemes = percent, [1], []
+    def __init__(self, percent: int, common: np.ndarray = np.empty(0, np.uint64)):
+        self.percent, self.edges, self.schemes, self.common = percent, [1], [], common
 
-    def scheme(self, band: int) -> tuple[int, np.ndarray, int, int]:
+    def scheme(self, band: int) -> tuple[int, np.ndarray, int]:
         while len(self.schemes) <= band:
             low = self.edges[-1]
             high = low * 10_000 // self.percent**2 + 1  # sizes low to high - 1
             self.edges.append(high)
             differ = 2 * (high - 1) * (100 - self.percent) // (100 + self.percent)
-            spare = 2 + differ // 20
+            spare = 2 + differ // 8
             n = differ + 1 + spare
             cuts = np.array([(k << 64) // n for k in range(1, n)], np.uint64)
-            self.schemes.append((differ, cuts, spare, low * self.percent // (100 * n * 6)))
+            self.schemes.append((differ, cuts, spare))
         return self.schemes[band]
 
     def band(self, size: int) -> int:
@@ -64,18 +73,29 @@ class Segments:
         own, out = self.band(len(found)), []
         self.scheme(own)
         nearby = len(found) * 100 >= self.edges[own + 1] * self.percent
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(found ^ BASE))])
+        rare = found
+        if len(self.common):
+            at = np.minimum(np.searchsorted(self.common, found), len(self.common) - 1)
+            rare = found[self.common[at] != found]
         for band in (own, own + 1) if nearby else (own,):
-            differ, cuts, spare, weak = self.scheme(band)
+            differ, cuts, spare = self.scheme(band)
             if not differ:
                 continue  # linked sets are equal, and equal sets are joined by class
-            at = np.concatenate([[0], np.searchsorted(found, cuts), [len(found)]])
-            tag = (np.arange(len(at) - 1, dtype=np.uint64) + np.uint64(band << 32)) * BASE
-            hashes = mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(tag))
-            thin = np.diff(at) <= weak
-            out.append(hashes[~thin] if thin.sum() <= spare else hashes)
+            hashes, empty = self._hashes(rare, cuts, band, 0)
+            out.append(hashes[~empty])
+            if empty.sum() > spare:
+                hashes, empty = self._hashes(found, cuts, band, 1)
+                out.append(hashes[~empty] if empty.sum() <= spare else hashes)
         return np.concatenate(out) if out else np.empty(0, np.uint64)
 
+    @staticmethod
+    def _hashes(found: np.ndarray, cuts: np.ndarray, band: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of each segment, and which are empty."""
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(found ^ BASE))])
+        at = np.concatenate([[0], np.searchsorted(found, cuts), [len(found)]])
+        tag = (np.arange(len(at) - 1, dtype=np.uint64) + np.uint64((2 * band + kind) << 32)) * BASE
+        return mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(tag)), at[1:] == at[:-1]
+
 
 def set_hashes(found: np.ndarray) -> tuple[np.uint64, np.uint64]:
     """Two 64-bit hashes of a whole set."""
@@ -85,25 +105,56 @@ def set_hashes(found: np.ndarray) -> tuple[np.uint64, np.uint64]:
 
 
 def sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles and two 64-bit hashes of the whole set."""
+    """doc_id, n_shingles and two 64-bit hashes of every document's set (is_doc); and, of the shingles that
+    at least CHUNK_TIMES of a task's last documents have, the hash (set_a) and their number (n_shingles)."""
 
     def run(batches):
+        seen, many = [], 0
         for batch in batches:
             words = Words(batch.column(1).to_pylist(), lower=True)
             runs = words.runs(n)
             found = [words.shingles(doc, runs, n) for doc in range(batch.num_rows)]
             hashes = np.array([set_hashes(f) for f in found], np.uint64).reshape(-1, 2).view(np.int64)
-            columns = [batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array(hashes[:, 0]), pa.array(hashes[:, 1])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_a", "set_b"])
-
-    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long")
+            yield set_batch(batch.column(0), [len(f) for f in found], hashes[:, 0], hashes[:, 1], True)
+            seen += found
+            many += sum(map(len, found))
+            if many > CHUNK_SHINGLES:
+                yield repeated(seen)
+                seen, many = [], 0
+        if many:
+            yield repeated(seen)
+
+    def repeated(seen):
+        value, times = np.unique(np.concatenate(seen), return_counts=True)
+        often = times >= CHUNK_TIMES
+        value = value[often].view(np.int64)
+        return set_batch(pa.nulls(len(value), pa.int64()), times[often], value, np.zeros(len(value), np.int64), False)
+
+    def set_batch(ids, size, one, two, is_doc):
+        columns = [ids, pa.array(size, pa.int64()), pa.array(one), pa.array(two), pa.array([is_doc] * len(one))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_a", "set_b", "is_doc"])
+
+    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, is_doc boolean")
+
+
+def common_shingles(table: DataFrame) -> np.ndarray:
+    """Sorted hashes of shingles that about a thousandth of all documents share (20 at least), from the
+    counts in sets().
+
+    Any choice gives the same components; this one keeps groups small. There are at most a thousand
+    times as many as an average set has elements, and no more than MOST_COMMON are taken.
+    """
+    counts = table.where("NOT is_doc").groupBy("set_a").agg(F.sum("n_shingles").alias("times"))
+    least = max(20, table.where("is_doc").count() // 1000)
+    rows = counts.where(F.col("times") >= least).orderBy(F.desc("times"), "set_a").limit(MOST_COMMON).select("set_a")
+    return np.sort(rows.toPandas()["set_a"].to_numpy(np.int64).view(np.uint64))
 
 
 def edge_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def starred(n: int, percent: int):
+def starred(n: int, percent: int, common):
     """Texts -> (segment, doc): each segment of a batch once, with its smallest document.
 
     Further documents of the segment, and of equal sets, are joined with that one by a key of their own
@@ -111,7 +162,7 @@ def starred(n: int, percent: int):
     """
 
     def run(batches):
-        segments = Segments(percent)
+        segments = Segments(percent, common.value)
         for batch in batches:
             doc = batch.column(0).to_numpy(zero_copy_only=False)
             words = Words(batch.column(1).to_pylist(), lower=True)
@@ -343,23 +394,25 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     block of the group to be searched.
     """
     prepare(docs.sparkSession)
-    table = stored(sets(docs, n))
+    counted = stored(sets(docs, n))
+    table = counted.where("is_doc").drop("is_doc")
     filled = table.where("n_shingles > 0")
     reps = filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
     classes = stored(
         table.join(reps, ["set_a", "set_b"], "left")
         .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
     )
-    links = links_of_groups(docs, groups_of(docs, n, percent), classes, n, percent)
+    links = links_of_groups(docs, groups_of(docs, common_shingles(counted), n, percent), classes, n, percent)
     final = components(links)
     return classes.join(final, classes.rep == final.v, "left").select(
         "doc_id", "n_shingles", F.coalesce("c", "rep").alias("component_id")
     )
 
 
-def groups_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
+def groups_of(docs: DataFrame, common: np.ndarray, n: int, percent: int) -> DataFrame:
     """Groups that can hold links: (v, c), each document that shares a segment and its group's smallest."""
-    dealt = texts(docs).where("doc_id IS NOT NULL").mapInArrow(starred(n, percent), "segment long, doc long")
+    common = docs.sparkSession.sparkContext.broadcast(common)
+    dealt = texts(docs).where("doc_id IS NOT NULL").mapInArrow(starred(n, percent, common), "segment long, doc long")
     dealt = dealt.repartition(F.col("segment")).sortWithinPartitions("segment", "doc")
     return components(stored(dealt.mapInArrow(met, "a long, b long").distinct()))
 

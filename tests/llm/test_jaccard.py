@@ -75,10 +75,13 @@ def test_near_copies_in_whole_and_split_groups(spark, monkeypatch, limit):
 def test_segments_of_linked_sets_meet():
     rng = np.random.default_rng(5)
     for percent in (80, 90):
-        segments = jaccard.Segments(percent)
-        for _ in range(400):
+        for turn in range(400):
+            pool = np.sort(rng.integers(0, 1 << 63, 200).astype(np.uint64))
+            segments = jaccard.Segments(percent, pool if turn % 2 else pool[:0])
             size = int(rng.integers(2, 400))
             one = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+            one = np.unique(np.concatenate([one[: size // (1 + turn % 7)], rng.choice(pool, turn % 150)])) if turn % 2 else one
+            size = len(one)
             drop = int(rng.integers(0, max(1, size // 6) + 1))
             two = np.unique(np.concatenate([one[drop // 2 :], rng.integers(0, 1 << 63, drop - drop // 2).astype(np.uint64)]))
             both = len(np.intersect1d(one, two))
