@@ -26,7 +26,7 @@ def header_names(raw: list[str | None]) -> list[str]:
     return names
 
 
-WHOLE_FIELD = r'(?<=^|,)"(?:[^"]|"")*"(?=,|$)'
+WHOLE_FIELD = r'(?<=^|,)"[^"]*+(?:""[^"]*+)*+"(?=,|$)'
 OPEN_FIELD = r'(?:^|,)"'
 SURPLUS = "__surplus"
 

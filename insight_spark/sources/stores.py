@@ -57,10 +57,11 @@ def dashboard_snapshot(
     file_name: str,
     industry: str = fixed.INDUSTRIES[0],
     created_at: Column | None = None,
+    profiled: DataFrame | None = None,
 ) -> DataFrame:
-    """Snapshot record of a frame's profile; an empty frame gives no record."""
+    """Snapshot record of a frame's profile (`profiled`, if it is there); an empty frame gives no record."""
     owner = email.strip() or LOCAL_USER
-    row = profile(df).where("rows > 0").select(
+    row = (profile(df) if profiled is None else profiled).where("rows > 0").select(
         F.lit(owner).alias("email"),
         F.lit(file_name).alias("file_name"),
         utc_stamp(created_at).alias("created_at"),
