@@ -131,7 +131,7 @@ def sets(docs: DataFrame, n: int) -> DataFrame:
         return set_batch(pa.nulls(len(value), pa.int64()), times[often], value, np.zeros(len(value), np.int64), False)
 
     def set_batch(ids, size, one, two, is_doc):
-        columns = [ids, pa.array(size, pa.int64()), pa.array(one), pa.array(two), pa.array([is_doc] * len(one))]
+        columns = [ids, pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array([is_doc] * len(one), pa.bool_())]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_a", "set_b", "is_doc"])
 
     return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, is_doc boolean")
