@@ -23,13 +23,13 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from insight_spark.llm.common import components, prepare, texts
 from insight_spark.llm.words import BASE, Words, mix
 from insight_spark.session import stored
 
-GROUP_SHINGLES = 300_000
+GROUP_SHINGLES = 150_000
 FOREST = 300_000
 CHUNK_SHINGLES = 1_000_000
 CHUNK_TIMES = 3
@@ -44,9 +44,10 @@ class Segments:
     most `differ` elements, and in no more without the common ones; with spare + 1 more segments than
     that, at least spare + 1 agree.
 
-    Empty segments say nothing. A set that without common elements has at most spare of them shares a
-    filled one with every linked set, so its filled ones do. A set with more of them gives its filled
-    ones too, and those of all its elements besides, where it meets the linked sets of its kind.
+    Segments of one element or none say little. A set that has at most spare of them shares a larger one
+    with every linked set, so it gives the larger ones only. Two linked sets that both have more of
+    them meet in segments of one element, which such sets give too, while either has at most spare empty
+    ones; sets that without common elements have more than that give segments of all elements besides.
     """
 
     def __init__(self, percent: int, common: np.ndarray = np.empty(0, np.uint64)):
@@ -55,10 +56,10 @@ class Segments:
     def scheme(self, band: int) -> tuple[int, np.ndarray, int]:
         while len(self.schemes) <= band:
             low = self.edges[-1]
-            high = low * 10_000 // self.percent**2 + 1  # sizes low to high - 1
+            high = low * 100 // self.percent + 1  # sizes low to high - 1
             self.edges.append(high)
             differ = 2 * (high - 1) * (100 - self.percent) // (100 + self.percent)
-            spare = 2 + differ // 8
+            spare = 2 + differ * (6 if self.percent < 85 else 3) // 10  # most sets have fewer small segments
             n = differ + 1 + spare
             cuts = np.array([(k << 64) // n for k in range(1, n)], np.uint64)
             self.schemes.append((differ, cuts, spare))
@@ -81,20 +82,21 @@ class Segments:
             differ, cuts, spare = self.scheme(band)
             if not differ:
                 continue  # linked sets are equal, and equal sets are joined by class
-            hashes, empty = self._hashes(rare, cuts, band, 0)
-            out.append(hashes[~empty])
-            if empty.sum() > spare:
-                hashes, empty = self._hashes(found, cuts, band, 1)
-                out.append(hashes[~empty] if empty.sum() <= spare else hashes)
+            hashes, sizes = self._hashes(rare, cuts, band, 0)
+            least = next((k for k in (2, 1) if (sizes < k).sum() <= spare), 0)
+            out.append(hashes[sizes >= max(1, least)])
+            if not least:
+                hashes, sizes = self._hashes(found, cuts, band, 1)
+                out.append(hashes[sizes >= next((k for k in (2, 1) if (sizes < k).sum() <= spare), 0)])
         return np.concatenate(out) if out else np.empty(0, np.uint64)
 
     @staticmethod
     def _hashes(found: np.ndarray, cuts: np.ndarray, band: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of each segment, and which are empty."""
+        """Hash of each segment, and how many elements it has."""
         sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(found ^ BASE))])
         at = np.concatenate([[0], np.searchsorted(found, cuts), [len(found)]])
         tag = (np.arange(len(at) - 1, dtype=np.uint64) + np.uint64((2 * band + kind) << 32)) * BASE
-        return mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(tag)), at[1:] == at[:-1]
+        return mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(tag)), np.diff(at)
 
 
 def set_hashes(found: np.ndarray) -> tuple[np.uint64, np.uint64]:
@@ -390,8 +392,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     class's component or null. Other columns are ignored; an empty table gives none.
 
     A group of more than GROUP_SHINGLES shingles is not searched as one: its members are compared
-    with one pivot, those linked with it are connected at once, and only the others are sent to every
-    block of the group to be searched.
+    with one pivot, and those linked with it are connected at once. Both they and the others are dealt
+    to blocks; a block of others is searched against every block, so no task holds more than two.
     """
     prepare(docs.sparkSession)
     counted = stored(sets(docs, n))
@@ -426,7 +428,9 @@ def links_of_groups(docs: DataFrame, groups: DataFrame, classes: DataFrame, n: i
         .select("doc_id", F.col("c").alias("part"), "n_shingles")
     )
     sizes = members.groupBy("part").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("weight")).where("members > 1")
-    wanted = members.join(sizes, "part").select("doc_id", "part", F.ceil(F.col("weight") / GROUP_SHINGLES).cast("int").alias("blocks"))
+    wanted = members.join(sizes, "part").select(
+        "doc_id", "part", "n_shingles", (F.col("weight") > GROUP_SHINGLES).alias("is_large")
+    )
 
     held = stored(wanted.join(texts(docs).hint("merge"), "doc_id"))  # one plan at every size
 
@@ -434,22 +438,35 @@ def links_of_groups(docs: DataFrame, groups: DataFrame, classes: DataFrame, n: i
         spread = rows.repartition(F.col("part")).sortWithinPartitions("part", "doc_id")
         return stored(spread.mapInArrow(searched(n, percent), "a long, b long"))
 
-    small = held.where("blocks = 1").select("part", "doc_id", F.lit(False).alias("near"), "text")
+    small = held.where("NOT is_large").select("part", "doc_id", F.lit(False).alias("near"), "text")
     links = search(small)
-    large = held.where("blocks > 1")
+    large = held.where("is_large")
     if large.isEmpty():
         return links
     pivots = large.groupBy("part").agg(F.min(F.struct("doc_id", "text")).alias("p"))
     pivots = pivots.select("part", F.col("p.doc_id").alias("pivot"), F.col("p.text").alias("pivot_text"))
     judged = stored(
-        large.join(pivots, "part").select("part", "doc_id", "blocks", "pivot", "text", "pivot_text").mapInArrow(
-            near_pivot(n, percent), "part long, doc_id long, blocks int, pivot long, text binary, near boolean"
+        large.join(pivots, "part").select("part", "doc_id", "n_shingles", "pivot", "text", "pivot_text").mapInArrow(
+            near_pivot(n, percent), "part long, doc_id long, n_shingles long, pivot long, text binary, near boolean"
         )
     )
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    placed = judged.withColumn(
-        "block", F.explode(F.when(F.col("near"), F.array(block)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    ).select(F.xxhash64("part", "block").alias("part"), "doc_id", "near", "text")
+    # near ones meet the others only, in parts of a block of each; the others meet each other too
+    count = lambda near: F.ceil(F.sum(F.when(near, F.col("n_shingles")).otherwise(0)) / GROUP_SHINGLES).cast("int")
+    blocks = judged.groupBy("part").agg(count(F.col("near")).alias("nears"), count(~F.col("near")).alias("others")).where("others > 0")
+    own = F.pmod(F.xxhash64("doc_id"), F.when(F.col("near"), F.col("nears")).otherwise(F.col("others"))).cast("int")
+
+    def pairs(first: Column, n: Column, kind: int) -> Column:
+        """Numbers of the parts that block `first` forms with blocks 0 to n - 1."""
+        return F.when(
+            n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.xxhash64(F.col("part"), F.lit(kind), F.least(first, k) if kind else first, F.greatest(first, k) if kind else k))
+        ).otherwise(F.array().cast("array<bigint>"))
+
+    with_near = F.transform(F.sequence(F.lit(0), F.col("nears") - 1), lambda k: F.xxhash64(F.col("part"), F.lit(0), k, F.col("own")))
+    met_by = F.when(F.col("near"), pairs(F.col("own"), F.col("others"), 0)).otherwise(
+        F.concat(F.when(F.col("nears") > 0, with_near).otherwise(F.array().cast("array<bigint>")), pairs(F.col("own"), F.col("others"), 1))
+    )
+    placed = judged.join(blocks, "part").withColumn("own", own).withColumn("met", F.explode(met_by))
+    placed = placed.select(F.col("met").alias("part"), "doc_id", "near", "text")
     pivoted = judged.where("near").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
     return links.unionByName(search(placed)).unionByName(pivoted)
 
