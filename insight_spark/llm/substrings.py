@@ -26,6 +26,7 @@ from insight_spark.session import stored
 LONGEST = 128
 HOT_STRINGS = 20_000
 CHUNK = 4 << 20
+SEEDS = (BASE, np.uint64(int(BASE) ** 2 & (1 << 64) - 1))
 
 
 def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
@@ -58,7 +59,7 @@ def sequence_hash(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each document's word sequence."""
     place = (np.arange(len(words.hash)) - np.repeat(words.first[:-1], np.diff(words.first))).astype(np.uint64)
     out = []
-    for seed in (BASE, BASE * BASE):
+    for seed in SEEDS:
         total = np.concatenate([[np.uint64(0)], np.cumsum(mix(words.hash + mix(place * seed + seed)))])
         out.append((total[words.first[1:]] - total[words.first[:-1]]).view(np.int64))
     return out[0], out[1]

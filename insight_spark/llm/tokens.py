@@ -22,7 +22,7 @@ class ChunkIds:
     others of a batch are encoded together, set apart by a control token.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -16,6 +16,7 @@ LENGTHS = (4, 5, 6, 7)
 BITS = 20
 TASKS = 8
 PART = 256 << 10
+FEW = 16
 FACTORS = {n: np.uint64(0x9E3779B97F4A7C15 * (2 * n + 1) & (1 << 64) - 1 | 1) for n in LENGTHS}
 
 
@@ -65,9 +66,10 @@ def tallied(batches):
     tally = np.zeros((2, 1 << BITS), np.int64)
     for batch in batches:
         toxic = batch.column(0).to_numpy(zero_copy_only=False)
-        owner, value = present(batch.column(1).to_pylist())
-        for k in (0, 1):
-            tally[k] += np.bincount(value[toxic[owner] == k], minlength=1 << BITS)
+        body = batch.column(1).to_pylist()
+        for first in range(0, len(body), FEW):
+            owner, value = present(body[first : first + FEW])
+            np.add.at(tally, (toxic[first + owner], value), 1)
     f = np.flatnonzero(tally.any(axis=0))
     yield pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), pa.array(tally[1, f]), pa.array(tally[0, f])], names=["f", "a", "b"])
 
