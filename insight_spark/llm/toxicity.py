@@ -20,13 +20,15 @@ FEW = 16
 FACTORS = {n: np.uint64(0x9E3779B97F4A7C15 * (2 * n + 1) & (1 << 64) - 1 | 1) for n in LENGTHS}
 
 
-def runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each n: the feature of every run of n bytes of the joined texts, and where each text begins.
-    A-Z are lowered, white space is a space, and every text has spaces and a line break around it."""
+def runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each n: the feature of every run of n bytes of the joined texts, which of them lie in one text,
+    and where each text begins. A-Z are lowered, white space is a space, every text has a space on both
+    sides, and a line break parts it from the next."""
     joined = b" " + b" \n ".join(texts) + b" "
     raw = np.frombuffer(joined, np.uint8)
     codes = LOWER[np.where(SPACE[raw] & (raw != 10), np.uint8(32), raw)]
     begins = np.cumsum([0, *(len(t) + 3 for t in texts)])
+    parts = np.flatnonzero(codes == 10)
     for n in LENGTHS:
         size = max(0, len(raw) - n + 1)
         value = np.zeros(size, np.uint64)
@@ -35,7 +37,11 @@ def runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             value |= codes[k : k + size]
         value *= FACTORS[n]
         value >>= np.uint64(64 - BITS)
-        yield value.view(np.int64), begins
+        inside = np.ones(size, bool)
+        for k in range(n):
+            crossing = parts - k
+            inside[crossing[(crossing >= 0) & (crossing < size)]] = False
+        yield value.view(np.int64), inside, begins
 
 
 def present(texts: list[bytes], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -48,8 +54,8 @@ def present(texts: list[bytes], wanted: np.ndarray | None = None) -> tuple[np.nd
             size += len(texts[to])
             to += 1
         keys = []
-        for value, begins in runs(texts[first:to]):
-            at = np.arange(len(value)) if wanted is None else np.flatnonzero(wanted[value])
+        for value, inside, begins in runs(texts[first:to]):
+            at = np.flatnonzero(inside if wanted is None else wanted[value] & inside)
             owner = np.searchsorted(begins, at, "right") - 1
             keys.append(np.unique(owner << BITS | value[at]))
         found = np.unique(np.concatenate(keys))

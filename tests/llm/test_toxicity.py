@@ -24,6 +24,15 @@ def test_held_out_labels_are_not_read(spark):
     assert one == two and len(one) == docs.count()
 
 
+def test_features_do_not_depend_on_neighbours():
+    texts = [b"", b"ab", b"an idiot\n", b"x" * 9, "\u00e9 A\tb".encode(), b"last"]
+    owner, value = toxicity.present(texts)
+    for k, text in enumerate(texts):
+        alone = toxicity.present([text])[1]
+        assert sorted(value[owner == k].tolist()) == sorted(alone.tolist())
+    assert toxicity.present([])[0].size == 0 and toxicity.present([b""])[1].size == 0
+
+
 def test_edge_cases(spark):
     rows = [(k, "you are an idiot scum" if k % 4 == 0 else f"a kind word {k}", k) for k in range(80)]
     rows += [(None, "idiot", 1), (200, None, 1), (201, "", 1), (202, "x" * 300000, 1), (4, rows[4][1], 1)]
