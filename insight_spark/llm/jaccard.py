@@ -31,9 +31,9 @@ from insight_spark.session import stored
 
 GROUP_SHINGLES = 150_000
 FOREST = 300_000
-CHUNK_SHINGLES = 1_000_000
+CHUNK_SHINGLES = 3_000_000
 CHUNK_TIMES = 3
-MOST_COMMON = 400_000
+MOST_COMMON = 1_000_000
 
 
 class Segments:
@@ -140,14 +140,14 @@ def sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def common_shingles(table: DataFrame) -> np.ndarray:
-    """Sorted hashes of shingles that about a thousandth of all documents share (20 at least), from the
+    """Sorted hashes of shingles that about one in 4,000 of all documents share (20 at least), from the
     counts in sets().
 
-    Any choice gives the same components; this one keeps groups small. There are at most a thousand
+    Any choice gives the same components; this one keeps groups small. There are at most 4,000
     times as many as an average set has elements, and no more than MOST_COMMON are taken.
     """
     counts = table.where("NOT is_doc").groupBy("set_a").agg(F.sum("n_shingles").alias("times"))
-    least = max(20, table.where("is_doc").count() // 1000)
+    least = max(20, table.where("is_doc").count() // 4000)
     rows = counts.where(F.col("times") >= least).orderBy(F.desc("times"), "set_a").limit(MOST_COMMON).select("set_a")
     return np.sort(rows.toPandas()["set_a"].to_numpy(np.int64).view(np.uint64))
 
@@ -415,7 +415,9 @@ def groups_of(docs: DataFrame, common: np.ndarray, n: int, percent: int) -> Data
     """Groups that can hold links: (v, c), each document that shares a segment and its group's smallest."""
     common = docs.sparkSession.sparkContext.broadcast(common)
     dealt = texts(docs).where("doc_id IS NOT NULL").mapInArrow(starred(n, percent, common), "segment long, doc long")
-    dealt = dealt.repartition(F.col("segment")).sortWithinPartitions("segment", "doc")
+    # half as many parts as usual: every part passes on a forest over its documents
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
+    dealt = dealt.repartition(parts, "segment").sortWithinPartitions("segment", "doc")
     return components(stored(dealt.mapInArrow(met, "a long, b long").distinct()))
 
 
