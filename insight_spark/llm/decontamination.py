@@ -1,12 +1,10 @@
-"""Benchmark decontamination: CGK walks, bit-sampling tables, exact edit verification.
-
-A CGK walk reads a text with a pointer that moves on or stays by a random bit of (step, character);
-texts of small edit distance so become strings of small Hamming distance, because walks fall into
-step again after an edit. Item-sized windows are compared by walks from their words: every word of an
-item, and every word of a document, starts a walk. A table of the repeated bit-sampling keeps a few
-sampled steps of its own walk as key; equal keys place the item's window over the document, and the
-exact edit distance of the best fit there decides. Any undisturbed stretch of about thirty
-characters is a sure hit, and each table adds a chance for disturbed ones.
+"""Benchmark decontamination: pieces of items that edits must leave whole, exact edit verification.
+
+An item of m characters with at most k edits is cut into k + 1 pieces, or k + 2 where pieces stay long
+enough. An edit touches one piece at most, so every near copy holds one of them (or two, little apart
+from where the item has them) unchanged, at any place of the document: no white space is needed, and
+no near copy is missed (recall 1 at every length and share of edits, not a target approached by more
+tables). Where pieces are met, the exact edit distance of the best fit decides.
 """
 
 from __future__ import annotations
@@ -20,57 +18,40 @@ from pyspark.sql import DataFrame, functions as F
 from insight_spark.llm.common import prepare, texts
 from insight_spark.llm.words import LOWER, SPACE
 
-STEPS, SAMPLED, TABLES = 56, 16, 2
 GRAM = 5
-STAGES = (4, 8, 16)
+SEED = 8
+PAIRED = 6
 BLOCK_BYTES = 8 << 20
-FILTER = 1 << 20
-
-
-class Walk:
-    """One table: the random bits of its walk, and which steps it samples."""
-
-    def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.moves = rng.integers(0, 2, (STEPS, 256)).astype(np.int32)
-        self.sampled = np.sort(rng.choice(STEPS, SAMPLED, replace=False))
-
-    def keys(self, text: np.ndarray, at: np.ndarray, alive=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Walks from positions at: which of them are left, their keys and where they ended.
-
-        alive(stage, keys) may say which walks can still meet an item.
-        """
-        which, pos, key = np.arange(len(at)), at.astype(np.int32), np.full(len(at), 7, np.uint64)
-        taken = 0
-        for step in range(int(self.sampled[-1]) + 1):
-            c = text[pos]
-            if step == self.sampled[taken]:
-                key = (key ^ c) * np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(29)
-                taken += 1
-                if alive is not None and taken in STAGES:
-                    keep = alive(STAGES.index(taken), key)
-                    which, pos, key, c = which[keep], pos[keep], key[keep], c[keep]
-            pos = pos + self.moves[step][c]
-        return which, key, pos
+STRETCH = 1 << 18
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normalised(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All texts in one array, A-Z lowered and white space runs one space, zeros at the end; where each
-    text begins in it (and the last ends); and each kept byte's place in the joined input."""
-    raw = np.frombuffer(b"\n".join(parts), np.uint8)
+    """All texts in one array, A-Z lowered and white space runs one space, a space after each and zeros at
+    the end; where each text begins in it (and what follows the last); and each kept byte's place in the
+    joined input."""
+    raw = np.frombuffer(b"".join(p + b"\n" for p in parts), np.uint8)
     space = SPACE[raw]
     keep = np.ones(len(raw), bool)
     keep[1:] = ~(space[1:] & space[:-1])
     begins = np.cumsum([0, *(len(p) + 1 for p in parts)])
     place = np.concatenate([[0], np.cumsum(keep)])
     text = LOWER[np.where(space, np.uint8(32), raw)[keep]]
-    return np.concatenate([text, np.zeros(STEPS + 1, np.uint8)]), place[np.minimum(begins, len(raw))], np.flatnonzero(keep)
+    return np.concatenate([text, np.zeros(SEED, np.uint8)]), place[begins], np.flatnonzero(keep)
+
+
+def text_of(raw: bytes) -> str:
+    """Text whose encoding by bytes_of gives the same bytes, whatever they are."""
+    return raw.decode("utf-8", "surrogateescape")
 
 
-def word_starts(text: np.ndarray, n: int) -> np.ndarray:
-    inside = text[:n] != 32
-    return np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]])) if n else np.empty(0, np.int64)
+def bytes_of(text: str) -> bytes:
+    return text.encode("utf-8", "surrogateescape")
+
+
+def eights(text: np.ndarray) -> np.ndarray:
+    """The SEED bytes from each place on as one number, the first byte lowest; no copy."""
+    return np.ndarray((len(text) - SEED + 1,), "<u8", text, strides=(1,))
 
 
 def best_fit_of(pattern: str, text: str) -> tuple[int, int]:
@@ -108,57 +89,90 @@ def grams(text: np.ndarray) -> np.ndarray:
     return out
 
 
+class Seeds:
+    """Pieces by their first `size` bytes, with their last bytes, items and offsets in the item."""
+
+    def __init__(self, size: int, rows: list[tuple[int, int, int, int, int, int]]):
+        self.mask = np.uint64((1 << 8 * size) - 1)
+        key, last, last_mask = (np.array([r[k] for r in rows], np.uint64) for k in range(3))
+        shift, owner, offset = (np.array([r[k] for r in rows], np.int64) for k in range(3, 6))
+        order = np.argsort(key, kind="stable")
+        self.key, self.last, self.last_mask = key[order], last[order], last_mask[order]
+        self.shift, self.owner, self.offset = shift[order], owner[order], offset[order]
+        bits = min(26, max(20, (16 * len(rows)).bit_length()))
+        self.down = np.uint64(64 - bits)
+        self.filter = np.zeros(1 << bits, bool)
+        self.filter[self.key * SPREAD >> self.down] = True
+
+    def met(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Items, places of their pieces and places where the items would begin."""
+        for at in range(0, len(words), STRETCH):
+            here = words[at : at + STRETCH] & self.mask
+            where = np.flatnonzero(self.filter[here * SPREAD >> self.down])
+            key = here[where]
+            low, high = np.searchsorted(self.key, key), np.searchsorted(self.key, key, "right")
+            n = high - low
+            hit = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+            place = np.repeat(where + at, n)
+            end = words[np.minimum(place + self.shift[hit], len(words) - 1)]
+            same = end & self.last_mask[hit] == self.last[hit]
+            hit, place = hit[same], place[same]
+            yield self.owner[hit], place, place - self.offset[hit]
+
+
 class Index:
-    """Tables over the items: key -> items and the offsets of the words the walks start from."""
+    """Pieces of the items, by how many bytes of them are compared at first."""
 
-    def __init__(self, items: list[tuple[int, bytes]], percent: int):
-        self.ids = [i for i, _ in items]
+    def __init__(self, items: list[tuple[int, bytes]], percent: int, min_chars: int = 1):
         text, begin, _ = normalised([t for _, t in items])
-        self.texts = [text[a : b - 1].tobytes().decode("utf-8", "replace").strip() for a, b in zip(begin, begin[1:], strict=False)]
-        if items:  # the last item has no line break after it
-            self.texts[-1] = text[begin[-2] : begin[-1]].tobytes().decode("utf-8", "replace").strip()
+        self.ids, self.texts = [], []
+        for k, (i, _) in enumerate(items):
+            t = text_of(text[begin[k] : begin[k + 1]].tobytes()).strip()
+            if len(t) >= max(1, min_chars):
+                self.ids.append(i)
+                self.texts.append(t)
         self.most = [len(t) * percent // 100 for t in self.texts]
-        self.grams = [grams(np.frombuffer(t.encode(), np.uint8)) for t in self.texts]
-        # an edit changes one character, and with it at most GRAM runs of bytes and one more for each further byte
-        widest = [max((len(c.encode()) for c in set(t)), default=1) for t in self.texts]
-        self.shared = [len(g) - m * (GRAM + w - 1) for g, m, w in zip(self.grams, self.most, widest, strict=True)]
-        starts = word_starts(text, len(text) - STEPS - 1)
-        owner = np.searchsorted(begin, starts, "right") - 1
-        self.tables = []
-        for seed in range(TABLES):
-            walk = Walk(seed)
-            seen: list[np.ndarray] = []
-
-            def note(stage, key, seen=seen):
-                seen.append(key)
-                return np.ones(len(key), bool)
-
-            _, key, end = walk.keys(text, starts, note)
-            whole = end <= begin[owner + 1]  # the walk did not leave its item
-            filters = []
-            for keys in seen:
-                table = np.zeros(FILTER, bool)
-                table[(keys[whole] >> np.uint64(20)) & np.uint64(FILTER - 1)] = True
-                filters.append(table)
-            order = np.argsort(key[whole], kind="stable")
-            offset = (starts - begin[owner])[whole][order]
-            self.tables.append((walk, filters, key[whole][order], owner[whole][order], offset))
-
-    def meets(self, text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Items whose window some walk places over the text, where the walk began, and the place of the
-        window's first byte."""
-        items, begun, places = [], [], []
-        for walk, filters, keys, owner, offset in self.tables:
-            if not len(keys):
-                continue
-            which, key, _ = walk.keys(text, starts, lambda s, k, f=filters: f[s][(k >> np.uint64(20)) & np.uint64(FILTER - 1)])
-            low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
-            n = high - low
-            hit = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            items.append(owner[hit])
-            begun.append(np.repeat(starts[which], n))
-            places.append(begun[-1] - offset[hit])
-        return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (items, begun, places))
+        self.known: dict[int, tuple[np.ndarray, int]] = {}
+        paired, rows = [], {}
+        for owner, (t, most) in enumerate(zip(self.texts, self.most, strict=True)):
+            body = bytes_of(t)
+            at = np.cumsum([0, *(len(bytes_of(c)) for c in t)]) if len(body) > len(t) else np.arange(len(t) + 1)
+            pair = most > 0 and len(t) // (most + 2) >= PAIRED
+            paired.append(pair)
+            cuts = at[np.arange(most + pair + 2) * len(t) // (most + pair + 1)].tolist()
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                size = min(SEED, b - a)
+                first, last = (int.from_bytes(x, "little") for x in (body[a : a + size], body[b - size : b]))
+                rows.setdefault(size, []).append((first, last, (1 << 8 * size) - 1, b - a - size, owner, a))
+        self.paired, self.reach = np.array(paired, bool), 4 * np.array(self.most, np.int64)
+        self.seeds = [Seeds(size, r) for size, r in sorted(rows.items())]
+
+    def runs(self, i: int) -> tuple[np.ndarray, int]:
+        """The item's grams, and how many of them its edits leave at least."""
+        if i not in self.known:
+            if len(self.known) > 2000:
+                self.known.clear()
+            t = self.texts[i]
+            g = grams(np.frombuffer(bytes_of(t), np.uint8))
+            # an edit changes one character, and with it at most GRAM runs of bytes and one more for each further byte
+            widest = max(len(bytes_of(c)) for c in set(t))
+            self.known[i] = g, len(g) - self.most[i] * (GRAM + widest - 1)
+        return self.known[i]
+
+    def meets(self, text: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Documents, items with as many pieces in them as a near copy has, and where the items would begin."""
+        words = eights(text)
+        found = [x for seeds in self.seeds for x in seeds.met(words)]
+        item, at, place = (np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64) for k in range(3))
+        doc = np.searchsorted(begin, at, "right") - 1
+        order = np.lexsort((place, item, doc))
+        doc, item, place = doc[order], item[order], place[order]
+        # an edit moves what follows by four bytes at most
+        close = (doc[1:] == doc[:-1]) & (item[1:] == item[:-1]) & (np.diff(place) <= self.reach[item[1:]])
+        keep = ~self.paired[item]
+        keep[1:] |= close
+        keep[:-1] |= close
+        return doc[keep], item[keep], place[keep]
 
 
 def regions(doc: np.ndarray, item: np.ndarray, place: np.ndarray, gap: int = 64) -> Iterator[tuple[int, int, int, int]]:
@@ -180,26 +194,26 @@ def fitted(index: Index):
             ids = batch.column(0).to_pylist()
             text, begin, origin = normalised(parts)
             joined = np.cumsum([0, *(len(p) + 1 for p in parts)])
-            starts = word_starts(text, len(text) - STEPS - 1)
-            item, begun, place = tables.meets(text, starts)
             runs = grams(text)
-            doc = np.searchsorted(begin, begun, "right") - 1
             found: dict[tuple[int, int], tuple[int, int, int]] = {}
-            for d, i, first, last in regions(doc, item, place):
+            for d, i, first, last in regions(*tables.meets(text, begin)):
+                known = found.get((d, i))
+                if known is not None and known[0] == 0:
+                    continue  # nothing is better than the first exact copy
                 pattern, most = tables.texts[i], tables.most[i]
-                size = len(pattern.encode())
+                size = len(bytes_of(pattern))
                 low = max(int(begin[d]), first - 4 * most)
-                high = min(int(begin[d + 1]), last + size + 4 * most)
-                if np.isin(tables.grams[i], runs[low : max(low, high - GRAM + 1)]).sum() < tables.shared[i]:
+                high = min(int(begin[d + 1]) - 1, last + size + 4 * most)
+                own, shared = tables.runs(i)
+                if shared > 0 and np.isin(own, runs[low : max(low, high - GRAM + 1)]).sum() < shared:
                     continue  # fewer runs in common than that many edits leave
-                body = text[low:high].tobytes().decode("utf-8", "ignore")
+                body = text_of(text[low:high].tobytes())
                 edits, end = best_fit_of(pattern, body)
                 if edits > most:
                     continue
                 _, taken = best_fit_of(pattern[::-1], body[:end][::-1])
-                a = low + len(body[: end - taken].encode())
-                b = low + len(body[:end].encode())
-                known = found.get((d, i))
+                a = low + len(bytes_of(body[: end - taken]))
+                b = low + len(bytes_of(body[:end]))
                 if known is None or (edits, a) < known[:2]:
                     found[d, i] = (edits, a, b)
             rows = []
@@ -221,8 +235,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 10, min_chars: i
 
     doc_id, item_id, edits (least edit distance of the item to a piece of the document, A-Z lowered
     and white space runs one space), item_chars, start and end of that piece (code points of the
-    document's text as given; the first of equally good ones among the places searched). A copy is
-    near if edits are at most percent of the item's characters. Whole texts are searched. Items of
+    document's text as given; the first of equally good ones). A copy is near if edits are at most
+    percent of the item's characters. Whole texts are searched, and every near copy is found. Items of
     fewer than min_chars characters are too short to be told from chance and are not searched, null
     and blank texts have nothing, items of equal text are each reported, and so is every row of a
     repeated doc_id. Items without id are reported with a null id. Other columns are ignored.
@@ -230,6 +244,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 10, min_chars: i
     The benchmark is taken in blocks of at most BLOCK_BYTES of text (one item at least), and each block
     is broadcast by itself, so what is broadcast does not grow with either table.
     """
+    if not 0 <= percent < 100:
+        raise ValueError("percent is at least 0 and less than 100: with as many edits as characters every text is a copy")
     spark = prepare(docs.sparkSession)
     items = texts(benchmark.select(F.col("item_id").alias("doc_id"), "text")).where(F.length("text") >= min_chars)
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0

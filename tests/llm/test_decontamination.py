@@ -102,3 +102,39 @@ def test_edge_cases(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [3, 4, 5, 6, None]
     assert dec.leaks(docs.limit(0), items).count() == 0
     assert dec.leaks(docs, items.limit(0)).count() == 0
+
+
+def spread(rng, text, edits, kind):
+    """As many edits as given, the same distance apart: substitutions, deletions, insertions or all in turn."""
+    out, step = list(text), len(text) / max(1, edits)
+    for k in reversed(range(edits)):
+        at = min(len(text) - 1, int((k + rng.random() * 0.2 + 0.4) * step))
+        what = kind if kind < 3 else k % 3
+        if what == 0:
+            out[at] = "#"
+        elif what == 1:
+            del out[at]
+        else:
+            out.insert(at, "#")
+    return "".join(out)
+
+
+def test_every_copy_at_the_bound_is_found_like_brute_force(spark):
+    rng = np.random.default_rng(11)
+    source = [plain(r.text) for r in table(spark, "/root/testdata/sf0.1", "benchmark").collect()]
+    items, rows = [], []
+    for size in (36, 48, 64, 81, 120, 200, 300):
+        for kind in range(4):
+            for _ in range(3):
+                text = next(t for t in (source[int(rng.integers(len(source)))] for _ in range(500)) if len(t) >= size)[:size].strip()
+                items.append((len(items), text))
+                for over in (0, 1):
+                    copy = spread(rng, text, len(text) // 10 + over, kind)
+                    rows.append((len(rows), source[len(rows) % 90][:60] + copy + source[len(rows) % 70][:60]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.edits for r in dec.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    least = {(d, i): dec.best_fit_of(t, plain(x))[0] for d, x in rows for i, t in items}
+    want = {p: e for p, e in least.items() if e <= len(items[p[1]][1]) // 10}
+    assert got == want
+    # a deletion between two spaces is one edit more once they are one space
+    assert sum((2 * i, i) in want for i, _ in items) > 0.9 * len(items)
