@@ -138,3 +138,20 @@ def test_every_copy_at_the_bound_is_found_like_brute_force(spark):
     assert got == want
     # a deletion between two spaces is one edit more once they are one space
     assert sum((2 * i, i) in want for i, _ in items) > 0.9 * len(items)
+
+
+def test_copies_without_white_space(spark):
+    rng = np.random.default_rng(5)
+    han = ["".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 900, n)) for n in (33, 60, 150)]
+    code = ["".join(rng.choice(list("abcdefghijklmnop_"), n)) for n in (40, 90)]
+    thai = ["".join(chr(0x0E01 + int(x)) for x in rng.integers(0, 46, 70))]
+    items = list(enumerate(han + code + thai))
+    around = "".join(chr(0x5E00 + int(x)) for x in rng.integers(0, 900, 500))
+    rows = []
+    for i, t in items:
+        rows.append((2 * i, around[:200] + t + around[200:]))
+        rows.append((2 * i + 1, "x" * 50 + disturbed(rng, t, 0.1) + "y" * 50))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.edits, r.start, r.end) for r in dec.leaks(docs, bench).collect()}
+    assert set(got) == {(2 * i + k, i) for i, _ in items for k in (0, 1)}
+    assert all(got[2 * i, i] == (0, 200, 200 + len(t)) for i, t in items)
