@@ -230,15 +230,15 @@ def fitted(index: Index):
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 10, min_chars: int = 32) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 10, min_chars: int = 6) -> DataFrame:
     """One row for each document and benchmark item of which it has a near copy.
 
     doc_id, item_id, edits (least edit distance of the item to a piece of the document, A-Z lowered
     and white space runs one space), item_chars, start and end of that piece (code points of the
     document's text as given; the first of equally good ones). A copy is near if edits are at most
-    percent of the item's characters. Whole texts are searched, and every near copy is found. Items of
-    fewer than min_chars characters are too short to be told from chance and are not searched, null
-    and blank texts have nothing, items of equal text are each reported, and so is every row of a
+    percent of the item's characters, so the shortest items need an exact copy, inside words as well.
+    Whole texts are searched, and every near copy is found. Items of fewer than min_chars characters
+    (normalised as above) are not searched; 1 searches all. Null and blank texts have nothing, items of equal text are each reported, and so is every row of a
     repeated doc_id. Items without id are reported with a null id. Other columns are ignored.
 
     The benchmark is taken in blocks of at most BLOCK_BYTES of text (one item at least), and each block
@@ -247,7 +247,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 10, min_chars: i
     if not 0 <= percent < 100:
         raise ValueError("percent is at least 0 and less than 100: with as many edits as characters every text is a copy")
     spark = prepare(docs.sparkSession)
-    items = texts(benchmark.select(F.col("item_id").alias("doc_id"), "text")).where(F.length("text") >= min_chars)
+    items = texts(benchmark.select(F.col("item_id").alias("doc_id"), "text")).where(F.length("text") >= max(1, min_chars))
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (BLOCK_BYTES // 2)))
     out = None
@@ -260,7 +260,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 10, min_chars: i
                 raise ValueError("a block of the benchmark is far larger than its share: its items repeat; make them distinct")
             held.append((row.doc_id, bytes(row.text)))
         held.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        index = spark.sparkContext.broadcast(Index(held, percent))
+        index = spark.sparkContext.broadcast(Index(held, percent, min_chars))
         found = texts(docs).mapInArrow(
             fitted(index), "doc_id long, item_id long, edits int, item_chars int, start long, end long"
         )
@@ -268,8 +268,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 10, min_chars: i
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 10) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 10, min_chars: int = 6) -> DataFrame:
     """The rows of docs that have no near copy of any item; rows of one doc_id go or stay together, and
     rows without doc_id stay."""
-    found = leaks(docs, benchmark, percent).select(F.col("doc_id").alias("__leak")).distinct()
+    found = leaks(docs, benchmark, percent, min_chars).select(F.col("doc_id").alias("__leak")).distinct()
     return docs.join(found, F.col("doc_id") == F.col("__leak"), "left_anti")

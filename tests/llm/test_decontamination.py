@@ -155,3 +155,21 @@ def test_copies_without_white_space(spark):
     got = {(r.doc_id, r.item_id): (r.edits, r.start, r.end) for r in dec.leaks(docs, bench).collect()}
     assert set(got) == {(2 * i + k, i) for i, _ in items for k in (0, 1)}
     assert all(got[2 * i, i] == (0, 200, 200 + len(t)) for i, t in items)
+
+
+def test_short_items_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    source = [plain(r.text) for r in table(spark, "/root/testdata/sf0.001", "benchmark").collect()]
+    sizes = [1, 3, 5, 6, 7, 9, 10, 12, 16, 19, 20, 25, 30, 35, 40]
+    items = [(k, source[k % 40][:n].strip()) for k, n in enumerate(sizes)] + [(90, "ñandúé"), (91, "  日本語  "), (92, " ")]
+    rows = []
+    for k, (i, t) in enumerate(items):
+        rows += [(3 * k, source[39 - k] + t + "zz"), (3 * k + 1, "zz" + spread(rng, t, len(t) // 10, k % 4) + "zz"), (3 * k + 2, "zz" + spread(rng, t, len(t) // 10 + 1, k % 4) + "zz")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for least in (1, 6):
+        got = {(r.doc_id, r.item_id): r.edits for r in dec.leaks(docs, bench, min_chars=least).collect()}
+        want = {(d, i): e for d, x in rows for i, t in items if len(plain(t)) >= least and (e := distance(plain(t), plain(x))) <= len(plain(t)) // 10}
+        assert got == want
+    assert (3 * 3, 3) in got and (3 * 15, 90) in got
+    got = {(r.doc_id, r.item_id) for r in dec.leaks(docs, bench).collect()}
+    assert got == set(want)
