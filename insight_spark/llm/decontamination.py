@@ -9,6 +9,7 @@ tables). Where pieces are met, the exact edit distance of the best fit decides.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from insight_spark.llm.common import prepare, texts
 from insight_spark.llm.words import LOWER, SPACE
+from insight_spark.session import stored
 
 GRAM = 5
 SEED = 8
@@ -92,14 +94,12 @@ def grams(text: np.ndarray) -> np.ndarray:
 class Seeds:
     """Pieces by their first `size` bytes, with their last bytes, items and offsets in the item."""
 
-    def __init__(self, size: int, rows: list[tuple[int, int, int, int, int, int]]):
+    def __init__(self, size: int, columns: list[array]):
         self.mask = np.uint64((1 << 8 * size) - 1)
-        key, last, last_mask = (np.array([r[k] for r in rows], np.uint64) for k in range(3))
-        shift, owner, offset = (np.array([r[k] for r in rows], np.int64) for k in range(3, 6))
-        order = np.argsort(key, kind="stable")
-        self.key, self.last, self.last_mask = key[order], last[order], last_mask[order]
-        self.shift, self.owner, self.offset = shift[order], owner[order], offset[order]
-        bits = min(26, max(20, (16 * len(rows)).bit_length()))
+        order = np.argsort(np.frombuffer(columns[0], np.uint64), kind="stable")
+        self.key, self.last = (np.frombuffer(c, np.uint64)[order] for c in columns[:2])
+        self.shift, self.owner, self.offset = (np.frombuffer(c, np.int64)[order] for c in columns[2:])
+        bits = min(26, max(20, (16 * len(order)).bit_length()))
         self.down = np.uint64(64 - bits)
         self.filter = np.zeros(1 << bits, bool)
         self.filter[self.key * SPREAD >> self.down] = True
@@ -115,7 +115,7 @@ class Seeds:
             hit = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
             place = np.repeat(where + at, n)
             end = words[np.minimum(place + self.shift[hit], len(words) - 1)]
-            same = end & self.last_mask[hit] == self.last[hit]
+            same = end & self.mask == self.last[hit]
             hit, place = hit[same], place[same]
             yield self.owner[hit], place, place - self.offset[hit]
 
@@ -123,14 +123,15 @@ class Seeds:
 class Index:
     """Pieces of the items, by how many bytes of them are compared at first."""
 
-    def __init__(self, items: list[tuple[int, bytes]], percent: int, min_chars: int = 1):
-        text, begin, _ = normalised([t for _, t in items])
-        self.ids, self.texts = [], []
-        for k, (i, _) in enumerate(items):
+    def __init__(self, items: list[tuple[int, bytes, int]], percent: int, min_chars: int = 1):
+        """items: id, text and how many such rows there are; equal texts are one entry with all their ids."""
+        text, begin, _ = normalised([t for _, t, _ in items])
+        rows_of: dict[str, list[tuple[int, int]]] = {}
+        for k, (i, _, n) in enumerate(items):
             t = text_of(text[begin[k] : begin[k + 1]].tobytes()).strip()
             if len(t) >= max(1, min_chars):
-                self.ids.append(i)
-                self.texts.append(t)
+                rows_of.setdefault(t, []).append((i, n))
+        self.texts, self.ids = list(rows_of), list(rows_of.values())
         self.most = [len(t) * percent // 100 for t in self.texts]
         self.known: dict[int, tuple[np.ndarray, int]] = {}
         paired, rows = [], {}
@@ -143,7 +144,9 @@ class Index:
             for a, b in zip(cuts, cuts[1:], strict=False):
                 size = min(SEED, b - a)
                 first, last = (int.from_bytes(x, "little") for x in (body[a : a + size], body[b - size : b]))
-                rows.setdefault(size, []).append((first, last, (1 << 8 * size) - 1, b - a - size, owner, a))
+                columns = rows.setdefault(size, [array(c) for c in "QQqqq"])
+                for column, value in zip(columns, (first, last, b - a - size, owner, a), strict=True):
+                    column.append(value)
         self.paired, self.reach = np.array(paired, bool), 4 * np.array(self.most, np.int64)
         self.seeds = [Seeds(size, r) for size, r in sorted(rows.items())]
 
@@ -221,7 +224,9 @@ def fitted(index: Index):
                 head = joined[d]
                 first, last = (int(origin[x] - head) for x in (a, b - 1))
                 start = len(parts[d][:first].decode("utf-8", "ignore"))
-                rows.append((ids[d], tables.ids[i], edits, len(tables.texts[i]), start, start + len(parts[d][first : last + 1].decode("utf-8", "ignore"))))
+                stop = start + len(parts[d][first : last + 1].decode("utf-8", "ignore"))
+                for own, n in tables.ids[i]:
+                    rows += [(ids[d], own, edits, len(tables.texts[i]), start, stop)] * n
             columns = list(zip(*rows, strict=True)) or [()] * 6
             names = ["doc_id", "item_id", "edits", "item_chars", "start", "end"]
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
@@ -241,31 +246,35 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 10, min_chars: i
     (normalised as above) are not searched; 1 searches all. Null and blank texts have nothing, items of equal text are each reported, and so is every row of a
     repeated doc_id. Items without id are reported with a null id. Other columns are ignored.
 
-    The benchmark is taken in blocks of at most BLOCK_BYTES of text (one item at least), and each block
-    is broadcast by itself, so what is broadcast does not grow with either table.
+    The benchmark is taken in blocks of about BLOCK_BYTES of text (one item at least). Each is read by the
+    driver, broadcast and searched for by itself, its result written before the next one is read, so what
+    is held does not grow with either table; documents are read once for each block. Repeated rows are one
+    with their number.
     """
     if not 0 <= percent < 100:
         raise ValueError("percent is at least 0 and less than 100: with as many edits as characters every text is a copy")
     spark = prepare(docs.sparkSession)
     items = texts(benchmark.select(F.col("item_id").alias("doc_id"), "text")).where(F.length("text") >= max(1, min_chars))
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // (BLOCK_BYTES // 2)))
-    out = None
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)) == k)
-        held, room = [], 2 * BLOCK_BYTES
-        for row in part.toLocalIterator():
-            room -= len(row.text)
-            if held and room < 0:
-                raise ValueError("a block of the benchmark is far larger than its share: its items repeat; make them distinct")
-            held.append((row.doc_id, bytes(row.text)))
-        held.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    items = stored(items.groupBy("doc_id", "text").agg(F.count("*").alias("n")))
+
+    def searched(held: list[tuple[int, bytes, int]]):
         index = spark.sparkContext.broadcast(Index(held, percent, min_chars))
-        found = texts(docs).mapInArrow(
+        return index, texts(docs).mapInArrow(
             fitted(index), "doc_id long, item_id long, edits int, item_chars int, start long, end long"
         )
-        out = found if out is None else out.unionByName(found)
-    return out
+
+    out, held, room = None, [], BLOCK_BYTES
+    for row in items.toLocalIterator():
+        if held and room < len(row.text):
+            index, found = searched(held)
+            found = stored(found)
+            index.destroy()
+            out = found if out is None else out.unionByName(found)
+            held, room = [], BLOCK_BYTES
+        room -= len(row.text)
+        held.append((row.doc_id, bytes(row.text), row.n))
+    _, found = searched(held)
+    return found if out is None else out.unionByName(found)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 10, min_chars: int = 6) -> DataFrame:

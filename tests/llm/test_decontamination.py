@@ -173,3 +173,16 @@ def test_short_items_equal_brute_force(spark):
     assert (3 * 3, 3) in got and (3 * 15, 90) in got
     got = {(r.doc_id, r.item_id) for r in dec.leaks(docs, bench).collect()}
     assert got == set(want)
+
+
+def test_repeated_and_very_long_items(spark, monkeypatch):
+    monkeypatch.setattr(dec, "BLOCK_BYTES", 500)
+    text, other = "the quick brown fox jumps over the lazy dog", "pack my box with five dozen liquor jugs"
+    long = " ".join(f"word{k}" for k in range(400))
+    items = [(1, text)] * 100 + [(2, other), (3, long), (4, other.upper()), (None, text)]
+    docs = spark.createDataFrame([(1, "so " + text), (2, other), (3, long), (4, "none")], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(((r.doc_id, r.item_id) for r in dec.leaks(docs, bench).collect()), key=str)
+    assert got == sorted([(1, 1)] * 100 + [(1, None), (2, 2), (2, 4), (3, 3)], key=str)
+    kept = dec.without_leaks(docs, bench)
+    assert [r.doc_id for r in kept.collect()] == [4]
