@@ -103,6 +103,15 @@ def current(spark: SparkSession, path: str) -> str | None:
     return f"{path}/version-{known[-1]}" if known else None
 
 
+def unversioned(spark: SparkSession, path: str) -> list[str]:
+    """Partition folders of a store from before versions, where no version hides them yet."""
+    files, at = _folder(spark, path)
+    if not files.exists(at) or versions(spark, path):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(at) if s.isDirectory()]
+    return sorted(f"{path}/{n}" for n in names if n.startswith(f"{KEY_PREFIX}="))
+
+
 def _placed(keyed: DataFrame, record_id: str) -> DataFrame:
     order = (KEY_PREFIX, "user_key", record_id)
     return keyed.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -130,6 +139,9 @@ def append_records(
     keyed = kept.withColumn("user_key", user_key(named(owner))).withColumn(KEY_PREFIX, key_prefix(F.col("user_key")))
     fresh = keyed.dropDuplicates(["user_key", record_id])
     version = current(spark, path)
+    if version is None and unversioned(spark, path):
+        # taken as version 0 first; as lines or columns, whatever they hold
+        version = _replace(spark, path, record_id, _rows(spark, path, record_id, fmt), fmt)
     if version is not None:
         there = spark.read.format(fmt).schema(f"user_key string, {record_id} string, {KEY_PREFIX} string").load(version)
         fresh = fresh.join(there, [KEY_PREFIX, "user_key", record_id], "left_anti")
@@ -144,7 +156,21 @@ def _load(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | No
         if schema is None:
             raise ValueError("a JSON store needs its record schema")
         reader = reader.schema(schema).option("mode", "DROPMALFORMED")
-    return reader.load(current(spark, path) or path)
+    version = current(spark, path)
+    old = unversioned(spark, path) if version is None else []
+    return reader.option("basePath", path).load(old) if old else reader.load(version or path)
+
+
+def _rows(spark: SparkSession, path: str, record_id: str, fmt: str) -> DataFrame:
+    """Rows to be written again: columns, or for JSON whole lines with the keys read from them, so that
+    unread fields and lines that do not parse are kept."""
+    if fmt != "json":
+        return _load(spark, path, fmt)
+    version = current(spark, path)
+    reader = spark.read.format("text").schema(f"value string, {KEY_PREFIX} string")
+    lines = reader.load(version) if version else reader.option("basePath", path).load(unversioned(spark, path))
+    keys = [F.get_json_object("value", f"$.{n}").alias(n) for n in ("user_key", record_id)]
+    return lines.select("value", KEY_PREFIX, *keys)
 
 
 def list_records(
@@ -169,24 +195,28 @@ def list_records(
 def _replace(spark: SparkSession, path: str, record_id: str, rows: DataFrame, fmt: str) -> str:
     """Write rows as the next version and remove the older ones once it is whole."""
     older = versions(spark, path)
-    target = f"{path}/version-{older[-1] + 1}"
-    _placed(rows, record_id).write.mode("overwrite").partitionBy(KEY_PREFIX).format(fmt).save(target)
-    for number in older:
-        files, at = _folder(spark, f"{path}/version-{number}")
+    gone = [f"{path}/version-{n}" for n in older] or unversioned(spark, path)
+    target = f"{path}/version-{older[-1] + 1 if older else 0}"
+    placed = _placed(rows, record_id)
+    if fmt == "json":
+        placed, fmt = placed.select("value", KEY_PREFIX), "text"
+    placed.write.mode("overwrite").partitionBy(KEY_PREFIX).format(fmt).save(target)
+    for folder in gone:
+        files, at = _folder(spark, folder)
         files.delete(at, True)
     return target
 
 
 def compact(spark: SparkSession, path: str, record_id: str, fmt: str = "parquet", schema: str | None = None) -> str:
     """Rewrite a store with files bounded by size instead of by the number of appends."""
-    return _replace(spark, path, record_id, _load(spark, path, fmt, schema), fmt)
+    return _replace(spark, path, record_id, _rows(spark, path, record_id, fmt), fmt)
 
 
 def purge_store(
     spark: SparkSession, path: str, record_id: str, requests: DataFrame, fmt: str = "parquet", schema: str | None = None
 ) -> str:
     """Erase the users (email) who asked for it: the next version lacks them, and the older ones are removed."""
-    return _replace(spark, path, record_id, purge_users(_load(spark, path, fmt, schema), requests), fmt)
+    return _replace(spark, path, record_id, purge_users(_rows(spark, path, record_id, fmt), requests), fmt)
 
 
 def purge_users(records: DataFrame, requests: DataFrame) -> DataFrame:

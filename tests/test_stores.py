@@ -137,3 +137,34 @@ def test_shared_folder_uses_the_configured_one(spark):
     base = spark.conf.get("spark.checkpoint.dir")
     one, two = shared_folder(spark, "x"), shared_folder(spark, "x")
     assert one.startswith(base) and one != two
+
+
+def test_rewriting_json_keeps_what_the_schema_does_not_read(spark, folder):
+    frame = reports_frame(spark, [("a@x.com", "1", "t", ""), ("b@x.com", "2", "t", "")])
+    stores.append_records(stores.report_records(frame, at()), folder, "report_id", fmt="json")
+    part = os.path.join(stores.current(spark, folder), "key_prefix=k0")
+    os.makedirs(part, exist_ok=True)
+    extra = ['{"broken', json.dumps({"user_key": "0", "report_id": "zz", "more": 7})]
+    with open(os.path.join(part, "extra.json"), "w") as f:
+        f.write("\n".join(extra) + "\n")
+    stores.purge_store(spark, folder, "report_id", spark.createDataFrame([("a@x.com",)], "email string"), "json", "email string")
+    lines = [r.value for r in spark.read.text(stores.current(spark, folder)).collect()]
+    assert set(extra) <= set(lines) and len(lines) == 3 and sum("b@x.com" in x for x in lines) == 1
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "json"])
+def test_store_from_before_versions(spark, folder, fmt):
+    first, second = (stores.report_records(reports_frame(spark, [(f"{u}@x.com", u, "t", "")]), at()) for u in "ab")
+    schema = "email string, report_id string, file_name string, created_at string, user_key string, key_prefix string"
+    for name, step in (("one", "append"), ("two", "purge")):
+        made = stores.append_records(first, f"{folder}/{name}-made", "report_id", fmt=fmt)
+        old = f"{folder}/{name}"
+        os.makedirs(folder, exist_ok=True)
+        os.rename(f"{made}/version-0", old)
+        if step == "append":
+            stores.append_records(second, old, "report_id", fmt=fmt)
+            assert sorted(r.file_name for r in stores.list_records(spark, old, "report_id", fmt=fmt, schema=schema).collect()) == ["a", "b"]
+        else:
+            stores.purge_store(spark, old, "report_id", spark.createDataFrame([("b@x.com",)], "email string"), fmt, schema)
+            assert [r.file_name for r in stores.list_records(spark, old, "report_id", fmt=fmt, schema=schema).collect()] == ["a"]
+            assert stores.versions(spark, old) == [0]
