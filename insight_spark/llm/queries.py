@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from insight_spark.llm import chat, credentials, decontamination, jaccard, lines, neighbours, packing, substrings, tokencounts, toxicity
+from insight_spark.llm import chat, credentials, decontamination, jaccard, lines, neighbours, packing, repair, substrings, tokencounts, toxicity
 from insight_spark.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,3 +129,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = {"word_bpe_49k": "word_bpe_49k.json", "byte_bpe_50k": "byte_bpe_50k.tiktoken"}
     paths = {name: public_tokenizers.path(file) for name, file in versions.items()}
     return tokencounts.corpus_rollup(table(spark, sf_dir, "documents"), paths)
+
+
+@query("op12_conversation_structure_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.repair_report(repair.damaged(rows), rows.select("conv_id"))
