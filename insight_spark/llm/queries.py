@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from insight_spark.llm import chat, credentials, decontamination, jaccard, lines, neighbours, packing, repair, substrings, tokencounts, toxicity, trie
+from insight_spark.llm import chat, credentials, decontamination, jaccard, lines, neardup, neighbours, packing, repair, substrings, tokencounts, toxicity, trie
 from insight_spark.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,3 +142,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharing = F.crc32(F.col("conv_id").cast("string")) % 6
     base = F.col("conv_id") - F.col("conv_id") % 100
     return trie.prefix_trie(table(spark, sf_dir, "conversations"), sharing, base)
+
+
+@query("op11_embedding_near_dedup")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95)
