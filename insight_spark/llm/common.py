@@ -32,6 +32,24 @@ def texts(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns, body)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until no column of df has them in any case."""
+    used = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not among ids (one column); rows without doc_id stay."""
+    (name,) = fresh(docs, "gone")
+    return docs.join(ids.toDF(name).distinct(), F.col("doc_id") == F.col(name), "left_anti")
+
+
 def components(edges: DataFrame, limit: int = 40) -> DataFrame:
     """Connected components of an edge list (a long, b long): one row per vertex (v, c), c its smallest vertex.
 

@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from insight_spark.llm.common import prepare, stored, texts
+from insight_spark.llm.common import fresh, prepare, stored, texts
 from insight_spark.llm.tokens import word_ids
+from insight_spark.operators.ordered import consecutive
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -103,20 +104,23 @@ def pack(items: DataFrame, capacity: int = 4096, per_partition: int = 20_000, ro
     """Place items (column length, 1 to capacity) into sequences of at most capacity.
 
     Returns the input's columns with sequence_id, offset, n_bound (the bound of the last partition
-    the item was packed in) and n_used (its bins). Items are dealt evenly, equal rows too, to partitions of
-    a bounded size; give a table that was written, so that a lost task deals the same again. A partition whose bins equal its bound keeps them all but the emptiest; one with a
+    the item was packed in) and n_used (its bins). Items are numbered and dealt in turn, equal rows too, to
+    partitions of at most per_partition items, whose sizes differ by one at most. A partition whose bins equal its bound keeps them all but the emptiest; one with a
     gap gives up every bin that is not full. What is given up is dealt anew and packed again, until
-    one partition holds it or the rounds are over. Input columns sequence_id and offset are replaced.
+    one partition holds it or the rounds are over. Input columns sequence_id and offset are replaced; others pass through.
     Null lengths are refused by Spark's cast in the task. An empty input gives an empty result.
     """
-    items = items.drop("sequence_id", "offset", "n_bound", "n_used", "__deal", "__open")
+    items = items.drop("sequence_id", "offset", "n_bound", "n_used")
     names = items.columns
-    added = "sequence_id long, offset long, n_bound long, n_used long, __open boolean"
+    deal_name, open_name, row_name = fresh(items, "deal", "open", "row")
+    added = f"sequence_id long, offset long, n_bound long, n_used long, {open_name} boolean"
     schema = StructType([*items.schema.fields, *StructType.fromDDL(added).fields])
 
-    def packer(turn: int, last: bool):
+    def packer(first_number: int, last: bool):
         def run(rows: pd.DataFrame) -> pd.DataFrame:
-            deal = int(rows["__deal"].iloc[0])
+            deal = int(rows[deal_name].iloc[0])
+            if len(rows) > per_partition:
+                raise ValueError(f"{len(rows)} items were dealt to a partition of {per_partition}")
             lengths = rows["length"].to_numpy(np.int64)
             bins, offsets, filled = best_fit(lengths, capacity)
             bound = lower_bound(lengths, capacity)
@@ -126,26 +130,25 @@ def pack(items: DataFrame, capacity: int = 4096, per_partition: int = 20_000, ro
                     is_open = filled < capacity
                 else:
                     is_open[np.argmin(filled)] = filled.min() < capacity
-            # a number of its own for every round, partition and bin
-            first = ((turn << 40) + deal) * (per_partition * 2)
-            return rows.drop(columns="__deal").assign(
-                sequence_id=first + bins, offset=offsets, n_bound=bound, n_used=len(filled), __open=is_open[bins]
-            )
+            # a number of its own for every round, partition and bin; a partition has no more bins than items
+            found = {"sequence_id": first_number + deal * per_partition + bins, "offset": offsets, "n_bound": bound, "n_used": len(filled), open_name: is_open[bins]}
+            return rows.drop(columns=deal_name).assign(**found)
 
         return run
 
-    done, left = None, items
+    done, left, first_number = None, items, 0
     for turn in range(rounds):
-        n = left.count()
-        parts = max(1, -(-n // per_partition))
+        left = stored(left.withColumn(row_name, F.monotonically_increasing_id()))
+        parts = max(1, -(-left.count() // per_partition))
         last = parts == 1 or turn == rounds - 1
-        dealt = left.withColumn("__deal", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("long"))
-        packed = stored(dealt.groupBy("__deal").applyInPandas(packer(turn, last), schema))
-        kept = packed.where("NOT __open").drop("__open")
+        dealt = consecutive(left, row_name).withColumn(deal_name, F.col(row_name) % parts).drop(row_name)
+        packed = stored(dealt.groupBy(deal_name).applyInPandas(packer(first_number, last), schema))
+        first_number += parts * per_partition
+        kept = packed.where(~F.col(open_name)).drop(open_name)
         done = kept if done is None else done.unionByName(kept)
         if last:
             break
-        left = packed.where("__open").select(*names)
+        left = packed.where(open_name).select(*names)
     return done
 
 
@@ -155,4 +158,4 @@ def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096) -> D
     A document of null or empty text takes one token, copies and repeated rows are packed each;
     an empty table gives no sequence; other columns are ignored.
     """
-    return pack(stored(pieces(docs, tokenizer, capacity)), capacity)
+    return pack(pieces(docs, tokenizer, capacity), capacity)

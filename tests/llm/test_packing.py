@@ -70,3 +70,18 @@ def test_edge_cases(spark):
     assert got == sorted([(1, 0, 0, 1), (2, 0, 0, 1), (2, 0, 0, 1), (None, 0, 0, 3), (3, 0, 0, 4096), (3, 1, 4096, 4096), (3, 2, 8192, 809)], key=str)
     assert check(out, 4096, [x[3] for x in got]) == 3
     assert packing.packed_documents(spark.createDataFrame([], schema), PATH).count() == 0
+
+
+def test_rows_spread_over_many_partitions(spark):
+    """One row or two in each partition: deals are even, and no sequence holds more than fits."""
+    for n, partitions, each in ((160, 80, 20), (422, 211, 50)):
+        items = spark.range(0, n, 1, partitions).selectExpr("60L AS length", "id AS deal", "1 AS open", "2 AS row", "3 AS deal_")
+        out = packing.pack(items, 100, per_partition=each)
+        assert out.columns == ["length", "deal", "open", "row", "deal_", "sequence_id", "offset", "n_bound", "n_used"]
+        rows = out.collect()
+        assert sorted(r.deal for r in rows) == list(range(n)) and {(r.open, r.row, r.deal_) for r in rows} == {(1, 2, 3)}
+        assert check(rows, 100, [60] * n) == n
+        deals = {}
+        for r in packing.pack(items, 100, per_partition=each, rounds=1).collect():
+            deals[r.sequence_id // each] = deals.get(r.sequence_id // each, 0) + 1
+        assert len(deals) == -(-n // each) and max(deals.values()) - min(deals.values()) <= 1
