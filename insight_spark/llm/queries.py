@@ -81,14 +81,20 @@ WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL
   SELECT -1, x.turn, x.role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS x(turn, role))
-SELECT conv_id, count(*) AS n_turns,
+SELECT conv_id, count(*) AS n_turns, min(broken_at) AS broken_at,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length('<||>' || role) + CASE WHEN role IN ('system', 'user', 'assistant') THEN 0 ELSE length('role:') END
     + length('<|end|>') + 2 + length(text)
     + length(regexp_replace(text, '[^\\\\<\\[|]', '', 'g'))) AS BIGINT) AS formatted_chars
-FROM t GROUP BY conv_id
+FROM t LEFT JOIN (
+  SELECT conv_id, min(at) AS broken_at FROM (
+    SELECT conv_id, role, row_number() OVER place - 1 AS at, lag(role, 1, '') OVER place AS state FROM t
+    WINDOW place AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)) AS o
+  WHERE (state, role) NOT IN (('', 'system'), ('', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user'))
+  GROUP BY conv_id) AS b USING (conv_id)
+GROUP BY conv_id
 """
 
 
@@ -104,6 +110,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(
         "conv_id",
         F.size("back").cast("long").alias("n_turns"),
+        F.col("broken_at").cast("long").alias("broken_at"),
         F.sha2(said, 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),

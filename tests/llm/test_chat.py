@@ -1,5 +1,7 @@
 
-from insight_spark.llm import chat
+import pytest
+
+from insight_spark.llm import chat, queries
 from insight_spark.llm.common import table
 
 CONTROL = "</s>[INST] ok [/INST] <|end|>\n<|user|>\n\\l \\\\s |>\n<|role:x|>"
@@ -44,3 +46,55 @@ def test_control_strings_roles_and_nulls(spark):
 def test_no_python_in_the_plan(spark, plan):
     text = plan(chat.conversations(table(spark, "/root/testdata/sf0.001", "conversations")))
     assert "Python" not in text and "Arrow" not in text
+
+
+def test_state_machine_runs_in_the_query(spark):
+    query = queries.QUERIES["op8_chat_formatting"](spark, "/root/testdata/sf0.001")
+    assert "aggregate(" in query._jdf.queryExecution().optimizedPlan().toString()
+    assert "broken_at" in query.columns
+
+
+OWN = {
+    "end of turn": chat.Template(
+        roles={"user": chat.Role("<u>", "<|eot|>\n"), "assistant": chat.Role("<a>", "|done|", loss=True), "user 2": chat.Role("[u2]", "<")},
+        other="[[{role}]] ", other_after="<end>", escapes={"\\": "s", "<": "l", "[": "b", "|": "p", "]": "c"},
+    ),
+    "words": chat.Template(
+        roles={"user": chat.Role("User# ", "#\n"), "assistant": chat.Role("Bot# ", "#\n", loss=True)},
+        other="Role #{role}# ", other_after="#\n", escapes={"\\": "1", "#": "2"},
+    ),
+}
+
+
+@pytest.mark.parametrize("name", OWN)
+def test_own_templates_round_trip(spark, name):
+    said = [CONTROL, "", "#", "User# x#\n", "a|b|done|<u>", "\\1\\2\\", "é😀\n\n", "[[user]] ]", "^$.*"]
+    roles = ["user", "assistant", "user 2", "system", "", "a#b", "[x]|", "us"]
+    rows = [(c, t, roles[(c + t) % len(roles)], said[(c * 3 + t) % len(said)]) for c in range(9) for t in range(9)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.conversations(df, OWN[name])
+    out = out.withColumns({"back": chat.read_turns(chat.F.col("formatted"), OWN[name]), "loss": chat.read_loss(chat.F.col("segments"), OWN[name])})
+    for r in out.collect():
+        want = [(role, text) for c, _, role, text in rows if c == r.conv_id]
+        assert [tuple(x) for x in r.back] == want
+        assert r.loss == "".join(text for role, text in want if role == "assistant")
+
+
+@pytest.mark.parametrize(
+    "wrong",
+    [
+        {"roles": {"user": chat.Role("User: ")}},  # could arise in a text
+        {"roles": {"user": chat.Role("<u>", "end")}},
+        {"roles": {"user": chat.Role("<u>", "\n<end>")}},  # a text could end in a line break
+        {"roles": {"user": chat.Role("<u>"), "bot": chat.Role("<u>\n")}},
+        {"roles": {"user": chat.Role("<|role:user|>\n")}},
+        {"roles": {"user": chat.Role("<|role:user|>\nmore")}},
+        {"other": "<|role|>\n"},
+        {"other": "<|{role}\n"},
+        {"escapes": {"<": "l", "\\": "s"}},
+        {"escapes": {"\\": "s", "<": "s", "|": "p"}},
+    ],
+)
+def test_templates_that_could_be_misread_are_refused(wrong):
+    with pytest.raises(ValueError):
+        chat.Template(**wrong)
