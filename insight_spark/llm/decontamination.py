@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from insight_spark.llm.common import prepare, texts
+from insight_spark.llm.common import prepare, texts, without_ids
 from insight_spark.llm.words import LOWER, SPACE
 from insight_spark.session import stored
 
@@ -280,5 +280,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 10, min_chars: i
 def without_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 10, min_chars: int = 6) -> DataFrame:
     """The rows of docs that have no near copy of any item; rows of one doc_id go or stay together, and
     rows without doc_id stay."""
-    found = leaks(docs, benchmark, percent, min_chars).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("__leak"), "left_anti")
+    return without_ids(docs, leaks(docs, benchmark, percent, min_chars).select("doc_id"))

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from insight_spark.llm.common import components, prepare, texts
+from insight_spark.llm.common import components, prepare, texts, without_ids
 from insight_spark.llm.words import BASE, Words, mix
 from insight_spark.session import stored
 
@@ -480,5 +480,4 @@ def without_near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataF
     that repeat a kept doc_id.
     """
     found = jaccard_components(docs, n, percent)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return without_ids(docs, found.where("doc_id <> component_id").select("doc_id"))

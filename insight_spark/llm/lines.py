@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from insight_spark.llm.common import prepare
+from insight_spark.llm.common import fresh, prepare
 from insight_spark.session import stored
 
 # Sketch estimates off by more than this do not occur in practice: about nine standard errors at 2**12 registers.
@@ -62,24 +62,23 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, min_chars: int = 1)
     """
     prepare(docs.sparkSession)
     docs = docs.drop("n_lines", "n_removed")
+    own, taken, left = fresh(docs, "doc", "taken", "left")
     common = boilerplate(docs, min_sites, min_chars)
     places = (
-        docs.select(F.col("doc_id").cast("long").alias("__doc"), F.posexplode(lines_of(F.col("text").cast("string"))).alias("__at", "line"))
-        .select("__doc", line_key(F.col("line")).alias("key"))
+        docs.select(F.col("doc_id").cast("long").alias("doc"), F.explode(lines_of(F.col("text").cast("string"))).alias("line"))
+        .select("doc", line_key(F.col("line")).alias("key"))
         .join(common, "key")
-        .where("__doc IS NULL OR __doc > first")
-        .groupBy("__doc")
-        .agg(F.collect_set("key").alias("__gone"))
+        .where("doc IS NULL OR doc > first")
+        .groupBy(F.col("doc").alias(own))
+        .agg(F.collect_set("key").alias(taken))
     )
     lines = lines_of(F.col("text"))
-    gone = F.coalesce("__gone", F.array().cast("array<string>"))
+    gone = F.coalesce(taken, F.array().cast("array<string>"))
     kept = F.filter(lines, lambda x: ~F.array_contains(gone, line_key(x)))
-    both = docs.withColumn("text", F.col("text").cast("string")).join(places, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left")
-    touched = F.col("__gone").isNotNull()
-    out = both.withColumns(
-        {"n_lines": F.coalesce(F.size(lines), F.lit(0)), "__kept": F.when(touched, kept)}
-    )
-    out = out.withColumns({"n_removed": F.when(touched, F.col("n_lines") - F.size("__kept")).otherwise(0), "text": F.when(touched, F.array_join("__kept", "\n")).otherwise(F.col("text"))})
+    both = docs.withColumn("text", F.col("text").cast("string")).join(places, F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left")
+    touched = F.col(taken).isNotNull()
+    out = both.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)), left: F.when(touched, kept)})
+    out = out.withColumns({"n_removed": F.when(touched, F.col("n_lines") - F.size(left)).otherwise(0), "text": F.when(touched, F.array_join(left, "\n")).otherwise(F.col("text"))})
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(touched, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns, F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"))
