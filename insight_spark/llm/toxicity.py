@@ -8,33 +8,34 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from insight_spark.llm.common import prepare, texts
-from insight_spark.llm.words import LOWER, SPACE
+from insight_spark.llm.common import prepare, texts, without_ids
 from insight_spark.session import stored
 
 LENGTHS = (4, 5, 6, 7)
 BITS = 20
-TASKS = 8
+TASK_ROWS = 1500
 PART = 256 << 10
 FEW = 16
+SPREAD = np.uint64(0xD6E8FEB86659FD93)
 FACTORS = {n: np.uint64(0x9E3779B97F4A7C15 * (2 * n + 1) & (1 << 64) - 1 | 1) for n in LENGTHS}
 
 
 def runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each n: the feature of every run of n bytes of the joined texts, which of them lie in one text,
-    and where each text begins. A-Z are lowered, white space is a space, every text has a space on both
-    sides, and a line break parts it from the next."""
-    joined = b" " + b" \n ".join(texts) + b" "
-    raw = np.frombuffer(joined, np.uint8)
-    codes = LOWER[np.where(SPACE[raw] & (raw != 10), np.uint8(32), raw)]
-    begins = np.cumsum([0, *(len(t) + 3 for t in texts)])
+    """For each n: the feature of every run of n characters (code points) of the joined texts, which of them
+    lie in one line, and where each text begins. A-Z are lowered, other white space than line breaks is a
+    space, every text has a space on both sides, and a line break parts it from the next."""
+    said = [t.decode("utf-8", "replace") for t in texts]
+    codes = np.frombuffer((" " + " \n ".join(said) + " ").encode("utf-32-le"), "<u4").copy()
+    codes[(codes >= 65) & (codes <= 90)] += 32
+    codes[(codes == 9) | ((codes >= 11) & (codes <= 13))] = 32
+    begins = np.cumsum([0, *(len(t) + 3 for t in said)])
     parts = np.flatnonzero(codes == 10)
     for n in LENGTHS:
-        size = max(0, len(raw) - n + 1)
+        size = max(0, len(codes) - n + 1)
         value = np.zeros(size, np.uint64)
         for k in range(n):
-            value <<= np.uint64(8)
-            value |= codes[k : k + size]
+            value *= SPREAD
+            value += codes[k : k + size]
         value *= FACTORS[n]
         value >>= np.uint64(64 - BITS)
         inside = np.ones(size, bool)
@@ -110,21 +111,24 @@ def descend(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.nda
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_features: int = 3_000, l2: float = 2e-3) -> Model | None:
-    """Fit on the labelled documents: at most most_rows of them, those whose doc_id hashes lowest.
+    """Fit on labelled documents of docs: at most most_rows labels, those whose doc_id hashes lowest.
 
     Log-count ratios come from how many toxic and other training texts contain each n-gram (one added
     to both); the most_features n-grams whose shares differ most clearly, by their z-value, are kept,
-    and each is a feature of the size of its ratio. A null label or doc_id does not train. None, if
-    the labels do not have both classes.
+    and each is a feature of the size of its ratio. A null label or doc_id does not train, nor does a label
+    without document; a doc_id that repeats trains once for each of its labels, with the least of its texts.
+    None, if the labels do not have both classes.
     """
     spark = prepare(docs.sparkSession)
     chosen = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")
     )
-    chosen = stored(chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(most_rows))
+    there = chosen.withColumn("toxic", (F.col("toxic") != 0).cast("int")).distinct().join(texts(docs).select("doc_id"), "doc_id", "left_semi")
+    chosen = stored(there.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(most_rows))
     # at most most_rows short rows are broadcast
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id")
-    sample = stored(rows.select((F.col("toxic") != 0).cast("int").alias("toxic"), "text")).coalesce(TASKS)
+    rows = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = stored(rows.select("toxic", "text"))
+    sample = sample.coalesce(-(-max(1, sample.count()) // TASK_ROWS))
     classes = sample.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     n1, n0 = classes[0] or 0, classes[1] or 0
     if not n1 or not n0:
@@ -194,5 +198,4 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs whose text is not predicted toxic, with all their columns. Rows of one doc_id go if
     any of their texts does; rows without doc_id are kept."""
-    bad = toxicity(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("__bad"), "left_anti")
+    return without_ids(docs, toxicity(docs, labels).where("predicted = 1").select("doc_id"))
