@@ -1,0 +1,210 @@
+"""As-of and interval joins, windows over series, resampling: against DuckDB on frames with nulls, ties and borders."""
+
+import random
+from datetime import datetime, timedelta
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from insight_spark.operators.asof import asof_join
+from insight_spark.operators.intervals import interval_join
+from insight_spark.operators.ordered import numbered
+from insight_spark.operators.resample import resample
+from insight_spark.operators.series import range_frames, row_frames, running_totals, shifted
+
+
+@pytest.fixture
+def split(spark):
+    """Small partitions stay apart, so that groups and frames go over their borders."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    yield spark
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def asked(sql, **frames):
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for name, (ddl, rows) in frames.items():
+        con.execute(f"CREATE TABLE {name} ({ddl})")
+        if rows:
+            con.executemany(f"INSERT INTO {name} VALUES ({', '.join('?' * len(rows[0]))})", rows)
+    return tidy(con.execute(sql).fetchall())
+
+
+def tidy(rows):
+    return sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows), key=repr)
+
+
+def spark_frame(spark, ddl, rows, parts=5):
+    names = ddl.replace("BIGINT", "long").replace("VARCHAR", "string").replace("TIMESTAMP", "timestamp_ntz")
+    return spark.createDataFrame(rows, names).repartition(parts)
+
+
+def random_rows(seed, n, keys, times):
+    rng = random.Random(seed)
+    return [(k, rng.choice(keys), rng.choice([None, *range(times)]) if times else None) for k in range(n)]
+
+
+SIDE = "id BIGINT, k BIGINT, t BIGINT"
+KEYS = [1, 1, 1, 1, 1, 1, 2, 3, 4, None]  # most rows have one key
+
+
+@pytest.mark.parametrize("direction", ["backward", "forward", "nearest"])
+@pytest.mark.parametrize("tolerance", [None, 5])
+def test_asof_join(split, direction, tolerance):
+    left, right = random_rows(1, 150, KEYS, 300), random_rows(2, 60, KEYS, 300)
+    near = {
+        "backward": "r.t <= l.t ORDER BY r.t DESC, r.id DESC",
+        "forward": "r.t >= l.t ORDER BY r.t, r.id",
+        "nearest": "true ORDER BY abs(r.t - l.t), r.t, CASE WHEN r.t <= l.t THEN -r.id ELSE r.id END",
+    }[direction]
+    rule, order = near.split(" ORDER BY ")
+    within = f"AND abs(r.t - l.t) <= {tolerance}" if tolerance is not None else ""
+    sql = f"""SELECT l.id, l.k, l.t, (SELECT r.id FROM r WHERE r.k = l.k AND r.t IS NOT NULL AND l.t IS NOT NULL AND {rule} {within}
+      ORDER BY {order} LIMIT 1) AS other FROM l"""
+    want = asked(sql, l=(SIDE, left), r=(SIDE, right))
+    frames = [spark_frame(split, SIDE, rows) for rows in (left, right)]
+    got = asof_join(*frames, "t", by=["k"], direction=direction, tolerance=tolerance, ties=["id"])
+    assert got.columns == ["id", "k", "t", "id_right", "t_right"]
+    assert tidy(got.select("id", "k", "t", "id_right").collect()) == want
+    inner = asof_join(*frames, "t", by=["k"], direction=direction, tolerance=tolerance, ties=["id"], how="inner")
+    assert tidy(inner.select("id", "k", "t", "id_right").collect()) == [w for w in want if w[3] is not None]
+
+
+def test_asof_join_without_keys_of_times_and_empty_sides(split, plan):
+    day = datetime(2024, 1, 1)
+    left = [(k, day + timedelta(hours=k % 90)) for k in range(200)]
+    right = [(k, day + timedelta(hours=13 * k)) for k in range(5)]
+    frames = [split.createDataFrame(rows, "id long, t timestamp_ntz").repartition(4) for rows in (left, right)]
+    got = asof_join(*frames, "t", tolerance=timedelta(hours=6))
+    want = {i: max((k for k, u in right if timedelta(0) <= t - u <= timedelta(hours=6)), default=None) for i, t in left}
+    assert {r.id: r.id_right for r in got.collect()} == want
+    assert "SinglePartition" not in plan(got)
+    assert {r.id_right for r in asof_join(frames[0], frames[1].limit(0), "t").collect()} == {None}
+    assert asof_join(frames[0].limit(0), frames[1], "t").count() == 0
+    with pytest.raises(TypeError):
+        asof_join(frames[0].withColumn("t", F.lit("x")), frames[1], "t")
+
+
+SPAN = "id BIGINT, k BIGINT, a DOUBLE, b DOUBLE"
+
+
+def spans(seed, n):
+    rng = random.Random(seed)
+    out = []
+    for k in range(n):
+        a = rng.choice([rng.uniform(-50, 50), float(rng.randrange(-20, 20)), None])
+        length = rng.choice([0, 0, 0.001, 1, 3, 40, 10_000, -1, None])
+        out.append((k, rng.choice(KEYS), a, None if a is None or length is None else a + length))
+    return out
+
+
+@pytest.mark.parametrize("closed", [True, False])
+@pytest.mark.parametrize("by", [[], ["k"]])
+def test_interval_join(spark, plan, closed, by):
+    left, right = spans(3, 120), spans(4, 90)
+    sign = "<=" if closed else "<"
+    rule = f"l.a <= l.b AND r.a <= r.b AND l.a {sign} r.b AND r.a {sign} l.b" + (" AND l.k = r.k" if by else "")
+    frames = [spark_frame(spark, SPAN, rows) for rows in (left, right)]
+    join = lambda how: interval_join(*frames, ("a", "b"), ("a", "b"), by, how, closed)
+    ask = lambda sql: asked(sql, l=(SPAN, left), r=(SPAN, right))
+    assert tidy(join("inner").select("id", "id_right").collect()) == ask(f"SELECT l.id, r.id FROM l JOIN r ON {rule}")
+    assert tidy(join("left").select("id", "id_right").collect()) == ask(f"SELECT l.id, r.id FROM l LEFT JOIN r ON {rule}")
+    assert tidy(join("semi").select("id").collect()) == ask(f"SELECT id FROM l WHERE EXISTS (SELECT 1 FROM r WHERE {rule})")
+    assert tidy(join("anti").select("id").collect()) == ask(f"SELECT id FROM l WHERE NOT EXISTS (SELECT 1 FROM r WHERE {rule})")
+    for how in ("inner", "left", "semi"):
+        assert "NestedLoop" not in plan(join(how)) and "Cartesian" not in plan(join(how))
+
+
+def test_interval_join_of_large_numbers_and_empty_frames(spark):
+    big = 1 << 62
+    left = spark.createDataFrame([(1, big, big + 1), (2, -big, -big), (3, 0, big)], "id long, a long, b long")
+    right = spark.createDataFrame([(1, big + 1, big + 5), (2, big + 2, big + 3), (3, -big, -big)], "id long, a long, b long")
+    got = interval_join(left, right, ("a", "b"), ("a", "b")).select("id", "id_right")
+    assert tidy(got.collect()) == [(1, 1), (2, 3)]
+    none = right.limit(0)
+    assert interval_join(left, none, ("a", "b"), ("a", "b")).count() == 0
+    assert interval_join(left, none, ("a", "b"), ("a", "b"), how="left").count() == 3
+    assert interval_join(none, none, ("a", "b"), ("a", "b"), how="left").columns == ["id", "a", "b", "id_right", "a_right", "b_right"]
+    assert interval_join(none, none, ("a", "b"), ("a", "b"), how="anti").count() == 0
+
+
+SERIES = "id BIGINT, k BIGINT, t BIGINT, v DOUBLE"
+
+
+def series(seed, n):
+    rng = random.Random(seed)
+    return [(k, rng.choice(KEYS), rng.choice([None, *range(60)]), rng.choice([None, rng.uniform(-9, 9), 1.0])) for k in range(n)]
+
+
+@pytest.mark.parametrize("by", ["", "k"])
+def test_row_frames_and_shifts(split, plan, by):
+    rows = series(5, 300)
+    df, part = spark_frame(split, SERIES, rows), f"PARTITION BY {by}" if by else ""
+    keys = [by] if by else []
+    want = asked(
+        f"""SELECT id, sum(v) OVER w, min(v) OVER w, count(*) OVER w FROM s
+        WINDOW w AS ({part} ORDER BY t NULLS FIRST, id ROWS BETWEEN 7 PRECEDING AND 2 FOLLOWING)""",
+        s=(SERIES, rows),
+    )
+    measures = {"s": F.sum("v"), "v": F.min("v"), "n": F.count("*")}
+    for block in (1, 10, 1000):
+        got = row_frames(df, ["t", "id"], measures, 7, 2, keys, block)
+        assert got.columns == ["id", "k", "t", "s", "v", "n"]
+        assert tidy(got.select("id", "s", "v", "n").collect()) == want
+    assert "SinglePartition" not in plan(got)
+    want = asked(f"SELECT id, lag(v, 3) OVER w, lead(id) OVER w FROM s WINDOW w AS ({part} ORDER BY t NULLS FIRST, id)", s=(SERIES, rows))
+    got = shifted(df, ["t", "id"], {"old": ("v", 3), "next": ("id", -1)}, keys, block=8)
+    assert tidy(got.select("id", "old", "next").collect()) == want
+    assert row_frames(df.limit(0), ["t"], measures, 1).count() == 0
+
+
+@pytest.mark.parametrize("by", ["", "k"])
+def test_range_frames_and_running_totals(split, plan, by):
+    rows = series(6, 250)
+    df, part = spark_frame(split, SERIES, rows), f"PARTITION BY {by}" if by else ""
+    keys = [by] if by else []
+    want = asked(
+        f"SELECT id, sum(v) OVER w, count(*) OVER w FROM s WINDOW w AS ({part} ORDER BY t NULLS FIRST RANGE BETWEEN 5 PRECEDING AND 2 FOLLOWING)",
+        s=(SERIES, rows),
+    )
+    got = range_frames(df, "t", {"s": "v"}, 5, 2, keys, count="n")
+    assert tidy(got.select("id", "s", "n").collect()) == want
+    want = asked(f"SELECT id, sum(v) OVER w, sum(id) OVER w FROM s WINDOW w AS ({part} ORDER BY t NULLS FIRST, id)", s=(SERIES, rows))
+    got = running_totals(df, ["t", "id"], {"s": "v", "n": F.col("id")}, keys)
+    assert tidy(got.select("id", "s", "n").collect()) == want
+    assert "SinglePartition" not in plan(got)
+    assert range_frames(df.limit(0), "t", {"s": "v"}, 1).count() == 0 and running_totals(df.limit(0), ["t"], {"s": "v"}).count() == 0
+
+
+def test_numbered_follows_the_order(split):
+    rows = [(k * 7919 % 1000,) for k in range(1000)]
+    got = numbered(split.createDataFrame(rows, "x long").repartition(9), ["x"]).collect()
+    assert sorted((r.at, r.x) for r in got) == [(k, k) for k in range(1000)]
+
+
+def test_resample_fills_and_widens(split):
+    day = datetime(2024, 1, 1)
+    rows = [("a", day + timedelta(days=d, hours=5), v) for d, v in ((0, 1.0), (0, 2.0), (3, 9.0), (4, None), (8, 1.0))]
+    rows += [(None, day, 4.0), ("b", None, 7.0), ("c", day + timedelta(days=2), 5.0)]
+    df = split.createDataFrame(rows, "g string, t timestamp_ntz, v double").repartition(3)
+    measures = {"total": F.sum("v"), "n": F.count("*"), "line": F.sum("v"), "plain": F.sum("v")}
+    fill = {"total": "last", "n": "zero", "line": "linear"}
+    got = resample(df, "t", measures, "day", ["g"], fill, block=2).collect()
+    series_a = [(r.t.day, r.total, r.n, r.line, r.plain) for r in sorted(got, key=lambda r: r.t) if r.g == "a"]
+    assert series_a == [
+        (1, 3.0, 2, 3.0, 3.0), (2, 3.0, 0, 5.0, None), (3, 3.0, 0, 7.0, None), (4, 9.0, 1, 9.0, 9.0), (5, None, 1, None, None),
+        (6, None, 0, None, None), (7, None, 0, None, None), (8, None, 0, None, None), (9, 1.0, 1, 1.0, 1.0),
+    ]
+    assert sorted((str(r.g), r.t.day) for r in got if r.g != "a") == [("None", 1), ("c", 3)]
+    wide = resample(df, "t", measures, "day", ["g"], fill, start=F.lit(day - timedelta(days=1)), end=F.lit(day + timedelta(days=4)))
+    c = sorted((r.t, r.total, r.n) for r in wide.collect() if r.g == "c")
+    assert len(c) == 6 and c[-1][1] == 5.0 and c[0][1] is None
+    months = resample(df, "t", {"n": F.count("*")}, "month", fill="zero").collect()
+    assert [tuple(r) for r in months] == [(day, 7)]
+    assert resample(df.limit(0), "t", measures).count() == 0
+    with pytest.raises(ValueError):
+        resample(df, "t", measures, "fortnight")
