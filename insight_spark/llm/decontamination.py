@@ -21,7 +21,6 @@ EXACT = 100  # bands of items that allow no edit: EXACT + the bytes compared
 EXACT_BYTES = 16
 STRETCH = 1 << 16
 FILTER_BITS = 1 << 28  # the filter that is broadcast has at most so many bits (32 MB)
-REGION = 256
 PAD = 256
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
@@ -30,7 +29,8 @@ KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 @dataclass(frozen=True)
 class Band:
     """Walks for items of at least `low` bytes: steps of a walk, how many of them a table samples, one start
-    in how many places, and how many windows of an item are used."""
+    in how many places, how many windows of an item are used, and how many bytes apart in the item two windows
+    must be met for a comparison (0: one is enough)."""
 
     number: int
     low: int
@@ -38,12 +38,13 @@ class Band:
     sampled: int
     every: int
     need: int
+    apart: int
 
 
 #: A walk covers about half as many bytes as it has steps: all of a short item, a stretch of a longer one,
 #: which has several windows. Walks over the whole of a long item at one edit in ten characters hardly ever
 #: agree at all sampled steps.
-BANDS = (Band(1, 1, 10, 5, 1, 12), Band(2, 24, 16, 7, 2, 10), Band(3, 64, 32, 12, 4, 12), Band(4, 128, 40, 12, 6, 14))
+BANDS = (Band(1, 1, 10, 5, 1, 12, 0), Band(2, 24, 16, 7, 1, 14, 6), Band(3, 64, 32, 12, 4, 14, 16))
 
 
 @lru_cache(maxsize=16)
@@ -86,8 +87,8 @@ def keys_of(text: np.ndarray, starts: np.ndarray, band: Band, tables: int):
         for table in range(walk, tables, WALKS):
             key = np.full(len(starts), band.number * 1000 + table, np.uint64)
             for step in samples(band)[table]:
-                key = (key ^ read[step]) * PRIME
-                key ^= key >> np.uint64(29)
+                key *= PRIME
+                key += read[step]
             yield table, mix(key).view(np.int64), at + 1
 
 
@@ -163,12 +164,18 @@ def tables_for(band: Band, percent: int, recall: float, trials: int = 120) -> in
             hit = np.full(tried + 1, 0)
             for own, starts, whole, there, rng in simulated(band, size, percent, trials):
                 theirs = {table: key for table, key, _ in keys_of(whole, there, band, tried)}
-                met_by = [tried]
+                places = [np.empty(0, np.int64)] * tried
                 for table, key, end in keys_of(own, starts, band, tried):
-                    kept = rng.permutation(key[end <= size])[: band.need]
-                    if np.isin(kept, theirs[table]).any():
-                        met_by.append(table)
-                hit[min(met_by)] += 1
+                    kept = rng.permutation(np.flatnonzero(end <= size))[: band.need]
+                    places[table] = starts[kept[np.isin(key[kept], theirs[table])]]
+                low, high, first = size, -1, tried
+                for table, at in enumerate(places):
+                    if len(at):
+                        low, high = min(low, at.min()), max(high, at.max())
+                    if high - low >= band.apart:
+                        first = table
+                        break
+                hit[first] += 1
             enough = np.flatnonzero(np.cumsum(hit)[:tried] >= wanted)
             if len(enough):
                 break
@@ -376,7 +383,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 10, min_chars: i
     that meets an edit may fall into step again behind it. A table's key are the bytes read at some of the
     steps. Walk length, sampled steps and starts follow from the item's length band, the number of tables from
     percent and recall by simulation (tables_for). Of an item's windows, those count whose keys the fewest
-    items share.
+    items share. Items of 24 bytes and more must be met by two windows some way apart, in the same region of
+    the document; phrases that texts share meet one.
 
     Documents are read once for all items: a filter of bounded size tells which of their keys may belong to
     an item, and only those are joined with the items' keys by Spark. Regions where keys meet are compared
@@ -402,9 +410,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 10, min_chars: i
     # rows are known by their id and text, so equal rows are searched once
     named = texts(docs).withColumn("row", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text")))))
     hits = stored(named.select("row", "text").mapInArrow(met(held, bands, tables), HITS))
-    keys = windows.select("key", "item", F.col("place").alias("offset"))
-    begins = hits.join(keys, "key").select("row", "item", (F.col("place") - F.col("offset")).alias("begin"))
-    regions = begins.groupBy("row", "item", F.expr(f"begin div {REGION}").alias("part")).agg(F.min("begin").alias("low"), F.max("begin").alias("high"))
+    apart = F.lit(0)
+    for band in BANDS:
+        apart = F.when(F.col("band") == band.number, band.apart).otherwise(apart)
+    keys = windows.join(items.select("item", "most"), "item").select("key", "item", F.col("place").alias("offset"), apart.alias("apart"), F.greatest(F.lit(16), 4 * F.col("most")).alias("reach"))
+    met_at = hits.join(keys, "key").select("row", "item", (F.col("place") - F.col("offset")).alias("begin"), "offset", "apart", "reach")
+    # a region is a run of hits whose items would begin within the reach of edits of each other
+    along = Window.partitionBy("row", "item").orderBy("begin")
+    new = F.when(F.col("begin") - F.lag("begin").over(along) <= F.col("reach"), 0).otherwise(1)
+    runs = met_at.withColumn("new", new).withColumn("part", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    regions = runs.groupBy("row", "item", "part").agg(
+        F.min("begin").alias("low"), F.max("begin").alias("high"), (F.max("offset") - F.min("offset")).alias("spread"), F.max("apart").alias("apart")
+    ).where("spread >= apart")
     regions = stored(regions.join(items, "item").select("row", F.lit(1).alias("kind"), "item", "body", "most", "low", "high", F.lit(None).cast("binary").alias("text")))
     candidates = named.join(regions.select("row").distinct(), "row", "left_semi").groupBy("row").agg(F.min("text").alias("text"))
     nothing = {"item": "binary", "body": "binary", "most": "long", "low": "long", "high": "long"}

@@ -185,7 +185,7 @@ def test_short_items_equal_brute_force(spark):
         assert sure <= set(got) and got.items() <= want.items() and len(got) >= 0.95 * len(want)
 
 
-BOUNDS = {"short": (10, 21), "medium": (24, 60), "long": (64, 120), "longer": (130, 400)}
+BOUNDS = {"short": (10, 24), "medium": (24, 64), "long": (64, 120), "longer": (130, 400)}
 
 
 @pytest.mark.parametrize("band", BOUNDS)
