@@ -7,10 +7,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from insight_spark.llm.common import prepare
+from insight_spark.operators.ordered import numbered
 from insight_spark.session import stored
 
-TABLES, PROBES, BUCKET = 10, 8, 400
-HELD = 4096
+TABLES, BUCKET, RECALL = 16, 32, 0.95
+SAMPLE = 128  # queries on which the number of probes is measured
+HELD = 4096  # vectors, and queries, that one block of a bucket holds
 
 
 class Rotations:
@@ -61,8 +63,13 @@ class Rotations:
         return bucket
 
 
-def hashed(buckets: int, tables: int, probes: int, kind: int):
-    """Vectors -> their buckets, one row for each table and probe; kind: 0 for queries, 1 for the index."""
+def units(x: np.ndarray) -> np.ndarray:
+    unit = x / np.abs(x).max(axis=1, keepdims=True)
+    return unit / np.linalg.norm(unit, axis=1, keepdims=True)
+
+
+def hashed(buckets: int, tables: int, probes: int):
+    """Vectors -> their buckets, one row for each table and probe."""
 
     def run(batches):
         rotations: dict[tuple[int, int], Rotations] = {}
@@ -72,31 +79,38 @@ def hashed(buckets: int, tables: int, probes: int, kind: int):
             sizes = np.diff(lists.offsets.to_numpy())
             for dim in np.unique(sizes).tolist():
                 rows = np.flatnonzero(sizes == dim)
-                x = np.stack(lists.take(pa.array(rows)).to_numpy(zero_copy_only=False)).astype(np.float64)
-                unit = x / np.abs(x).max(axis=1, keepdims=True)
-                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                body = [v.tobytes() for v in x.astype("<f8")]
+                unit = units(np.stack(lists.take(pa.array(rows)).to_numpy(zero_copy_only=False)).astype(np.float64))
                 for table in range(tables):
                     if (table, dim) not in rotations:
                         rotations[table, dim] = Rotations(table, dim, buckets)
                     found = rotations[table, dim].probes(unit, probes)
-                    for p in range(found.shape[1]):
-                        n = len(rows)
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(np.full(n, dim), pa.int32()),
-                                pa.array(np.full(n, table), pa.int32()),
-                                pa.array(found[:, p]),
-                                pa.array(np.full(n, kind), pa.int32()),
-                                pa.array(ids[rows]),
-                                pa.array(body, pa.binary()),
-                            ],
-                            names=["dim", "table", "bucket", "kind", "id", "vector"],
-                        )
+                    n, each = len(rows), found.shape[1]
+                    columns = [pa.array(np.full(n * each, v), pa.int32()) for v in (dim, table)]
+                    columns += [pa.array(found.ravel()), pa.array(np.repeat(ids[rows], each))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["dim", "tab", "bucket", "id"])
 
     return run
 
 
+def probes_for(queries: np.ndarray, nearest: list[np.ndarray], buckets: int, tables: int, recall: float) -> int:
+    """The least number of probes (doubling) with which the nearest vectors of sample queries share a bucket
+    with them in some table often enough; all buckets, if no number is enough."""
+    rotations = [Rotations(t, queries.shape[1], buckets) for t in range(tables)]
+    owner = np.repeat(np.arange(len(queries)), [len(x) for x in nearest])
+    if not len(owner):
+        return 1
+    homes = [r.probes(units(np.concatenate(nearest)), 1)[:, 0] for r in rotations]
+    most, probes = buckets + 1, 1
+    while probes < most:
+        hit = np.zeros(len(owner), bool)
+        for r, home in zip(rotations, homes, strict=True):
+            hit |= (r.probes(units(queries), probes)[owner] == home[:, None]).any(axis=1)
+        if hit.mean() >= recall:
+            return probes
+        probes *= 2
+    return most
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances by differences, as exact as double precision gives."""
     return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
@@ -142,11 +156,12 @@ def reranked(most: int):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["q", "id", "score"])
 
         for batch in batches:
-            for dim, table, bucket, kind, i, vector in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (dim, table, bucket) != key:
+            for block, kind, i, vector in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block != key:
                     if queries:
                         yield out()
-                    key, queries, held, seen = (dim, table, bucket), [], [], []
+                    key, queries, held, seen = block, [], [], []
+                vector = np.array(vector, "<f8").tobytes()
                 if kind == 0:
                     queries.append((i, vector))
                     seen.append([])
@@ -179,7 +194,57 @@ def scanned(most: int):
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+def sampled_probes(heads: DataFrame, classes: DataFrame, k: int, buckets: int, tables: int, recall: float) -> int:
+    """probes_for on at most SAMPLE queries, whose exact neighbours one scan finds."""
+    rows = heads.orderBy(F.xxhash64("q")).limit(SAMPLE).collect()
+    most = 1
+    for dim in {len(r.embedding) for r in rows}:
+        queries = np.array([r.embedding for r in rows if len(r.embedding) == dim], np.float64)
+        held = heads.sparkSession.sparkContext.broadcast(queries)
+
+        def run(batches, held=held, dim=dim):
+            top = [[] for _ in held.value]
+            for batch in batches:
+                lists = batch.column(0)
+                rows = np.flatnonzero(np.diff(lists.offsets.to_numpy()) == dim)
+                if not len(rows):
+                    continue
+                x = np.stack(lists.take(pa.array(rows)).to_numpy(zero_copy_only=False)).astype(np.float64)
+                for n, d in enumerate(near(held.value, x)):
+                    for j in np.argsort(d)[: k + 1].tolist():
+                        top[n].append((d[j], x[j].tolist()))
+                    top[n] = sorted(top[n], key=lambda t: t[0])[: k + 1]
+            flat = [(n, float(d), v) for n, found in enumerate(top) for d, v in found]
+            kinds = [pa.int32(), pa.float64(), pa.list_(pa.float64())]
+            columns = list(zip(*flat, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["n", "d", "v"])
+
+        found = classes.select("embedding").mapInArrow(run, "n int, d double, v array<double>")
+        best = Window.partitionBy("n").orderBy("d")
+        found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).collect()
+        # the query itself is no neighbour
+        nearest = [np.array([r.v for r in found if r.n == n and r.d > 1e-12], np.float64).reshape(-1, dim) for n in range(len(queries))]
+        most = max(most, probes_for(queries, nearest, buckets, tables, recall))
+    return most
+
+
+def placed(probe: DataFrame, index: DataFrame) -> DataFrame:
+    """block, kind (0: query, 1: vector), id: every bucket that a query probes, cut into blocks of at most about
+    HELD queries and HELD vectors, so that each of its queries meets each of its vectors in one block."""
+    key = ["dim", "tab", "bucket"]
+    asked = probe.groupBy(*key).agg(F.count("*").alias("n_queries"))
+    there = index.groupBy(*key).agg(F.count("*").alias("n_vectors"))
+    parts = asked.join(there, key).select(*key, *(F.ceil(F.col(n) / HELD).cast("int").alias(p) for n, p in (("n_queries", "qs"), ("n_vectors", "vs"))))
+    parts = stored(parts)
+    block = lambda q, v: F.xxhash64(*key, q, v)
+    turn = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    queries = probe.join(parts, key).withColumn("v", all_of("vs")).select(block(turn("qs"), F.col("v")).alias("block"), F.lit(0).alias("kind"), "id")
+    vectors = index.join(parts, key).withColumn("q", all_of("qs")).select(block(F.col("q"), turn("vs")).alias("block"), F.lit(1).alias("kind"), "id")
+    return queries.unionByName(vectors)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = TABLES, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest vectors found, by Euclidean distance, ties to
     the smaller vec_id; the query's own vec_id is no candidate.
 
@@ -188,9 +253,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = T
     as many components as the query are its candidates. Equal rows count once. Other columns are ignored.
 
     Equal vectors are one entry of the index with their k + 1 smallest ids, which is all a result can
-    show of them, and equal queries are searched once. Buckets hold about BUCKET vectors at every size;
-    the number of probes grows with the number of buckets. A query for which fewer than k are found is
-    compared with all vectors, in blocks.
+    show of them, and equal queries are searched once. Buckets hold about BUCKET vectors at every size. How
+    many buckets of a table a query probes follows from `recall`: it is measured on at most SAMPLE queries
+    against all vectors, so vectors with near neighbours need few probes, and vectors without structure many.
+    Probes and index are joined by bucket as ids; the vectors follow to the blocks where they are compared, and
+    only to those. Crowded buckets are cut into blocks. A query for which fewer than k are found is compared
+    with all vectors, in blocks.
     """
     spark = prepare(vectors.sparkSession)
     sound = "embedding IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> coalesce(NOT isnan(x) AND abs(x) < double('Infinity'), false)) AND exists(embedding, x -> x <> 0)"
@@ -200,28 +268,32 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = T
     first = Window.partitionBy("embedding").orderBy("vec_id")
     members = kept.distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
     classes = members.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    classes = stored(classes.select(F.col("ids")[0].alias("id"), "ids", "embedding"))
-    heads = stored(asked.groupBy("embedding").agg(F.min("query_id").alias("q")))
+    # numbers in order of the smallest id, so that ties between classes go by it
+    classes = stored(numbered(classes.withColumn("first", F.col("ids")[0]), ["first"], "id"))
+    heads = stored(asked.groupBy("embedding").agg(F.min("query_id").alias("query")).withColumn("q", F.monotonically_increasing_id()))
     n = classes.count()
     buckets = max(2, n // BUCKET)
-    # deeper probing as buckets get finer
-    depth = int(np.ceil(probes * max(1.0, buckets / 128) ** 0.6)) if buckets > probes else buckets + 1
-    schema = "dim int, table int, bucket long, kind int, id long, vector binary"
-    index = classes.select("id", "embedding").mapInArrow(hashed(buckets, tables, 1, 1), schema)
-    probe = heads.select("q", "embedding").mapInArrow(hashed(buckets, tables, depth, 0), schema)
-    dealt = probe.unionByName(index).repartition("dim", "table", "bucket").sortWithinPartitions("dim", "table", "bucket", "kind")
+    probes = sampled_probes(heads, classes, k, buckets, tables, recall)
+    schema = "dim int, tab int, bucket long, id long"
+    index = stored(classes.select("id", "embedding").mapInArrow(hashed(buckets, tables, 1), schema))
+    probe = stored(heads.select("q", "embedding").mapInArrow(hashed(buckets, tables, probes), schema))
+    meet = placed(probe, index)
+    own = heads.select(F.lit(0).alias("kind"), F.col("q").alias("id"), "embedding").unionByName(classes.select(F.lit(1).alias("kind"), "id", "embedding"))
+    dealt = meet.join(own, ["kind", "id"]).select("block", "kind", "id", "embedding").repartition("block").sortWithinPartitions("block", "kind")
     # an entry found in several tables has the same score in each
     found = stored(dealt.mapInArrow(reranked(k + 1), "q long, id long, score double").distinct())
     best = Window.partitionBy("q").orderBy("score", "id")
 
     def expanded(pairs: DataFrame) -> DataFrame:
-        top = pairs.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
-        rows = top.join(classes.select("id", "ids"), "id").select("q", "score", F.explode("ids").alias("id"))
+        """The nearest ids: classes by distance, then by their smallest id."""
+        named = pairs.join(classes.select("id", "ids"), "id")
+        rows = named.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("score", "id"))).where(F.col("n") <= k + 1)
+        rows = rows.select("q", "score", F.explode("ids").alias("id"))
         return rows.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
 
     hits = stored(expanded(found))
     few = heads.join(hits.groupBy("q").count().where(F.col("count") > k).select("q"), "q", "left_anti")
-    few = stored(few)
+    few = stored(few.select("q", "embedding"))
     if not few.isEmpty():
         blocks = classes.groupBy(F.pmod(F.xxhash64("id"), F.lit(1 + n // HELD)).alias("block")).agg(
             F.collect_list("id").alias("ids"), F.collect_list("embedding").alias("block_vectors")

@@ -64,3 +64,65 @@ def test_copies_ties_and_bad_vectors(spark):
     assert neighbours.nearest(
         spark.createDataFrame([], "vec_id long, embedding array<float>"), spark.createDataFrame([], "query_id long, embedding array<float>")
     ).count() == 0
+
+
+def clustered(rng, n, dim):
+    """Vectors in small groups: every vector has some near ones, as embeddings of texts have."""
+    centres = rng.standard_normal((n // 20, dim))
+    x = centres[rng.integers(0, len(centres), n)] + 0.45 * rng.standard_normal((n, dim))
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(float)
+
+
+def test_few_vectors_are_compared_at_a_large_size():
+    """200,000 vectors, the hashing alone: probes as measured on other queries, recall and share compared."""
+    rng = np.random.default_rng(7)
+    n, k = 200_000, 10
+    x = clustered(rng, n, 64)
+    buckets = n // neighbours.BUCKET
+    picked = rng.permutation(n)[:140]
+    near = x[picked] @ x.T
+    near[np.arange(140), picked] = -9
+    top = np.argpartition(-near, k, axis=1)[:, :k]
+    sample, asked = picked[:70], picked[70:]
+    probes = neighbours.probes_for(x[sample], [x[t] for t in top[:70]], buckets, neighbours.TABLES, neighbours.RECALL)
+    met = np.zeros((len(asked), n), bool)
+    for table in range(neighbours.TABLES):
+        r = neighbours.Rotations(table, 64, buckets)
+        home = np.concatenate([r.probes(x[a : a + 20_000], 1)[:, 0] for a in range(0, n, 20_000)])
+        for q, wanted in enumerate(r.probes(x[asked], probes)):
+            met[q] |= np.isin(home, wanted)
+    recall = np.take_along_axis(met, top[70:], 1).mean()
+    assert recall >= 0.9 and met.mean() < 0.03, (probes, recall, met.mean())
+
+
+def test_vectors_without_structure_get_more_probes():
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((4000, 32))
+    q = x[:60]
+    s = np.linalg.norm(q[:, None] - x[None], axis=2)
+    top = np.argsort(s, axis=1)[:, 1:11]
+    near = q + 0.05 * rng.standard_normal(q.shape)
+    few = neighbours.probes_for(q, [near[k : k + 1] for k in range(60)], 125, 8, 0.95)
+    many = neighbours.probes_for(q, [x[t] for t in top], 125, 8, 0.95)
+    assert few < many <= 126
+
+
+def test_crowded_buckets_are_cut(spark, monkeypatch):
+    """A third of all vectors nearly equal, and blocks of a few: every query still meets every vector there."""
+    monkeypatch.setattr(neighbours, "HELD", 16)
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal(12)
+    rows = [(i, (base + 1e-4 * rng.standard_normal(12)).tolist()) for i in range(0, 400, 1)] + [(i, rng.standard_normal(12).tolist()) for i in range(400, 1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = df.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
+    got = result(neighbours.nearest(df, queries))
+    want = brute(rows, [r for r in rows if r[0] % 10 == 0], 10)
+    hits = sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in want if q < 400)
+    assert hits >= 0.99 * 10 * 40
+    probe = df.where("vec_id % 10 = 0").selectExpr("4 AS dim", "1 AS tab", "7L AS bucket", "vec_id AS id")
+    blocks = neighbours.placed(probe, df.selectExpr("4 AS dim", "1 AS tab", "7L AS bucket", "vec_id AS id")).collect()
+    by = {}
+    for b in blocks:
+        by.setdefault(b.block, ([], []))[b.kind].append(b.id)
+    met = [(q, v) for qs, vs in by.values() for q in qs for v in vs]
+    assert len(met) == len(set(met)) == 120 * 1200 and max(max(map(len, x)) for x in by.values()) < 60
