@@ -44,7 +44,7 @@ class Band:
 #: A walk covers about half as many bytes as it has steps: all of a short item, a stretch of a longer one,
 #: which has several windows. Walks over the whole of a long item at one edit in ten characters hardly ever
 #: agree at all sampled steps.
-BANDS = (Band(1, 1, 10, 5, 1, 12, 0), Band(2, 24, 16, 7, 1, 14, 6), Band(3, 64, 32, 12, 4, 14, 16))
+BANDS = (Band(1, 1, 10, 5, 1, 12, 0), Band(2, 24, 16, 7, 1, 16, 6), Band(3, 64, 32, 12, 4, 24, 16))
 
 
 @lru_cache(maxsize=16)
@@ -107,7 +107,7 @@ def padded(text: bytes) -> np.ndarray:
 
 def item_windows(text: bytes, most: int, tables: dict[int, int]) -> list[tuple[int, int, int, int]]:
     """band, table, key, offset of the windows of a normalised item that allows so many edits. Walks that
-    leave the item are no windows. An item with too few windows in its band goes to a denser one."""
+    leave the item are no windows. An item with very few starts in its band goes to a denser one."""
     body = padded(text)
     if most == 0:
         size = min(len(text), EXACT_BYTES)
@@ -116,7 +116,7 @@ def item_windows(text: bytes, most: int, tables: dict[int, int]) -> list[tuple[i
         if len(text) < band.low:
             continue
         starts, rows = starts_of(body, len(text), band), []
-        if len(starts) < band.need and band.number > 1:
+        if 3 * len(starts) < band.need and band.number > 1:
             continue
         for table, key, end in keys_of(body, starts, band, tables[band.number]):
             inside = end <= len(text)
@@ -423,7 +423,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 10, min_chars: i
         F.min("begin").alias("low"), F.max("begin").alias("high"), (F.max("offset") - F.min("offset")).alias("spread"), F.max("apart").alias("apart")
     ).where("spread >= apart")
     regions = stored(regions.join(items, "item").select("row", F.lit(1).alias("kind"), "item", "body", "most", "low", "high", F.lit(None).cast("binary").alias("text")))
-    candidates = named.join(regions.select("row").distinct(), "row", "left_semi").groupBy("row").agg(F.min("text").alias("text"))
+    # one plan at every size: the rows with regions grow with the documents
+    candidates = named.join(regions.select("row").distinct().hint("merge"), "row", "left_semi").groupBy("row").agg(F.min("text").alias("text"))
     nothing = {"item": "binary", "body": "binary", "most": "long", "low": "long", "high": "long"}
     wanted = candidates.select("row", F.lit(0).alias("kind"), *(F.lit(None).cast(t).alias(c) for c, t in nothing.items()), "text")
     dealt = wanted.unionByName(regions).repartition("row").sortWithinPartitions("row", "kind", "item", "low")
