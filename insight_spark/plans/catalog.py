@@ -151,7 +151,7 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM embeddings""",
 )
 def image_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads the size from image headers; each vector supplies the header of a PNG file."""
+    """Writes a file with the header of a PNG for each vector, and reads their sizes back."""
 
     def field(value):
         return F.unhex(F.lpad(F.hex(value.cast("bigint")), 8, "0"))
@@ -159,8 +159,13 @@ def image_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.concat(
         F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), field(F.size("embedding")), field(F.col("label") + 1)
     )
-    images = table(spark, sf_dir, "embeddings").select("vec_id", files.header_dimensions(content).alias("d"))
-    return images.select("vec_id", "d.image_width", "d.image_height")
+    folder = shared_folder(spark, "image_metadata")
+    # the text sink writes the bytes as they are, one folder for each vector
+    headers = table(spark, sf_dir, "embeddings").select("vec_id", content.cast("string").alias("value"))
+    headers.write.partitionBy("vec_id").text(folder)
+    images = files.read_image_metadata(spark, folder, "*.txt")
+    number = F.regexp_extract("path", "vec_id=(-?[0-9]+)", 1).cast("bigint").alias("vec_id")
+    return images.select(number, "image_width", "image_height")
 
 
 SUFFIXES = ["csv", "XLSX", "xls", "txt", "docx", "pdf", "png", "jpg", "jpeg", "webp", "zip", "exe"]

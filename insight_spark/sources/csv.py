@@ -43,16 +43,29 @@ def has_multiline_fields(spark: SparkSession, path: str) -> bool:
 
 
 def files_by_header(spark: SparkSession, path: str, multi_line: bool = False) -> dict[tuple[str, ...], list[str]]:
-    """Files of a folder by their header cells; one short row per file reaches the driver."""
+    """Paths to read under each list of header cells: the path as given, if all files agree.
+
+    Files are grouped by their header line in Spark, so the driver learns the different header lines; it
+    learns the names of files only where lines name different columns.
+    """
     start = F.col("_metadata.file_block_start")
     lines = spark.read.text(path).where(start == 0).select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("n"))
-    heads = lines.groupBy("file").agg(F.min_by("value", "n").alias("line")).collect()
-    found: dict[tuple[str, ...], list[str]] = {}
-    for row in sorted(heads, key=lambda r: r.file):
-        reader = spark.read.options(**OPTIONS, multiLine=multi_line)
-        cells = next(csv_cells(row.line)) if not multi_line or row.line.count('"') % 2 == 0 else list(reader.csv(unquote(row.file)).first())
-        found.setdefault(tuple(header_names(cells)), []).append(unquote(row.file))
-    return found
+    heads = lines.groupBy("file").agg(F.min_by("value", "n").alias("line"))
+    if multi_line:  # a header that goes on in the next line is told by its file
+        heads = heads.withColumn("open_file", F.when(F.length(F.regexp_replace("line", '[^"]', "")) % 2 == 1, F.col("file")))
+    else:
+        heads = heads.withColumn("open_file", F.lit(None).cast("string"))
+    kinds = heads.groupBy("line", "open_file").agg(F.min("file").alias("file")).collect()
+    found: dict[tuple[str, ...], list] = {}
+    for row in sorted(kinds, key=lambda r: r.file):
+        cells = list(spark.read.options(**OPTIONS, multiLine=True).csv(unquote(row.file)).first()) if row.open_file else next(csv_cells(row.line))
+        found.setdefault(tuple(header_names(cells)), []).append((row.line, row.open_file))
+    if len(found) <= 1:
+        return {names: [path] for names in found}
+    files = {}
+    for row in heads.collect():
+        files.setdefault((row.line, row.open_file), []).append(unquote(row.file))
+    return {names: sorted(f for kind in kinds_of for f in files[kind]) for names, kinds_of in found.items()}
 
 
 def csv_cells(line: str):

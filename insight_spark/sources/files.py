@@ -94,10 +94,11 @@ def header_dimensions(content: Column) -> Column:
     )
 
 
-def jpeg_dimensions(content: Column, segments: int = 1024) -> Column:
+def jpeg_dimensions(content: Column, segments: int = 256) -> Column:
     """Struct (image_width, image_height) from a JPEG file's markers, null for anything else.
 
-    The segments before the frame header are walked by their lengths; at most `segments` of them.
+    The segments before the frame header are walked by their lengths: `segments` of them at first, and only
+    in files where that is not enough as many more as the file has room for.
     Fixed values: marker codes and field positions of the file format.
     """
     start = F.when(F.hex(F.substring(content, 1, 2)) == "FFD8", F.lit(3)).otherwise(F.lit(None))
@@ -117,19 +118,26 @@ def jpeg_dimensions(content: Column, segments: int = 1024) -> Column:
             )
         )
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(segments)), first, step)
+    begun = F.aggregate(F.sequence(F.lit(1), F.lit(segments)), first, step)
+    # a segment has four bytes at least
+    room = F.sequence(F.lit(1), F.ceil(F.octet_length(content) / 4).cast("int") + 1)
+    walked = F.when(begun["at"].isNull(), begun).otherwise(F.aggregate(room, begun, step))
     return F.when(walked["image_width"].isNotNull(), F.struct(walked["image_width"], walked["image_height"]))
 
 
-def read_image_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """(path, image_width, image_height, reason) of png, webp, jpg and jpeg files, from their headers.
+IMAGES = "*.{png,PNG,webp,WEBP,jpg,JPG,jpeg,JPEG}"
 
-    A file whose header cannot be read has null sizes and a reason.
+
+def read_image_metadata(spark: SparkSession, path: str, pattern: str = IMAGES) -> DataFrame:
+    """(path, image_width, image_height, reason) of image files (png, webp, jpg, jpeg by name, unless another
+    pattern of names is given), from their headers.
+
+    A file whose header cannot be read has null sizes and a reason. Spark's reader loads whole files.
     """
     content = F.col("content")
     images = (
         spark.read.format("binaryFile")
-        .options(recursiveFileLookup=True, pathGlobFilter="*.{png,PNG,webp,WEBP,jpg,JPG,jpeg,JPEG}")
+        .options(recursiveFileLookup=True, pathGlobFilter=pattern)
         .load(path)
         .select("path", F.coalesce(header_dimensions(content), jpeg_dimensions(content)).alias("d"))
     )
