@@ -48,7 +48,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES_SQL = """
 WITH lines AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
-  FROM documents),
+  FROM documents WHERE text IS NOT NULL),
 keyed AS (SELECT doc_id, source, line, pos, trim(line, ' ' || chr(9) || chr(13)) AS k FROM lines),
 common AS (
   SELECT k, min(doc_id) AS first FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT source) >= 10),
@@ -56,6 +56,7 @@ marked AS (SELECT keyed.*, first IS NOT NULL AND doc_id > first AS gone FROM key
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
   md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS text_md5
 FROM marked GROUP BY doc_id
+UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
 """
 
 

@@ -45,3 +45,25 @@ def test_first_copy_stays_and_length_follows(spark):
 
 def test_empty_table(spark):
     assert lines.remove_boilerplate(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_very_long_text(spark):
+    """A text of half a million lines, with a common line among them and one of a million characters."""
+    own = "\n".join(["shared", *(f"own {k}" for k in range(500_000)), "x" * 1_000_000, "shared "])
+    rows = [(100, own, "s0")] + [(d, f"shared\nline {d}", f"s{d}") for d in range(1, 13)]
+    out = lines.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), 10)
+    got = {r.doc_id: r for r in out.collect()}
+    assert (got[100].n_lines, got[100].n_removed) == (500_003, 2) and got[100].text == own[len("shared\n") : -len("\nshared ")]
+    assert got[1].n_removed == 0 and got[2].text == "line 2"
+
+
+def test_internal_names_as_columns(spark):
+    """Columns that carry the names used inside pass through as they are."""
+    names = ["doc", "taken", "left", "gone", "first", "key", "site", "sites", "line", "n", "__gone", "__doc", "__kept", "__at"]
+    rows = [(d, f"shared\nline {d}", f"s{d}", *range(len(names))) for d in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} long" for n in names))
+    out = lines.remove_boilerplate(df, 10)
+    assert out.columns == [*df.columns, "n_lines", "n_removed"]
+    assert sorted((r.doc_id, r.text, *(r[n] for n in names)) for r in out.collect()) == [
+        (d, f"shared\nline {d}" if d == 0 else f"line {d}", *range(len(names))) for d in range(12)
+    ]

@@ -47,3 +47,22 @@ def test_stages_take_empty_tables(spark):
     docs = table(spark, SF, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_stages_take_nulls_repeated_rows_and_clashing_names(spark):
+    """Every name that the operators use inside as an extra column, null texts and ids, rows twice."""
+    names = ["gone", "doc", "taken", "left", "bad", "leak", "deal", "open", "row", "rep", "v", "c", "item", "kind", "score", "predicted", "__gone", "__bad", "__leak", "__open"]
+    docs = table(spark, SF, "documents").limit(60)
+    odd = spark.createDataFrame([(None, None), (None, "a b c"), (900_001, None), (900_002, ""), (900_003, " \n\t")], "doc_id long, text string")
+    docs = docs.unionByName(odd, allowMissingColumns=True)
+    docs = stored(docs.unionByName(docs.where("doc_id % 7 = 0")).select("*", *(toxicity.F.lit(k).alias(n) for k, n in enumerate(names))))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stored(stage(spark, docs, SF))
+        assert kept.columns == docs.columns
+        assert kept.select(*names).distinct().collect() == [tuple(range(len(names)))]
+        before, after = (sorted((str(r.doc_id), r.source or "") for r in x.collect()) for x in (docs, kept))
+        assert not [x for x in after if after.count(x) != before.count(x)]  # rows of one id go or stay together
+        assert {x[0] for x in after} >= {"None", "900001", "900002", "900003"}
+        docs = kept
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert packed.where("piece = 0").count() == docs.count()
