@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -92,11 +93,40 @@ class Rollup:
         if not files.exists(at):
             return []
         names = [s.getPath().getName() for s in files.listStatus(at) if s.isDirectory()]
-        return sorted(n.removeprefix("batch=") for n in names if n.startswith("batch=") and self._done(f"{self.path}/{n}"))
+        return sorted(unquote(n.removeprefix("batch=")) for n in names if n.startswith("batch=") and self._done(f"{self.path}/{n}"))
+
+    def _folder(self, batch: str) -> str:
+        """A batch's folder; ids may hold any characters."""
+        return f"{self.path}/batch={quote(batch, safe='')}"
+
+    def _base(self) -> int | None:
+        """The newest whole base, which holds the sum of batches that it names."""
+        files, at = self._files(self.path)
+        names = [s.getPath().getName() for s in files.listStatus(at)] if files.exists(at) else []
+        whole = [int(n.removeprefix("base-")) for n in names if n.startswith("base-") and self._done(f"{self.path}/{n}/totals")]
+        return max(whole, default=None)
+
+    def compact(self) -> None:
+        """Sum all committed batches into a base, so that totals reads it and later batches only. The base
+        counts once it is whole; a job that died leaves the older one in place."""
+        batches, base = self.batches(), self._base()
+        path = f"{self.path}/base-{0 if base is None else base + 1}"
+        summed = self._summed(batches, base)
+        self.spark.createDataFrame([(b,) for b in batches], "batch string").write.mode("overwrite").parquet(f"{path}/batches")
+        summed.write.mode("overwrite").parquet(f"{path}/totals")
+
+    def _summed(self, batches: list[str], base: int | None) -> DataFrame:
+        held, paths = set(), []
+        if base is not None:
+            held = {r.batch for r in self.spark.read.schema("batch string").parquet(f"{self.path}/base-{base}/batches").collect()}
+            paths.append(f"{self.path}/base-{base}/totals")
+        paths += [self._folder(b) for b in batches if b not in held]
+        rows = self.spark.read.schema(TOTALS).parquet(*paths) if paths else self.spark.createDataFrame([], TOTALS)
+        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add the changes (KEYS, docs, change) as this batch; False if it was there."""
-        path = f"{self.path}/batch={batch}"
+        path = self._folder(batch)
         if self._done(path):
             return False
         summed = changes.groupBy(*KEYS).agg(F.sum("docs").cast("long").alias("n_docs"), F.sum("change").cast("long").alias("n_tokens"))
@@ -105,10 +135,7 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens over all committed batches."""
-        paths = [f"{self.path}/batch={b}" for b in self.batches()]
-        rows = self.spark.read.schema(TOTALS).parquet(*paths) if paths else self.spark.createDataFrame([], TOTALS)
-        summed = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return summed.where("n_docs <> 0 OR n_tokens <> 0")
+        return self._summed(self.batches(), self._base()).where("n_docs <> 0 OR n_tokens <> 0")
 
 
 def duplicates(rows: DataFrame) -> DataFrame:
@@ -120,7 +147,11 @@ def duplicates(rows: DataFrame) -> DataFrame:
 def corpus_rollup(docs: DataFrame, tokenizers: dict[str, str], path: str | None = None) -> DataFrame:
     """Totals after three batches: every document is inserted, documents whose text a smaller doc_id has are
     deleted, and what is left is revised to its text without repeated lines. Each is committed twice, the
-    second time without effect."""
+    second time without effect.
+
+    source, lang, tokenizer, n_docs, n_tokens. A null text is empty and counts as a document of no tokens; of
+    rows with one text those of the smallest doc_id stay, all of them if that repeats, and rows without
+    doc_id always; null sources and languages are keys. Other columns are ignored; an empty table has no total."""
     spark = prepare(docs.sparkSession)
     rollup = Rollup(spark, path or shared_folder(spark, "token-counts"))
     rows = stored(counted(docs, tokenizers))

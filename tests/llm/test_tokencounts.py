@@ -80,3 +80,19 @@ def test_memoised_ids_equal_the_tokenizer(spark, most):
         part = texts[at : at + 7]
         got = [memoryview(x).cast("I").tolist() for x in encoder.encode([t.encode() for t in part])]
         assert got == [own.encode(t, add_special_tokens=False).ids for t in part]
+
+
+def test_batch_ids_of_any_form_and_compaction(spark, tmp_path):
+    rollup = tokencounts.Rollup(spark, str(tmp_path / "rollup"))
+    change = lambda n, tokens: spark.createDataFrame([("s", None, "t", n, tokens)], "source string, lang string, tokenizer string, docs int, change long")
+    assert rollup.commit("2024/01 a=b", change(1, 10)) and not rollup.commit("2024/01 a=b", change(1, 10))
+    assert rollup.commit("x", change(2, -3)) and rollup.batches() == ["2024/01 a=b", "x"]
+    want = [("s", None, "t", 3, 7)]
+    assert [tuple(r) for r in rollup.totals().collect()] == want
+    rollup.compact()
+    assert [tuple(r) for r in rollup.totals().collect()] == want and not rollup.commit("x", change(5, 5))
+    assert rollup.commit("later", change(-3, -7)) and rollup.totals().count() == 0
+    rollup.compact()
+    rollup.compact()
+    assert rollup.totals().count() == 0 and rollup.commit("last", change(1, 1))
+    assert [tuple(r) for r in rollup.totals().collect()] == [("s", None, "t", 1, 1)]
