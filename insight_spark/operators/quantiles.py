@@ -22,22 +22,23 @@ SLACK = 0.01  # how far below and above the wanted rank the brackets lie
 FEW = 2000  # columns of so few values are taken whole: their brackets could lie between two neighbours
 
 
-def brackets(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> list[list[tuple[float, float]]]:
-    """For each column and probability two values between which the quantile lies, as its sketch has it."""
+def brackets(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> tuple[list[list[tuple[float, float]]], bool]:
+    """For each column and probability two values between which the quantile lies, as its sketch has it; and
+    whether there is any value."""
     ranks = [r for p in probabilities for r in (max(0.0, p - SLACK), min(1.0, p + SLACK))]
     sketch = lambda c: F.call_function("kll_sketch_agg_double", nan_to_null(named(c).cast("double")), F.lit(RANKS))
     sketches = df.agg(*(sketch(c).alias(f"s{i}") for i, c in enumerate(columns)), *(F.count(nan_to_null(named(c).cast("double"))).alias(f"n{i}") for i, c in enumerate(columns)))
     wanted = F.array(*map(F.lit, ranks))
     # an empty sketch has no quantiles, and asking it is an error
     found = [F.when(F.col(f"n{i}") > FEW, F.call_function("kll_sketch_get_quantile_double", F.col(f"s{i}"), wanted)) for i in range(len(columns))]
-    row = sketches.select(F.array(*found).alias("q")).first()
+    row = sketches.select(F.array(*found).alias("q"), F.greatest(F.lit(0), *(F.col(f"n{i}") for i in range(len(columns)))).alias("most")).first()
     whole = [(-math.inf, math.inf)] * len(probabilities)
-    return [list(zip(q[::2], q[1::2], strict=True)) if q else whole for q in (row.q if row else [])]
+    return [list(zip(q[::2], q[1::2], strict=True)) if q else whole for q in row.q], row.most > 0
 
 
 def between(df: DataFrame, columns: Sequence[str], limits: list[list[tuple[float, float]]]):
     """The values between the limits, counted, as a stored frame (c, k, part, v, n); how many values each
-    column has; and how many lie below each lower limit and between both."""
+    column has, how many lie below each lower limit and between both, as an observation."""
     values = df.select(*[nan_to_null(named(c).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)])
     seen, cells, measures = Observation(), [], []
     for i, own in enumerate(limits):
@@ -49,7 +50,7 @@ def between(df: DataFrame, columns: Sequence[str], limits: list[list[tuple[float
             cells.append(F.when(inside, F.struct(F.lit(i).alias("c"), F.lit(k).alias("k"), v.alias("v"))))
     spread = values.observe(seen, *measures).select(F.inline(F.filter(F.array(*cells), lambda x: x.isNotNull())))
     counted = stored(spread.groupBy("c", "k", "v").agg(F.count(F.lit(1)).alias("n")))
-    return stored(counted.repartitionByRange("c", "k", "v").withColumn("part", F.spark_partition_id())), seen.get
+    return stored(counted.repartitionByRange("c", "k", "v").withColumn("part", F.spark_partition_id())), seen
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
@@ -59,10 +60,15 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
 
     Two scans run when called; the values around the wanted ranks are written to the shared folder.
     """
-    limits = brackets(df, columns, probabilities)
-    for _ in range(2):
-        placed, counts = between(df, columns, limits)
-        targets, missed = [], set()
+    limits, some = brackets(df, columns, probabilities)
+    placed, targets = df.sparkSession.createDataFrame([], "c int, k int, v double, n bigint, part int"), []
+    whole = [(-math.inf, math.inf)] * len(probabilities)
+    for _ in range(2 if some else 0):
+        placed, seen = between(df, columns, limits)
+        if placed.isEmpty():  # no bracket holds a value, and an observation of nothing has no counts
+            limits = [whole] * len(columns)
+            continue
+        counts, targets, missed = seen.get, [], set()
         for i in range(len(columns)):
             total = counts[f"n{i}"]
             for k, p in enumerate(probabilities):
@@ -75,7 +81,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
                     targets.append((i, k, total, below, target, low, high))
         if not missed:
             break
-        limits = [[(-math.inf, math.inf)] * len(probabilities) if i in missed else own for i, own in enumerate(limits)]
+        limits = [whole if i in missed else own for i, own in enumerate(limits)]
     wanted = df.sparkSession.createDataFrame(targets, "c int, k int, total bigint, below bigint, target double, low bigint, high bigint")
     upto = F.sum("m").over(W.partitionBy("c", "k").orderBy("part").rowsBetween(W.unboundedPreceding, 0))
     parts = placed.groupBy("c", "k", "part").agg(F.sum("n").alias("m")).withColumn("before", upto - F.col("m"))

@@ -218,3 +218,28 @@ def test_listed_names_say_what_is_left_out(spark):
     frame = spark.createDataFrame([(1, 1, 1, 1, 2), (1, 1, 1, 1, 3)], "a int, b int, c int, d int, e int")
     assert quality.quality_score(frame).first().notes == ["Constant columns detected: a, b, c, d"]
     assert quality.quality_score(frame, max_names=3).first().notes == ["Constant columns detected: a, b, c and 1 more"]
+
+
+def test_quantiles_by_brackets_and_whole(spark):
+    """Columns large enough for brackets, with heavy values, gaps, infinities, and one whose sketch is no help."""
+    import numpy as np
+
+    from insight_spark.operators import quantiles
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=6000)
+    rows = [(float(v), float(round(v)), None if k % 3 else float(k), float("inf") if k % 2 else -1.0, None, float("nan")) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, f double").repartition(5)
+    wanted = [0.0, 0.25, 0.5, 0.99, 1.0]
+    got = quantiles.exact_quantiles(df, df.columns, wanted).first()
+    for i in range(3):
+        values = np.array([r[i] for r in rows if r[i] is not None])
+        assert np.allclose(got[f"q{i}"], np.quantile(values, wanted)) and got[f"n{i}"] == len(values)
+    assert got["q3"][0] == -1.0 and got["q3"][3] == float("inf") and (got["q4"], got["n4"], got["q5"], got["n5"]) == (None, 0, None, 0)
+    # brackets that miss are noticed, and the column is taken whole
+    slack, quantiles.SLACK = quantiles.SLACK, -0.2
+    try:
+        wrong = quantiles.exact_quantiles(df, ["a"], [0.25, 0.5]).first()
+    finally:
+        quantiles.SLACK = slack
+    assert np.allclose(wrong["q0"], np.quantile(x, [0.25, 0.5]))
