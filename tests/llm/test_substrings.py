@@ -59,3 +59,16 @@ def test_edge_cases(spark):
     docs = spark.createDataFrame(rows, schema)
     assert result(substrings.remove_repeats(docs)) == expected([r[:2] for r in rows], 50)
     assert substrings.remove_repeats(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_very_long_texts_that_share_passages(spark):
+    """Texts of 150,000 words, a passage of each in the other, and one word of 200,000 characters."""
+    rng = np.random.default_rng(5)
+    long = [[f"w{x}" for x in rng.integers(0, 50_000, 150_000)] for _ in range(2)]
+    long[1][70_000:70_300] = long[0][10:310]
+    long[1][100_000] = "y" * 200_000
+    rows = [(1, " ".join(long[0])), (2, " ".join(long[1])), (3, " ".join(long[1][69_990:70_200]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = expected(rows, 50)
+    assert [r[2] for r in want] == [0, 300, 210]
+    assert result(substrings.remove_repeats(docs)) == want
