@@ -90,8 +90,8 @@ SELECT conv_id, count(*) AS n_turns, min(broken_at) AS broken_at,
     + length('<|end|>') + 2 + length(text)
     + length(regexp_replace(text, '[^\\\\<\\[|]', '', 'g'))) AS BIGINT) AS formatted_chars
 FROM t LEFT JOIN (
-  SELECT conv_id, min(at) AS broken_at FROM (
-    SELECT conv_id, role, row_number() OVER place - 1 AS at, lag(role, 1, '') OVER place AS state FROM t
+  SELECT conv_id, min(n) AS broken_at FROM (
+    SELECT conv_id, role, row_number() OVER place - 1 AS n, lag(role, 1, '') OVER place AS state FROM t
     WINDOW place AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)) AS o
   WHERE (state, role) NOT IN (('', 'system'), ('', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user'))
   GROUP BY conv_id) AS b USING (conv_id)
