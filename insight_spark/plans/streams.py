@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from insight_spark.plans.catalog import PREMIUM_RUNS_SQL, premium_runs, query, rounded
 from insight_spark.plans.inputs import table
-from insight_spark.session import shared_folder
+from insight_spark.session import shared_folder, stored
 from insight_spark.streaming import quota, windows
 
 BATCHES = 6
+FILE_ROWS = 100_000  # of a batch, in one file and so in one task
 
 
 def arrivals(events: DataFrame) -> DataFrame:
@@ -29,12 +30,24 @@ marks AS (
   LEFT JOIN arrived AS a ON a.batch <= b.batch - 2 GROUP BY 1)"""
 
 
-def stream_of(spark: SparkSession, rows: DataFrame, folder: str) -> DataFrame:
-    """A stream that reads rows (column batch) one batch at a time."""
-    columns = rows.drop("batch").schema
+def stream_of(spark: SparkSession, rows: DataFrame, folder: str, file_rows: int = FILE_ROWS) -> DataFrame:
+    """A stream that reads rows (column batch) one batch at a time.
+
+    A trigger takes a number of files, so every batch is written as equally many: its rows are dealt in turn to
+    that many places, of about `file_rows` rows in the largest batch, and each place holds a row that stands for
+    nothing as well, lest it has no file. No task writes a whole batch.
+    """
+    arrived = stored(rows)
+    largest = arrived.groupBy("batch").count().agg(F.max("count")).first()[0] or 0
+    places = -(-largest // file_rows) or 1
+    place, came = (F.monotonically_increasing_id() % places).alias("place"), F.lit(True).alias("came")
+    held = spark.range(places).select(F.col("id").alias("place"), F.lit(False).alias("came"))
     for k in range(BATCHES):
-        rows.where(F.col("batch") == k).drop("batch").coalesce(1).write.mode("append").parquet(f"{folder}/source")
-    return spark.readStream.schema(columns).option("maxFilesPerTrigger", 1).parquet(f"{folder}/source")
+        dealt = arrived.where(F.col("batch") == k).drop("batch").select("*", place, came)
+        batch = dealt.unionByName(held, allowMissingColumns=True)
+        batch.repartition(places, "place").write.mode("append").partitionBy("place").parquet(f"{folder}/source")
+    stream = spark.readStream.schema(dealt.schema).option("maxFilesPerTrigger", places).parquet(f"{folder}/source")
+    return stream.where("came").drop("place", "came")
 
 
 def closed_windows(spark: SparkSession, sf_dir: str, name: str, **spec) -> tuple[DataFrame, str]:
@@ -43,9 +56,9 @@ def closed_windows(spark: SparkSession, sf_dir: str, name: str, **spec) -> tuple
     found = windows.event_windows(stream, "ts", {"n": F.count("*"), "total": F.sum("value")}, delay="2 days", **spec)
     running = windows.store_windows(found, f"{folder}/table", f"{folder}/progress")
     running.awaitTermination()
-    stored = spark.read.schema(found.schema).parquet(f"{folder}/table")
+    closed = spark.read.schema(found.schema).parquet(f"{folder}/table")
     times = {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
-    return rounded(stored, "total").withColumns(times), windows.watermark_of(running)
+    return rounded(closed, "total").withColumns(times), windows.watermark_of(running)
 
 
 @query(
@@ -69,9 +82,9 @@ SELECT time_bucket(INTERVAL 6 HOUR, ts) AS window_start, time_bucket(INTERVAL 6
 FROM arrived JOIN marks USING (batch) WHERE time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR <= late GROUP BY 1, 2, 3""",
 )
 def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored, mark = closed_windows(spark, sf_dir, "stream_late_rows", size="6 hours", by=["event_type"])
-    stored = stored.withColumns({c: F.col(c).cast("timestamp") for c in ("window_start", "window_end")})
-    late = windows.late_rows(table(spark, sf_dir, "events"), stored, "ts", "6 hours", mark, by=["event_type"])
+    closed, mark = closed_windows(spark, sf_dir, "stream_late_rows", size="6 hours", by=["event_type"])
+    closed = closed.withColumns({c: F.col(c).cast("timestamp") for c in ("window_start", "window_end")})
+    late = windows.late_rows(table(spark, sf_dir, "events"), closed, "ts", "6 hours", mark, by=["event_type"])
     return late.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 

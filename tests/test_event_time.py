@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from insight_spark.operators import users
+from insight_spark.plans import streams
 from insight_spark.streaming import quota, windows
 
 DAY = datetime(2024, 1, 1)
@@ -90,3 +91,19 @@ def test_quiet_users_are_forgotten(spark, tmp_path):
     windows.store_windows(found, table, progress).awaitTermination()
     got = {r.event_id: r.allowed for r in spark.read.schema(found.schema).parquet(table).collect()}
     assert got == {1: True, 2: True, 3: False, 4: True, 5: True}
+
+
+def test_a_batch_comes_whole_in_files_of_bounded_size(spark, tmp_path):
+    """Batches of very different sizes, one of them empty: each is one micro-batch, none is written by one task."""
+    size = {0: 1, 1: 950, 2: 0, 3: 30, 4: 400, 5: 7}
+    rows = [(k * 10_000 + n, None if n % 9 == 4 else f"v{n}", k) for k, m in size.items() for n in range(m)]
+    frame = spark.createDataFrame(rows, "id long, v string, batch int").repartition(3)
+    stream = streams.stream_of(spark, frame, str(tmp_path / "s"), file_rows=100)
+    assert stream.columns == ["id", "v"]
+    seen = []
+    writer = stream.writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True)
+    writer.foreachBatch(lambda df, _: seen.append(sorted(map(tuple, df.collect())))).start().awaitTermination()
+    assert seen == [sorted(r[:2] for r in rows if r[2] == k) for k in size]
+    stored = spark.read.parquet(str(tmp_path / "s" / "source")).groupBy(F.input_file_name()).agg(F.count_if("came").alias("n"))
+    files = [r.n for r in stored.collect()]
+    assert len(files) == 10 * len(size) and max(files) <= 100
