@@ -145,6 +145,9 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.text_lines(table(spark, sf_dir, "documents"))
 
 
+IMAGE_SHARES = 128
+
+
 @query(
     "image_metadata",
     """SELECT vec_id, CAST(len(embedding) AS INTEGER) AS image_width, label + 1 AS image_height
@@ -160,9 +163,12 @@ def image_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), field(F.size("embedding")), field(F.col("label") + 1)
     )
     folder = shared_folder(spark, "image_metadata")
-    # the text sink writes the bytes as they are, one folder for each vector
-    headers = table(spark, sf_dir, "embeddings").select("vec_id", content.cast("string").alias("value"))
-    headers.write.partitionBy("vec_id").text(folder)
+    # the text sink writes the bytes as they are, one folder for each vector; these lie in shares that are written,
+    # committed and listed by a task each
+    share = F.pmod(F.xxhash64("vec_id"), F.lit(IMAGE_SHARES)).alias("share")
+    headers = table(spark, sf_dir, "embeddings").select(share, "vec_id", content.cast("string").alias("value"))
+    dealt = headers.repartition(IMAGE_SHARES, "share")
+    dealt.write.partitionBy("share", "vec_id").option("maxRecordsPerFile", 1).text(folder)
     images = files.read_image_metadata(spark, folder, "*.txt")
     number = F.regexp_extract("path", "vec_id=(-?[0-9]+)", 1).cast("bigint").alias("vec_id")
     return images.select(number, "image_width", "image_height")

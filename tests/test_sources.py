@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from insight_spark.functions import fixed
+from insight_spark.plans import catalog
 from insight_spark.sources import csv, files
 
 CSV = (
@@ -221,3 +222,16 @@ def test_jpeg_markers_and_unreadable_images(spark, folder):
     got = {r.path.rsplit("/", 1)[1]: tuple(r)[1:] for r in files.read_image_metadata(spark, folder).collect()}
     lost = (None, None, "Image header cannot be read.")
     assert got == {"a.jpg": (400, 300, ""), "cut.jpeg": lost, "no.png": lost}
+
+
+def test_image_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """One input task; a repeated number gives a file, and so a row, each time."""
+    monkeypatch.setattr(catalog, "shared_folder", lambda *_: str(tmp_path / "images"))
+    rows = [(n // 2 if n < 10 else n - 60, [0.5] * (n % 7 + 1), n % 5) for n in range(100)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = catalog.image_metadata(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted((k, len(v), label + 1) for k, v, label in rows)
+    files = list((tmp_path / "images").rglob("*.txt"))
+    assert len(files) == 100 and len({f.name[:10] for f in files}) > 20
+    # a job lists no more folders by itself than there are shares
+    assert len(list((tmp_path / "images").glob("*/"))) <= catalog.IMAGE_SHARES
