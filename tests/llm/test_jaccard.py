@@ -72,6 +72,52 @@ def test_near_copies_in_whole_and_split_groups(spark, monkeypatch, limit):
         assert result(jaccard.jaccard_components(docs, n, percent)) == expected(rows, n, percent)
 
 
+def passages(seed, docs, each=3, words=12, pool=20):
+    """Unlike texts with passages of one pool, which join them to one group by segments of two shingles, and a near copy of
+    every fifth."""
+    rng = np.random.default_rng(seed)
+    shared = [[f"p{k}q{j}" for j in range(words)] for k in range(pool)]
+    rows = []
+    for k in range(docs):
+        own = [f"d{k}w{j}" for j in range(60)]
+        for p in rng.choice(pool, each, replace=False):
+            at = int(rng.integers(0, 60))
+            own[at:at] = shared[p]
+        rows.append((k, " ".join(own)))
+        if k % 5 == 0:
+            rows.append((1000 + k, " ".join(own[:-3] + ["other"])))
+    return rows
+
+
+def test_unlike_documents_of_large_groups_are_not_compared(spark, monkeypatch):
+    """A group that passages hold together is cut; before, each of its texts was copied to every block of the group."""
+    monkeypatch.setattr(jaccard, "GROUP_SHINGLES", 1500)
+    rows = passages(4, 150)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = jaccard.groups_of(docs, np.empty(0, np.uint64), 5, 80)
+    assert groups.groupBy("c").count().agg({"count": "max"}).first()[0] * 80 > 1500
+    pivots = []
+    monkeypatch.setattr(jaccard, "near_pivot", lambda *a, real=jaccard.near_pivot: pivots.append(a) or real(*a))
+    assert result(jaccard.jaccard_components(docs, 5, 80)) == expected(rows, 5, 80)
+    assert not pivots
+
+
+def test_cut_groups_hold_all_links(spark):
+    """Two large groups, one text under two ids and twice under one; unlike texts are left out."""
+    rows = passages(7, 60) + [(2000 + k, t) for k, t in enumerate(edited(3, 30))]
+    rows += [(2003, rows[2][1]), (2003, rows[2][1])]
+    large = [(d % 2, d, 70, t.encode()) for d, t in rows]
+    large = spark.createDataFrame(large, "part long, doc_id long, n_shingles long, text binary")
+    found = {}
+    for r in jaccard.refined(large, 5, 80).collect():
+        found.setdefault(r.doc_id, set()).add(r.part)
+    for (a, x), (b, y) in combinations(rows, 2):
+        one, two = shingle_set(x, 5), shingle_set(y, 5)
+        if a != b and a % 2 == b % 2 and 100 * len(one & two) >= 80 * len(one | two):
+            assert found[a] & found[b]
+    assert {d for d in found if d < 60 and d % 5} == {1}  # the text of 2003
+
+
 def test_segments_of_linked_sets_meet():
     rng = np.random.default_rng(5)
     for percent in (80, 90):
