@@ -221,3 +221,23 @@ def test_interval_pairs_need_no_cell_arithmetic(spark, plan):
     assert sorted((r.id, r.key) for r in found.collect()) == want
     conditions = re.findall(r"\n.*Join.*", plan(found))
     assert conditions and not any("POWER" in c.upper() or "FLOOR" in c.upper() for c in conditions)
+
+
+@pytest.mark.parametrize("closed", [True, False])
+def test_points_are_shuffled_with_one_number(spark, plan, closed):
+    """A point visits a cell of every level of the other frame; before, each visit had its end and its first cell as well."""
+    rows = [(n, n * 7 % 50, n * 7 % 50 + n % 13) for n in range(60)]
+    spans, points = spark.createDataFrame(rows, "id long, a long, b long"), spark.createDataFrame([(n, n % 55 - 2) for n in range(120)], "key long, at long")
+    inside = lambda a, at, b: a <= at <= b if closed else a < at < b
+    want = sorted((n, k) for n, a, b in rows for k, at in ((k, k % 55 - 2) for k in range(120)) if inside(a, at, b))
+    found = interval_join(spans, points, ("a", "b"), ("at", "at"), closed=closed)
+    assert not re.search("r_hi|r_begins", plan(found))
+    assert sorted((r.id, r.key) for r in found.collect()) == want
+    turned = interval_join(points, spans, ("at", "at"), ("a", "b"), closed=closed)
+    assert sorted((r.id, r.key) for r in turned.collect()) == want
+    met = {k for _, k in want}
+    for how in ("semi", "anti"):
+        kept = interval_join(points, spans, ("at", "at"), ("a", "b"), how=how, closed=closed).collect()
+        assert sorted(r.key for r in kept) == sorted(k for k in range(120) if (k in met) == (how == "semi"))
+    both = interval_join(points, points.toDF("key2", "at2"), ("at", "at"), ("at2", "at2"), closed=closed).collect()
+    assert sorted((r.key, r.key2) for r in both) == sorted((x, y) for x in range(120) for y in range(120) if closed and (x - y) % 55 == 0)
